@@ -25,23 +25,18 @@ def rounded_literal(v: Column, digits: int = 6) -> Column:
     return F.transform(v, lambda x: F.round(x.cast("double"), digits))
 
 
-def hashed_vectors(units: DataFrame, key: str, text: Column, dims: int = HASH_DIMS) -> DataFrame:
-    """Offline vectoriser: signed counts of hashed tokens, one ``vec`` of ``dims`` values per unit.
+def hashed_vectors(units: DataFrame, keys: list[str], text: Column, dims: int = HASH_DIMS) -> DataFrame:
+    """Offline vectoriser: signed counts of hashed tokens, as sparse (dim, v) pairs in ``vec``.
 
-    Units are partitioned by key once; both aggregations below cluster by it.
+    Both aggregations cluster by the leading key, so units partitioned by it stay in place.
     """
-    toks = units.select(key, text.alias("text")).repartition(key).select(
-        key, F.explode_outer(code_tokens(F.col("text"))).alias("term")
-    )
-    number = F.conv(F.substring(F.md5(F.col("term")), 1, 8), 16, 10).cast("long")
-    slots = toks.select(
-        key,
-        F.pmod(number, F.lit(dims)).cast("int").alias("dim"),
-        (F.pmod(F.floor(number / dims), F.lit(2)) * 2 - 1).alias("sign"),
-    )
-    sums = slots.groupBy(key, "dim").agg(F.sum("sign").cast("double").alias("v"))
-    pairs = F.map_from_entries(F.filter(F.collect_list(F.struct("dim", "v")), lambda e: e["dim"].isNotNull()))
-    return sums.groupBy(key).agg(pairs.alias("m")).select(
-        key,
-        F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("vec"),
+    toks = units.select(*keys, code_tokens(text).alias("tokens")).select(*keys, F.explode_outer("tokens").alias("term"))
+    hashed = toks.select(*keys, F.conv(F.substring(F.md5(F.col("term")), 1, 8), 16, 10).cast("long").alias("number"))
+    slots = hashed.select(
+        *keys,
+        F.pmod("number", F.lit(dims)).cast("int").alias("dim"),
+        (F.pmod(F.expr(f"number div {dims}"), F.lit(2)) * 2 - 1).alias("sign"),
     )
+    sums = slots.groupBy(*keys, "dim").agg(F.sum("sign").cast("double").alias("v"))
+    pairs = F.collect_list(F.when(F.col("dim").isNotNull(), F.struct("dim", "v")))
+    return sums.groupBy(*keys).agg(pairs.alias("vec"))

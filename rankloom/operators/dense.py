@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,10 +22,17 @@ PAIR_SCHEMA = "query_id long, chunk_id long, score double"
 SCORE_DIGITS = 9
 
 
-def _matrix(column: pa.Array, rows: int) -> np.ndarray:
+def _matrix(column: pa.Array, dims: int) -> np.ndarray:
+    """Dense float64 rows from a column of value lists or of sparse (dim, v) lists."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+    flat = column.flatten()
+    if not pa.types.is_struct(column.type.value_type):
+        return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    out = np.zeros((len(column), dims))
+    rows = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+    out[rows, flat.field("dim").to_numpy()] = flat.field("v").to_numpy()
+    return out
 
 
 def _similarity(q: np.ndarray, c: np.ndarray, cosine: bool) -> np.ndarray:
@@ -62,10 +68,10 @@ def _collect_within(queries: DataFrame, limit: int):
     return rows if rows.num_rows <= limit else None
 
 
-def _one_pass(queries: pa.Table, collection: DataFrame, k: int, cosine: bool) -> DataFrame:
+def _one_pass(queries: pa.Table, collection: DataFrame, k: int, cosine: bool, dims: int) -> DataFrame:
     spark = collection.sparkSession
     qids = queries.column(0).to_numpy()
-    shared = spark.sparkContext.broadcast((qids, _matrix(queries.column(1), queries.num_rows)))
+    shared = spark.sparkContext.broadcast((qids, _matrix(queries.column(1), dims)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, q = shared.value
@@ -74,14 +80,15 @@ def _one_pass(queries: pa.Table, collection: DataFrame, k: int, cosine: bool) ->
             if batch.num_rows == 0:
                 continue
             ids = np.broadcast_to(batch.column(0).to_numpy(), (len(query_ids), batch.num_rows))
-            sims = _similarity(q, _matrix(batch.column(1), batch.num_rows), cosine)
+            sims = _similarity(q, _matrix(batch.column(1), dims), cosine)
             best = _keep_best(np.hstack([best[0], sims]), np.hstack([best[1], ids]), k)
         yield pa.RecordBatch.from_pydict(_pairs(query_ids, *best))
 
     return collection.mapInArrow(scan, PAIR_SCHEMA)
 
 
-def _block_grid(queries: DataFrame, collection: DataFrame, k: int, cosine: bool, q_block: int, c_block: int) -> DataFrame:
+def _block_grid(queries: DataFrame, collection: DataFrame, k: int, cosine: bool, dims: int,
+                q_block: int, c_block: int) -> DataFrame:
     """Every block of queries meets every block of the collection in a task of its own."""
     q_cuts = max(1, -(-queries.count() // q_block))
     c_cuts = max(1, -(-collection.count() // c_block))
@@ -90,27 +97,31 @@ def _block_grid(queries: DataFrame, collection: DataFrame, k: int, cosine: bool,
     left = queries.withColumn("qb", block("query_id", q_cuts)).withColumn("cb", spread(c_cuts))
     right = collection.withColumn("cb", block("chunk_id", c_cuts)).withColumn("qb", spread(q_cuts))
 
-    def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if len(q) == 0 or len(c) == 0:
-            return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
-        sims = _similarity(np.stack(q["vec"]).astype(float), np.stack(c["vec"]).astype(float), cosine)
-        ids = np.broadcast_to(c["chunk_id"].to_numpy(), sims.shape)
-        return pd.DataFrame(_pairs(q["query_id"].to_numpy(), *_keep_best(sims, ids, k)))
+    def meet(q: pa.Table, c: pa.Table) -> pa.Table:
+        query_ids = q.column("query_id").to_numpy()
+        if q.num_rows == 0 or c.num_rows == 0:
+            return pa.Table.from_pydict(_pairs(query_ids[:0], np.empty((0, 0)), np.empty((0, 0), dtype=np.int64)))
+        sims = _similarity(_matrix(q.column("vec"), dims), _matrix(c.column("vec"), dims), cosine)
+        ids = np.broadcast_to(c.column("chunk_id").to_numpy(), sims.shape)
+        return pa.Table.from_pydict(_pairs(query_ids, *_keep_best(sims, ids, k)))
 
-    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(meet, PAIR_SCHEMA)
+    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(meet, PAIR_SCHEMA)
 
 
 def nearest(queries: DataFrame, collection: DataFrame, k: int, cosine: bool = True, cfg: Config = DEFAULTS,
             dims: int = 64) -> DataFrame:
-    """``queries(query_id, vec)`` against ``collection(chunk_id, vec)``: top ``k`` with rank."""
+    """``queries(query_id, vec)`` against ``collection(chunk_id, vec)``: top ``k`` with rank.
+
+    ``vec`` is an array of numbers, or of sparse (dim, v) pairs below ``dims``.
+    """
     queries = queries.select(F.col("query_id").cast("long"), "vec")
     collection = collection.select(F.col("chunk_id").cast("long"), "vec")
     limit = cfg.broadcast_values // dims
     small = _collect_within(queries, limit)
     if small is None:
-        scored = _block_grid(queries, collection, k, cosine, limit, limit)
+        scored = _block_grid(queries, collection, k, cosine, dims, limit, limit)
     else:
-        scored = _one_pass(small, collection, k, cosine)
+        scored = _one_pass(small, collection, k, cosine, dims)
     return best_k(scored, k)
 
 
@@ -124,12 +135,12 @@ def similarities(rows: DataFrame, anchors: DataFrame, cosine: bool = True, cfg:
     if small is None:
         raise ValueError("label set exceeds the single-copy limit; use nearest() with k = number of labels")
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast((small.column(0).to_numpy(), _matrix(small.column(1), small.num_rows)))
+    shared = spark.sparkContext.broadcast((small.column(0).to_numpy(), _matrix(small.column(1), dims)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, a = shared.value
         for batch in batches:
-            sims = _similarity(_matrix(batch.column(1), batch.num_rows), a, cosine)
+            sims = _similarity(_matrix(batch.column(1), dims), a, cosine)
             offsets = pa.array(np.arange(0, sims.size + 1, len(names), dtype=np.int32))
             pairs = pa.StructArray.from_arrays(
                 [pa.array(np.tile(names, batch.num_rows)), pa.array(sims.ravel())], names=["anchor", "sim"]

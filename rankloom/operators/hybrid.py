@@ -13,11 +13,17 @@ from rankloom.operators.dense import nearest
 from rankloom.operators.lexical import best_k, weighted_match
 
 
-def reciprocal_rank_fusion(lists: list[DataFrame], k: int, cfg: Config = DEFAULTS) -> DataFrame:
-    """Lists of (query_id, chunk_id, rank), fused by the sum of 1/(constant + rank)."""
-    votes = [l.select("query_id", "chunk_id", (1.0 / (cfg.rrf_k + F.col("rank"))).alias("w")) for l in lists]
-    fused = reduce(DataFrame.unionByName, votes).groupBy("query_id", "chunk_id").agg(
-        F.round(F.sum("w"), 12).alias("score")
+def reciprocal_rank_fusion(lists: dict[str, DataFrame], k: int, cfg: Config = DEFAULTS) -> DataFrame:
+    """Named lists of (query_id, chunk_id, rank, score), fused by the sum of 1/(constant + rank).
+
+    Each list's own score rides along in a column of its name, NULL where it lacks the chunk.
+    """
+    def votes(name):
+        own = [F.when(F.lit(n == name), F.col("score")).alias(n) for n in lists]
+        return lists[name].select("query_id", "chunk_id", (1.0 / (cfg.rrf_k + F.col("rank"))).alias("w"), *own)
+
+    fused = reduce(DataFrame.unionByName, map(votes, lists)).groupBy("query_id", "chunk_id").agg(
+        F.round(F.sum("w"), 12).alias("score"), *[F.max(n).alias(n) for n in lists]
     )
     return best_k(fused, k)
 
@@ -27,8 +33,8 @@ def lexical_list(chunks: DataFrame, questions: DataFrame, k: int, cfg: Config =
 
 
 def dense_list(chunks: DataFrame, questions: DataFrame, k: int, cfg: Config = DEFAULTS) -> DataFrame:
-    collection = hashed_vectors(chunks, "chunk_id", F.concat_ws("\n", "title", "body"))
-    queries = hashed_vectors(questions, "query_id", F.col("question"))
+    collection = hashed_vectors(chunks, ["doc_id", "chunk_id"], F.concat_ws("\n", "title", "body"))
+    queries = hashed_vectors(questions, ["query_id"], F.col("question"))
     return nearest(queries, collection, k, cfg=cfg)
 
 
@@ -45,7 +51,7 @@ def shortlists(chunks: DataFrame, questions: DataFrame, stages: list[str], k: in
     made = {
         "fts": lambda: lexical.where(F.col("rank") <= k),
         "vector": lambda: dense.where(F.col("rank") <= k),
-        "hybrid": lambda: reciprocal_rank_fusion([lexical, dense], k, cfg),
+        "hybrid": lambda: reciprocal_rank_fusion({"lexical": lexical, "dense": dense}, k, cfg),
     }
     out = [
         made[s]().select(F.lit(s).alias("stage"), "query_id", F.col("rank").cast("int").alias("rank"), "chunk_id", "score")

@@ -1,11 +1,11 @@
 """Lexical scoring of many questions at once over any collection of text units.
 
-Units are hash-partitioned by their id once. Term counts, unit lengths and the sums per
-(question, unit) all cluster by that id, so none of them needs another exchange, and a term
-that occurs in a third of the units never gathers in one task. Only the best ``k`` rows per
-question and partition leave for the final ranking. The question-term side carries no
-broadcast hint: it is broadcast while its size stays under the session's threshold, and is
-otherwise shuffled with skew splitting.
+Units come as ``(doc_id, chunk_id, ...)``, hash-partitioned by ``doc_id`` before the text is cut
+(see ``by_document``). Term counts, unit lengths and the sums per (question, unit) all cluster by
+document, so none of them needs another exchange, and a term that occurs in a third of the
+units never gathers in one task. Only the best ``k`` rows per question and partition leave for
+the final ranking. The question-term side carries no broadcast hint: it is broadcast while its
+size stays under the session's threshold, and is otherwise shuffled with skew splitting.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from rankloom.config import Config, DEFAULTS
 from rankloom.functions.text import code_tokens, or_query, words
+from rankloom.session import broadcast_checked
 
 
 def query_terms(questions: DataFrame, tokens=code_tokens) -> DataFrame:
@@ -30,46 +31,70 @@ def best_k(scored: DataFrame, k: int, key: str = "chunk_id", group: str = "query
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _by_unit(units: DataFrame, *columns: str) -> DataFrame:
-    return units.select("chunk_id", *columns).repartition("chunk_id")
+UNIT = ["doc_id", "chunk_id"]
 
 
-def collection_stats(units: DataFrame, terms: DataFrame, text: Column) -> tuple[DataFrame, DataFrame]:
-    """Document frequency of the question terms, and unit count with mean length."""
-    toks = units.select(code_tokens(text).alias("tokens"))
-    df = (
-        toks.select(F.explode(F.array_distinct("tokens")).alias("term"))
-        .join(terms.select("term").distinct(), "term", "left_semi")
+def by_document(docs: DataFrame) -> DataFrame:
+    """The one exchange of the text; everything below stays inside its partitions."""
+    return docs.repartition("doc_id")
+
+
+def _tokens_by_unit(units: DataFrame, text: Column) -> DataFrame:
+    return units.select(*UNIT, code_tokens(text).alias("tokens"))
+
+
+def collection_stats(toks: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, df, len_sum) of the question terms in one pass; the empty term carries the totals.
+
+    Every unit counts once under the empty term, so its row holds the number of units and
+    the sum of their lengths. Counts are pre-aggregated in every task.
+    """
+    marked = F.array_append(F.array_distinct("tokens"), F.lit(""))
+    wanted = terms.select("term").unionByName(terms.select(F.lit("").alias("term"))).distinct()
+    return (
+        toks.select(F.size("tokens").alias("len"), marked.alias("marked"))
+        .select("len", F.explode_outer("marked").alias("term"))
+        .join(wanted, "term", "left_semi")
         .groupBy("term")
-        .agg(F.count("*").alias("df"))
+        .agg(F.count("*").alias("df"), F.sum("len").alias("len_sum"))
     )
-    totals = toks.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg_len"))
-    return df, totals
+
+
+def collection_totals(stats: DataFrame) -> tuple[Column, Column]:
+    """Unit count and mean length as one scalar subquery over the statistics."""
+    whole = F.max(F.when(F.col("term") == "", F.struct("df", "len_sum")))
+    total = stats.agg(whole.alias("t")).select("t").scalar()
+    return total["df"], total["len_sum"] / total["df"]
 
 
 def bm25(units: DataFrame, questions: DataFrame, text: Column, cfg: Config = DEFAULTS) -> DataFrame:
-    """Okapi BM25 of every question against every unit that shares a term with it."""
+    """Okapi BM25 of every question against every unit that shares a term with it.
+
+    The statistics are one small row per question term and are kept, since the totals and the
+    term weights both need them. ``explode_outer`` keeps the optimizer from deriving a
+    "has tokens" filter below the exchange, which would tokenise the text once more.
+    """
     k1, b = cfg.bm25_k1, cfg.bm25_b
     terms = query_terms(questions)
-    body = units.select("chunk_id", text.alias("text"))
-    df, totals = collection_stats(body, terms, F.col("text"))
-    n, avg_len = totals.select("n").scalar(), totals.select("avg_len").scalar()
-    weights = terms.join(df, "term").select(
+    toks = _tokens_by_unit(units, text)
+    stats = collection_stats(toks, terms).persist()
+    n, avg_len = collection_totals(stats)
+    weights = terms.join(stats, "term").select(
         "query_id", "term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
     )
-    toks = _by_unit(body, "text").select("chunk_id", code_tokens(F.col("text")).alias("tokens"))
     postings = (
-        toks.select("chunk_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
+        toks.withColumn("len", F.size("tokens"))
+        .select(*UNIT, "len", F.explode_outer("tokens").alias("term"))
         .join(terms.select("term").distinct(), "term", "left_semi")
-        .groupBy("chunk_id", "len", "term")
+        .groupBy(*UNIT, "len", "term")
         .agg(F.count("*").cast("double").alias("tf"))
     )
     norm = k1 * (1 - b + b * F.col("len") / avg_len)
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
+    damped = postings.select(*UNIT, "term", (F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("part"))
     return (
-        postings.join(weights, "term")
-        .groupBy("query_id", "chunk_id")
-        .agg(F.round(F.sum(part), 9).alias("score"))
+        damped.join(broadcast_checked(weights, terms), "term")
+        .groupBy("query_id", *UNIT)
+        .agg(F.round(F.sum(F.col("idf") * F.col("part")), 9).alias("score"))
     )
 
 
@@ -90,24 +115,24 @@ def weighted_match(units: DataFrame, questions: DataFrame, head: Column, body: C
         lambda q: F.filter(tokens(q), lambda t: t != "or"),
     )
     tenths = lambda w: F.lit(int(round(w * 10)))
-    parts = _by_unit(units.select("chunk_id", head.alias("head"), body.alias("text")), "head", "text")
+    parts = units.select(*UNIT, head.alias("head"), body.alias("text"))
     hits = parts.select(
-        "chunk_id",
-        F.explode(
+        *UNIT,
+        F.explode_outer(
             F.concat(
                 F.transform(tokens(F.col("head")), lambda t: F.struct(t.alias("term"), tenths(cfg.weight_head).alias("w"))),
                 F.transform(tokens(F.col("text")), lambda t: F.struct(t.alias("term"), tenths(cfg.weight_body).alias("w"))),
             )
         ).alias("h"),
-    ).select("chunk_id", "h.term", "h.w")
+    ).select(*UNIT, "h.term", "h.w")
     weights = (
         hits.join(terms.select("term").distinct(), "term", "left_semi")
-        .groupBy("chunk_id", "term")
+        .groupBy(*UNIT, "term")
         .agg(F.sum("w").alias("w"))
     )
     return (
         weights.join(terms, "term")
-        .groupBy("query_id", "chunk_id")
+        .groupBy("query_id", *UNIT)
         .agg((F.sum("w") / 10.0).alias("score"))
     )
 
@@ -115,10 +140,10 @@ def weighted_match(units: DataFrame, questions: DataFrame, head: Column, body: C
 def match_counts(units: DataFrame, questions: DataFrame, body: Column) -> DataFrame:
     """How many units match any term of each question (the bare OR predicate)."""
     terms = query_terms(questions, words)
-    found = _by_unit(units.select("chunk_id", body.alias("text")), "text").select(
-        "chunk_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term")
+    found = units.select(
+        *UNIT, F.explode_outer(F.array_distinct(words(body))).alias("term")
     )
-    pairs = found.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("terms"))
+    pairs = found.join(terms, "term").groupBy("query_id", *UNIT).agg(F.count("*").alias("terms"))
     counts = pairs.groupBy("query_id").agg(
         F.count("*").alias("matched_units"), F.max("terms").alias("most_terms")
     )
@@ -129,33 +154,36 @@ def match_counts(units: DataFrame, questions: DataFrame, body: Column) -> DataFr
     )
 
 
-def verbatim_gold(units: DataFrame, questions: DataFrame, width: int = 5) -> DataFrame:
+def verbatim_gold(units: DataFrame, questions: DataFrame) -> DataFrame:
     """(query_id, doc_id) where the unit text holds the whole question text.
 
-    Inner words of a contained question are whole words of the text that contains it, so both
-    sides meet on a run of inner words (an equi-join) and the text check runs on those pairs
-    only. A question with fewer than ``width`` inner words meets on as many as it has; one
-    with none has no gold.
+    Inner words of a contained question are whole words of the text around it, so both sides
+    meet on one pair of neighbouring inner words, the longest of the question (an equi-join),
+    and the text check runs on those pairs only. Questions with a single inner word meet on
+    that word; a question with none has no gold.
     """
-    def run_key(tokens, at, w):
-        return F.xxhash64(w, F.array_join(F.slice(tokens, at, w), " "))
-
-    q = questions.select("query_id", "question", code_tokens(F.col("question")).alias("t")).where(F.size("t") >= 3)
-    keyed = q.select(
-        "query_id", F.least(F.size("t") - 2, F.lit(width)).alias("w"), "t"
-    ).select("query_id", "w", run_key(F.col("t"), F.lit(2), F.col("w")).alias("run"))
-    lengths = F.array(*[F.lit(r.w) for r in keyed.select("w").distinct().collect()]).cast("array<int>")
+    def neighbours(t):
+        n = F.greatest(F.size(t) - 1, F.lit(0))
+        return F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+
+    def longest(keys):
+        return F.array_max(F.transform(keys, lambda w: F.struct(F.length(w), w.alias("w"))))["w"]
+
+    q = questions.select("query_id", code_tokens(F.col("question")).alias("t")).where(F.size("t") >= 3)
+    inner = q.select("query_id", F.slice("t", F.lit(2), F.size("t") - 2).alias("t"))
+    several = inner.where(F.size("t") >= 2).select("query_id", longest(neighbours(F.col("t"))).alias("key"))
+    single = inner.where(F.size("t") == 1).select("query_id", F.get("t", F.lit(0)).alias("key"))
     toks = units.select("doc_id", code_tokens(F.col("text")).alias("t"))
 
-    def runs_of(w):
-        starts = F.sequence(F.lit(1), F.size("t") - w + 1)
-        return F.when(F.size("t") >= w, F.transform(starts, lambda i: run_key(F.col("t"), i, w)))
+    def meet(keys, anchors):
+        return toks.select("doc_id", F.explode_outer(F.array_distinct(keys)).alias("key")).join(anchors, "key")
 
-    runs = toks.select("doc_id", F.explode(F.array_distinct(F.flatten(F.filter(
-        F.transform(lengths, runs_of), lambda x: x.isNotNull())))).alias("run"))
-    maybe = runs.join(keyed.select("query_id", "run"), "run").select("query_id", "doc_id")
+    maybe = meet(neighbours(F.col("t")), several)
+    if not single.isEmpty():
+        maybe = maybe.unionByName(meet(F.col("t"), single))
     return (
-        maybe.join(questions.select("query_id", "question"), "query_id")
+        maybe.select("query_id", "doc_id")
+        .join(questions.select("query_id", "question"), "query_id")
         .join(units.select("doc_id", "text"), "doc_id")
         .where(F.contains("text", "question"))
         .select("query_id", "doc_id")

@@ -89,6 +89,20 @@ def cascade(pairs: DataFrame, cheap: Scorer, precise: Scorer, keep: int = DEFAUL
     ).drop("pass_rank")
 
 
+def judge_each(pairs: DataFrame, judges: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """Several judge runs over one shortlist in one plan: rows per strategy with rank and score.
+
+    Each run reorders the same partitioned rows, so the shortlist and its text are built once.
+    """
+    rows, parts = pairs.withColumn("first_rank", F.col("rank")), []
+    for name, run in judges.items():
+        done = run(rows.withColumn("rank", F.col("first_rank")))
+        rows = done.withColumnsRenamed({"rank": f"rank_{name}", "score": f"score_{name}"})
+        parts.append(F.struct(F.lit(name).alias("strategy"), F.col(f"rank_{name}").alias("rank"), F.col(f"score_{name}").alias("score")))
+    drop = [f"{c}_{n}" for n in judges for c in ("rank", "score")]
+    return rows.withColumn("_s", F.explode(F.array(*parts))).drop(*drop).select("*", "_s.*").drop("_s")
+
+
 def usage(pairs: DataFrame, mode: str, cfg: Config = DEFAULTS) -> DataFrame:
     """Requests, failures and input size of a judge run, per question.
 

@@ -50,18 +50,18 @@ class Study:
 
     @cached_property
     def chunks(self) -> DataFrame:
-        return chunking.document_chunks(self.docs, self.cfg)
+        return chunking.document_chunks(lexical.by_document(self.docs), self.cfg)
 
     @cached_property
     def gold(self) -> DataFrame:
-        return lexical.verbatim_gold(self.docs, self.questions)
+        return lexical.verbatim_gold(lexical.by_document(self.docs.select("doc_id", "text")), self.questions)
 
     def bm25_list(self, k: int) -> DataFrame:
         return lexical.bm25_topk(self.chunks, self.questions, F.concat_ws("\n", "title", "body"), k, self.cfg)
 
     def shortlists(self, *stages: str) -> DataFrame:
         return hybrid.shortlists(self.chunks, self.questions, list(stages), cfg=self.cfg).withColumn(
-            "doc_id", F.floor(F.col("chunk_id") / 100000)
+            "doc_id", F.expr("chunk_id div 100000")
         )
 
     def with_passages(self, listed: DataFrame) -> DataFrame:
@@ -79,35 +79,30 @@ class Study:
     def judge(self) -> rerank.Scorer:
         return rerank.overlap_scorer(min_chars=self.cfg.chunk_min_chars * 2)
 
-    def reranked(self, name: str) -> DataFrame:
+    def judges(self) -> dict:
         single = self.judge()
         batched = rerank.batched_scorer(single, self.cfg.batch_size)
-        made = {
-            "single": lambda: rerank.rerank(self.pairs, single),
-            "batched": lambda: rerank.rerank(self.pairs, batched),
-            "graded": lambda: rerank.rerank(self.pairs, rerank.graded_scorer()),
-            "cascade": lambda: rerank.cascade(
-                self.pairs.withColumn("first_rank", F.col("rank")), batched, single, self.cfg.cascade_keep
-            ),
+        return {
+            "hybrid": lambda p: p.withColumn("score", F.lit(None).cast("double")),
+            "hybrid+single": lambda p: rerank.rerank(p, single),
+            "hybrid+batched": lambda p: rerank.rerank(p, batched),
+            "hybrid+graded": lambda p: rerank.rerank(p, rerank.graded_scorer()),
+            "hybrid+cascade": lambda p: rerank.cascade(p, batched, single, self.cfg.cascade_keep),
         }
-        return made[name]().withColumn("strategy", F.lit(f"hybrid+{name}"))
-
-    def all_strategies(self) -> DataFrame:
-        """(strategy, query_id, doc_id, chunk_id, rank, score): the plain shortlist and three judges."""
-        cols = ["strategy", "query_id", "doc_id", "chunk_id", "rank", "score"]
-        plain = self.pairs.withColumn("strategy", F.lit("hybrid")).withColumn("score", F.lit(None).cast("double"))
-        out = plain.select(cols)
-        for name in ("single", "batched", "cascade"):
-            out = out.unionByName(self.reranked(name).select(cols))
-        return out
+
+    STRATEGIES = ["hybrid", "hybrid+single", "hybrid+batched", "hybrid+graded", "hybrid+cascade"]
+
+    def reranked(self, *names: str) -> DataFrame:
+        """(strategy, query_id, doc_id, chunk_id, rank, score, ...) for the named strategies, default all."""
+        wanted = {n: run for n, run in self.judges().items() if not names or n in names}
+        return rerank.judge_each(self.pairs, wanted)
 
     def stage_metrics(self) -> DataFrame:
         listed = self.shortlists("fts", "vector", "hybrid").withColumnRenamed("stage", "strategy")
         return self._metrics(listed, ["fts", "vector", "hybrid"])
 
     def strategy_metrics(self) -> DataFrame:
-        names = ["hybrid", "hybrid+single", "hybrid+batched", "hybrid+cascade"]
-        return self._metrics(self.all_strategies(), names)
+        return self._metrics(self.reranked(), self.STRATEGIES)
 
     def _metrics(self, listed: DataFrame, names: list[str]) -> DataFrame:
         flagged = metrics.flag_relevant(listed, self.gold)
@@ -127,13 +122,9 @@ class Study:
         depth = self.cfg.fetch_depth
         lex = hybrid.lexical_list(self.chunks, self.questions, depth, self.cfg)
         den = hybrid.dense_list(self.chunks, self.questions, depth, self.cfg)
-        short = hybrid.reciprocal_rank_fusion([lex, den], self.cfg.candidate_k, self.cfg)
-        named = lambda d, n: d.select("query_id", "chunk_id", F.col("score").alias(n))
-        base = short.select("query_id", "chunk_id", F.col("rank").alias("first_rank"))
-        both = base.join(named(lex, "lexical"), ["query_id", "chunk_id"], "left").join(
-            named(den, "dense"), ["query_id", "chunk_id"], "left"
-        )
-        judged = self.judge()(self.with_passages(both)).withColumnRenamed("score", "overlap")
+        short = hybrid.reciprocal_rank_fusion({"lexical": lex, "dense": den}, self.cfg.candidate_k, self.cfg)
+        base = short.select("query_id", "chunk_id", F.col("rank").alias("first_rank"), "lexical", "dense")
+        judged = self.judge()(self.with_passages(base)).withColumnRenamed("score", "overlap")
         long = F.explode(F.array(*[F.struct(F.lit(n).alias("ranker"), F.col(n).alias("score")) for n in self.RANKERS]))
         return judged.select("query_id", "chunk_id", "first_rank", long.alias("s")).select(
             "query_id", "chunk_id", "first_rank", "s.ranker", "s.score"
@@ -145,7 +136,7 @@ class Study:
     def fusion_grid(self) -> DataFrame:
         """Every combination scored on both halves of the questions that have gold."""
         lists = fusion.fuse_grid(self.ranker_scores(), self.RANKERS, self.cfg).withColumn(
-            "doc_id", F.floor(F.col("chunk_id") / 100000)
+            "doc_id", F.expr("chunk_id div 100000")
         )
         scored = metrics.query_metrics(metrics.flag_relevant(lists, self.gold), ["combo", "query_id"], self.cfg)
         with_gold = self.questions.select("query_id").join(self.gold.select("query_id").distinct(), "query_id", "left_semi")
@@ -165,7 +156,7 @@ class Study:
 
     @cached_property
     def line_windows(self) -> DataFrame:
-        cut = chunking.line_windows(self.docs, LINE_WINDOW)
+        cut = chunking.line_windows(lexical.by_document(self.docs), LINE_WINDOW)
         return cut.withColumn("chunk_id", F.col("doc_id") * 100000 + F.col("start_line")).withColumn(
             "title", F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
         )

@@ -27,3 +27,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def broadcast_within(df: DataFrame, rows_bound: int, limit: int = 1_000_000) -> DataFrame:
     """Broadcast hint only where the caller can prove the number of rows stays under ``limit``."""
     return F.broadcast(df) if rows_bound <= limit else df
+
+
+def broadcast_checked(df: DataFrame, counted: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """Broadcast hint after counting ``counted``, which has at least as many rows as ``df``.
+
+    Counting stops just past the limit; beyond it the join is shuffled with skew splitting.
+    """
+    return broadcast_within(df, counted.limit(limit + 1).count(), limit)
