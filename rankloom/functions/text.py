@@ -11,6 +11,14 @@ HEADING_PUNCTUATION = "[§()\\[\\]{}.:,;\"'–—-]"
 SECTION_SEPARATOR = "[;|]|\\s*,\\s*(?=\\d+[.\\s]*§)"
 
 
+WHITESPACE = " \t\n\r\f\x0b\u00a0"
+
+
+def strip(text: Column) -> Column:
+    """Trim every kind of white space, not spaces only."""
+    return F.trim(text, F.lit(WHITESPACE))
+
+
 def code_tokens(text: Column) -> Column:
     """Split camel case, lower, split on anything but ASCII letters and digits, drop single characters."""
     spaced = F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2")
@@ -35,7 +43,7 @@ def or_query(question: Column) -> Column:
 
 def split_file_list(raw: Column) -> Column:
     """Comma list of ``.md`` names whose names may hold commas; a leftover piece is kept."""
-    pieces = F.filter(F.transform(F.split(raw, ","), F.trim), lambda p: F.length(p) > 0)
+    pieces = F.filter(F.transform(F.split(raw, ","), strip), lambda p: F.length(p) > 0)
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def step(acc, piece):
@@ -53,7 +61,7 @@ def split_file_list(raw: Column) -> Column:
 
 
 def split_sections(raw: Column) -> Column:
-    return F.filter(F.transform(F.split(raw, SECTION_SEPARATOR), F.trim), lambda s: F.length(s) > 0)
+    return F.filter(F.transform(F.split(raw, SECTION_SEPARATOR), strip), lambda s: F.length(s) > 0)
 
 
 def heading_tokens(heading: Column) -> Column:
@@ -97,7 +105,7 @@ def section_relevant(sections: Column, heading: Column, heading_path: Column) ->
 
     def hit(s):
         want = normalise_heading(s)
-        return (F.length(F.trim(s)) > 0) & (
+        return (F.length(strip(s)) > 0) & (
             headings_match(s, heading) | ((F.length(want) > 12) & F.contains(path, want))
         )
 
@@ -112,7 +120,7 @@ def passage_text(title: Column, heading_path: Column, body: Column) -> Column:
 
 
 def title_or_id(title: Column, doc_id: Column) -> Column:
-    return F.coalesce(F.nullif(F.trim(title), F.lit("")), doc_id.cast("string"))
+    return F.coalesce(F.nullif(strip(title), F.lit("")), doc_id.cast("string"))
 
 
 def strip_title(file: Column) -> Column:
@@ -135,14 +143,14 @@ def humanize(label: Column) -> Column:
 
 def normal_label(x: Column) -> Column:
     """Case and surrounding quotes or sentence punctuation do not distinguish labels."""
-    return F.lower(F.trim(F.regexp_replace(F.trim(x), "^[`'\".?!]+|[`'\".?!]+$", "")))
+    return F.lower(strip(F.regexp_replace(strip(x), "^[`'\".?!]+|[`'\".?!]+$", "")))
 
 
 def label_candidates(answer: Column) -> Column:
     """Readings of a free-text answer, best first: as is, underscored, first word."""
     t = F.regexp_replace(normal_label(answer), "^(intent|label)\\s*:\\s*", "")
     return F.transform(
-        F.array(t, F.replace(t, F.lit(" "), F.lit("_")), F.element_at(F.split(F.trim(t), "\\s+"), 1)), normal_label
+        F.array(t, F.replace(t, F.lit(" "), F.lit("_")), F.get(F.split(strip(t), "\\s+"), F.lit(0))), normal_label
     )
 
 
@@ -153,14 +161,14 @@ def parse_label(answer: Column, labels: Column) -> Column:
     """
     named = F.transform(
         label_candidates(answer),
-        lambda c: F.element_at(F.filter(labels, lambda l: normal_label(l) == c), -1),
+        lambda c: F.try_element_at(F.filter(labels, lambda l: normal_label(l) == c), F.lit(-1)),
     )
     return F.get(F.filter(named, lambda l: l.isNotNull()), F.lit(0))
 
 
 def option_label(token: Column, labels: Column) -> Column:
     """Label at a 0-based option number; NULL when not a number or out of bounds."""
-    t = F.trim(token)
+    t = strip(token)
     return F.when(t.rlike("^[0-9]+$"), F.get(labels, t.try_cast("int")))
 
 
@@ -172,9 +180,9 @@ def yes_probability(top: Column, text: Column) -> Column:
     """Normalised mass of yes-tokens; when no token says yes or no, the text decides."""
 
     def mass(prefix):
-        said = F.filter(top, lambda t: F.lower(F.trim(t["token"])).startswith(prefix))
+        said = F.filter(top, lambda t: F.lower(strip(t["token"])).startswith(prefix))
         return F.aggregate(said, F.lit(0.0).cast("double"), lambda acc, t: acc + F.exp(t["logprob"]))
 
     yes, no = mass("yes"), mass("no")
-    said_yes = F.lower(F.trim(text)).startswith("yes").cast("double")
+    said_yes = F.lower(strip(text)).startswith("yes").cast("double")
     return F.when(yes + no > 0, yes / (yes + no)).otherwise(said_yes)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.config import Config, DEFAULTS
+from rankloom.functions.text import strip
 
 HEADING_LINE = "^(#{1,4})\\s+(.*)$"
 
@@ -26,7 +27,7 @@ def window_text(text: Column, max_chars: int, overlap: int) -> Column:
     start = F.struct(F.array().cast("array<string>").alias("done"), blank.alias("open"))
 
     def closed(acc):
-        kept = F.trim(acc["open"], F.lit(" \n\t\r"))
+        kept = strip(acc["open"])
         return F.when(F.length(kept) > 0, F.array_append(acc["done"], kept)).otherwise(acc["done"])
 
     def step(acc, p):
@@ -79,7 +80,7 @@ def markdown_sections(raw: Column) -> Column:
         lambda x, i: F.struct(
             i.alias("at"),
             F.length(F.regexp_extract(x, HEADING_LINE, 1)).alias("level"),
-            F.trim(F.regexp_extract(x, HEADING_LINE, 2)).alias("text"),
+            strip(F.regexp_extract(x, HEADING_LINE, 2)).alias("text"),
         ),
     )
     heads = F.filter(numbered, lambda h: h["level"] > 0)
@@ -107,7 +108,7 @@ def markdown_sections(raw: Column) -> Column:
         )
 
     filled = lambda s: (F.length(s["heading"]) > 0) | (
-        F.length(F.trim(F.array_join(s["body"], "\n"), F.lit(" \n\t\r"))) > 0
+        F.length(strip(F.array_join(s["body"], "\n"))) > 0
     )
     return F.filter(F.transform(marks, section), filled)
 
@@ -124,7 +125,7 @@ def merge_short_sections(sections: Column, min_chars: int) -> Column:
     )
 
     def tidy(body):
-        return F.trim(F.regexp_replace(F.array_join(body, "\n"), "\n{3,}", "\n\n"), F.lit(" \n\t\r"))
+        return strip(F.regexp_replace(F.array_join(body, "\n"), "\n{3,}", "\n\n"))
 
     def step(acc, s):
         held = acc["held"]
@@ -181,4 +182,4 @@ def line_windows(docs: DataFrame, size: int) -> DataFrame:
         (F.col("at") + 1).alias("start_line"),
         F.least(F.col("at") + size, F.size("lines")).alias("end_line"),
         body.alias("body"),
-    ).where(F.length(F.trim(F.col("body"), F.lit(" \n\t\r"))) > 0)
+    ).where(F.length(strip(F.col("body"))) > 0)

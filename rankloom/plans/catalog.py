@@ -16,8 +16,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
 
+def _wide_integers(df: DataFrame) -> DataFrame:
+    """Results use one integer width."""
+    return df.select(*[F.col(c).cast("bigint").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
+
+
 def query(fn: Callable[[Study], DataFrame]) -> Callable[[Study], DataFrame]:
-    REGISTRY[fn.__name__] = lambda spark, path: fn(Study(spark, path))
+    REGISTRY[fn.__name__] = lambda spark, path: _wide_integers(fn(Study(spark, path)))
     return fn
 
 
@@ -150,8 +155,8 @@ def markdown_chunks(s: Study) -> DataFrame:
 
 @query
 def heading_outline(s: Study) -> DataFrame:
-    cut = s.markdown_pages().select("doc_id", F.posexplode(chunking.markdown_sections(F.col("text"))).alias("at", "x"))
-    return cut.select("doc_id", "at", "x.heading", "x.path", F.size("x.body").alias("n_lines"))
+    cut = s.markdown_pages().select("doc_id", F.posexplode(chunking.markdown_sections(F.col("text"))).alias("position", "x"))
+    return cut.select("doc_id", "position", "x.heading", "x.path", F.size("x.body").alias("n_lines"))
 
 
 @query

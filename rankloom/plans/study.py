@@ -164,7 +164,7 @@ class Study:
     def _ranges(self, ranked: DataFrame, keep: int) -> DataFrame:
         """Line bounds follow from the window id and the file's line count, so no text is joined back."""
         lines = self.line_windows.select("chunk_id", "doc_id", "start_line", "end_line")
-        top = ranked.where(F.col("rank") <= keep)
+        top = ranked.where(F.col("rank") <= keep).select("query_id", "chunk_id", "rank", "score")
         return lines.join(broadcast_within(top, self.question_count * keep), "chunk_id")
 
     def ranked_windows(self, keep: int = 120) -> DataFrame:
