@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 Z95 = 1.959963984540054
 
@@ -21,7 +22,7 @@ def wilson(successes: Column, n: Column) -> tuple[Column, Column]:
     return F.greatest(mid - half, F.lit(0.0)), F.least(mid + half, F.lit(1.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def exact_sign_p(only_a: pd.Series, only_b: pd.Series) -> pd.Series:
     """Two-sided exact binomial p at one half. Used on a handful of aggregated rows.
 

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import text as tx
 from rankloom.functions import vectors as vx
-from rankloom.operators import chunking, classify, corpus, dense, fusion, hybrid, intervals, lexical, metrics, rerank
+from rankloom.functions.stemming import stemmed_words
+from rankloom.operators import (
+    chunking, classify, corpus, dense, fusion, hybrid, intervals, learned, lexical, metrics, rerank,
+)
 from rankloom.plans.study import Study
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -605,3 +608,34 @@ def humanized_labels(s: Study) -> DataFrame:
     return s.table("events").groupBy("event_type").agg(F.count("*").alias("n")).select(
         tx.humanize(F.concat_ws("_", F.lit("event"), "event_type")).alias("label"), "n"
     )
+
+
+# ------------------------------------------------- learned and approximate (no SQL check)
+@query
+def tfidf_lr(s: Study) -> DataFrame:
+    """Word and character TF-IDF with logistic regression: who wrote a conversation turn."""
+    messages = s.table("conversations").select(
+        (F.col("conv_id") * 100000 + F.col("turn")).alias("id"), "text", F.col("role").alias("label")
+    )
+    train, test = learned.tfidf_features(*classify.split(messages))
+    return _flat(classify.prediction_rows(learned.fit_predict(train, test, c=20.0, tol=1e-3), "tfidf-lr"))
+
+
+@query
+def emb_lr(s: Study) -> DataFrame:
+    train, test = (learned.vector_features(d) for d in classify.split(s.vectors))
+    return _flat(classify.prediction_rows(learned.fit_predict(train, test, c=10.0), "emb-lr"))
+
+
+@query
+def lsh_topk(s: Study) -> DataFrame:
+    units = s.vectors.select(F.col("id").alias("chunk_id"), vx.unit(F.col("vec")).alias("vec"))
+    queries = s.label_queries().select("query_id", vx.unit(F.col("vec")).alias("vec"))
+    return learned.approximate_neighbours(queries, units, s.cfg.candidate_k).select(RANKED)
+
+
+@query
+def lexical_stemmed_topk(s: Study) -> DataFrame:
+    """The weighted match over Finnish stems without stop words."""
+    scored = lexical.weighted_match(s.chunks, s.questions, F.col("title"), F.col("body"), stemmed_words, s.cfg)
+    return lexical.best_k(scored, s.cfg.candidate_k).select(RANKED)
