@@ -20,6 +20,7 @@ from rankloom.operators.lexical import best_k
 
 PAIR_SCHEMA = "query_id long, chunk_id long, score double"
 SCORE_DIGITS = 9
+SIMILARITY_VALUES = 4_000_000
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -57,6 +58,20 @@ def _keep_best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray,
     return np.take_along_axis(scores, order, axis=1), np.take_along_axis(ids, order, axis=1)
 
 
+def _best_of(q: np.ndarray, best: tuple, ids: np.ndarray, c: np.ndarray, k: int, cosine: bool) -> tuple:
+    """Merge the rows ``c`` into the running best of every query, in slices of bounded size."""
+    step = max(1, SIMILARITY_VALUES // max(1, len(q)))
+    for at in range(0, len(c), step):
+        sims = _similarity(q, c[at : at + step], cosine)
+        part = np.broadcast_to(ids[at : at + step], sims.shape)
+        best = _keep_best(np.hstack([best[0], sims]), np.hstack([best[1], part]), k)
+    return best
+
+
+def _none_yet(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.empty((n, 0)), np.empty((n, 0), dtype=np.int64)
+
+
 def _pairs(query_ids: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> dict:
     n = scores.shape[1]
     return {"query_id": np.repeat(query_ids, n), "chunk_id": ids.ravel(), "score": scores.ravel()}
@@ -75,13 +90,9 @@ def _one_pass(queries: pa.Table, collection: DataFrame, k: int, cosine: bool, di
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, q = shared.value
-        best = np.empty((len(query_ids), 0)), np.empty((len(query_ids), 0), dtype=np.int64)
+        best = _none_yet(len(query_ids))
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            ids = np.broadcast_to(batch.column(0).to_numpy(), (len(query_ids), batch.num_rows))
-            sims = _similarity(q, _matrix(batch.column(1), dims), cosine)
-            best = _keep_best(np.hstack([best[0], sims]), np.hstack([best[1], ids]), k)
+            best = _best_of(q, best, batch.column(0).to_numpy(), _matrix(batch.column(1), dims), k, cosine)
         yield pa.RecordBatch.from_pydict(_pairs(query_ids, *best))
 
     return collection.mapInArrow(scan, PAIR_SCHEMA)
@@ -99,11 +110,11 @@ def _block_grid(queries: DataFrame, collection: DataFrame, k: int, cosine: bool,
 
     def meet(q: pa.Table, c: pa.Table) -> pa.Table:
         query_ids = q.column("query_id").to_numpy()
-        if q.num_rows == 0 or c.num_rows == 0:
-            return pa.Table.from_pydict(_pairs(query_ids[:0], np.empty((0, 0)), np.empty((0, 0), dtype=np.int64)))
-        sims = _similarity(_matrix(q.column("vec"), dims), _matrix(c.column("vec"), dims), cosine)
-        ids = np.broadcast_to(c.column("chunk_id").to_numpy(), sims.shape)
-        return pa.Table.from_pydict(_pairs(query_ids, *_keep_best(sims, ids, k)))
+        best = _none_yet(len(query_ids))
+        if q.num_rows and c.num_rows:
+            ids, rows = c.column("chunk_id").to_numpy(), _matrix(c.column("vec"), dims)
+            best = _best_of(_matrix(q.column("vec"), dims), best, ids, rows, k, cosine)
+        return pa.Table.from_pydict(_pairs(query_ids, *best))
 
     return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(meet, PAIR_SCHEMA)
 
@@ -129,29 +140,36 @@ def similarities(rows: DataFrame, anchors: DataFrame, cosine: bool = True, cfg:
                  dims: int = 64) -> DataFrame:
     """``rows(id, vec)`` with ``sims``: an array of (anchor, sim) over all of ``anchors(anchor, vec)``.
 
-    Anchors are a label set, so the output is proportional to rows; they must fit the limit.
+    Anchors are a label set; more of them than fit one copy are compared block by block.
     """
-    small = _collect_within(anchors.select(F.col("anchor").cast("long"), "vec"), cfg.broadcast_values // dims)
+    anchors = anchors.select(F.col("anchor").cast("long"), "vec")
+    rows = rows.select(F.col("id").cast("long"), "vec")
+    limit = cfg.broadcast_values // dims
+    small = _collect_within(anchors, limit)
     if small is None:
-        raise ValueError("label set exceeds the single-copy limit; use nearest() with k = number of labels")
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast((small.column(0).to_numpy(), _matrix(small.column(1), dims)))
+        every = _block_grid(anchors.withColumnRenamed("anchor", "query_id"), rows.withColumnRenamed("id", "chunk_id"),
+                            2 * limit, cosine, dims, limit, limit)
+        pair = F.struct(F.col("query_id").alias("anchor"), F.col("score").alias("sim"))
+        return every.groupBy(F.col("chunk_id").alias("id")).agg(F.array_sort(F.collect_list(pair)).alias("sims"))
+    order = np.argsort(small.column(0).to_numpy())
+    shared = rows.sparkSession.sparkContext.broadcast((small.column(0).to_numpy()[order], _matrix(small.column(1), dims)[order]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, a = shared.value
+        step = max(1, SIMILARITY_VALUES // len(names))
         for batch in batches:
-            sims = _similarity(_matrix(batch.column(1), dims), a, cosine)
-            offsets = pa.array(np.arange(0, sims.size + 1, len(names), dtype=np.int32))
-            pairs = pa.StructArray.from_arrays(
-                [pa.array(np.tile(names, batch.num_rows)), pa.array(sims.ravel())], names=["anchor", "sim"]
-            )
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(offsets, pairs)], names=["id", "sims"]
-            )
-
-    return rows.select(F.col("id").cast("long"), "vec").mapInArrow(
-        scan, "id long, sims array<struct<anchor: long, sim: double>>"
-    )
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                sims = _similarity(_matrix(part.column(1), dims), a, cosine)
+                offsets = pa.array(np.arange(0, sims.size + 1, len(names), dtype=np.int32))
+                pairs = pa.StructArray.from_arrays(
+                    [pa.array(np.tile(names, part.num_rows)), pa.array(sims.ravel())], names=["anchor", "sim"]
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.ListArray.from_arrays(offsets, pairs)], names=["id", "sims"]
+                )
+
+    return rows.mapInArrow(scan, "id long, sims array<struct<anchor: long, sim: double>>")
 
 
 def centroids(vectors: DataFrame, label: str, vec: str, digits: int = 6) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.config import Config, DEFAULTS
@@ -13,19 +13,25 @@ from rankloom.operators.dense import nearest
 from rankloom.operators.lexical import best_k, weighted_match
 
 
-def reciprocal_rank_fusion(lists: dict[str, DataFrame], k: int, cfg: Config = DEFAULTS) -> DataFrame:
-    """Named lists of (query_id, chunk_id, rank, score), fused by the sum of 1/(constant + rank).
+def merge_lists(lists: dict[str, DataFrame], cfg: Config = DEFAULTS) -> DataFrame:
+    """Named lists of (query_id, chunk_id, rank, score) side by side, one row per listed chunk.
 
-    Each list's own score rides along in a column of its name, NULL where it lacks the chunk.
+    ``score`` is the sum of 1/(constant + rank); each list's own rank and score sit in
+    ``<name>_rank`` and ``<name>``, NULL where it lacks the chunk.
     """
     def votes(name):
-        own = [F.when(F.lit(n == name), F.col("score")).alias(n) for n in lists]
+        own = [F.when(F.lit(n == name), F.col(c)).alias(n + suffix)
+               for n in lists for c, suffix in (("score", ""), ("rank", "_rank"))]
         return lists[name].select("query_id", "chunk_id", (1.0 / (cfg.rrf_k + F.col("rank"))).alias("w"), *own)
 
-    fused = reduce(DataFrame.unionByName, map(votes, lists)).groupBy("query_id", "chunk_id").agg(
-        F.round(F.sum("w"), 12).alias("score"), *[F.max(n).alias(n) for n in lists]
+    own = [n + suffix for n in lists for suffix in ("", "_rank")]
+    return reduce(DataFrame.unionByName, map(votes, lists)).groupBy("query_id", "chunk_id").agg(
+        F.round(F.sum("w"), 12).alias("score"), *[F.max(c).alias(c) for c in own]
     )
-    return best_k(fused, k)
+
+
+def reciprocal_rank_fusion(lists: dict[str, DataFrame], k: int, cfg: Config = DEFAULTS) -> DataFrame:
+    return best_k(merge_lists(lists, cfg), k)
 
 
 def lexical_list(chunks: DataFrame, questions: DataFrame, k: int, cfg: Config = DEFAULTS) -> DataFrame:
@@ -45,16 +51,24 @@ def shortlists(chunks: DataFrame, questions: DataFrame, stages: list[str], k: in
     Only ids travel through ranking; text is joined to the short result by the caller.
     """
     k = k or cfg.candidate_k
-    depth = max(2 * k, k)
-    lexical = lexical_list(chunks, questions, depth, cfg) if {"fts", "hybrid"} & set(stages) else None
-    dense = dense_list(chunks, questions, depth, cfg) if {"vector", "hybrid"} & set(stages) else None
-    made = {
-        "fts": lambda: lexical.where(F.col("rank") <= k),
-        "vector": lambda: dense.where(F.col("rank") <= k),
-        "hybrid": lambda: reciprocal_rank_fusion({"lexical": lexical, "dense": dense}, k, cfg),
-    }
-    out = [
-        made[s]().select(F.lit(s).alias("stage"), "query_id", F.col("rank").cast("int").alias("rank"), "chunk_id", "score")
-        for s in stages
+    depth = 2 * k
+    if stages == ["fts"]:
+        ranked = lexical_list(chunks, questions, k, cfg)
+    elif stages == ["vector"]:
+        ranked = dense_list(chunks, questions, k, cfg)
+    else:
+        lists = {"fts": lexical_list(chunks, questions, depth, cfg), "vector": dense_list(chunks, questions, depth, cfg)}
+        return _stages_of(merge_lists(lists, cfg), stages, k)
+    return ranked.select(F.lit(stages[0]).alias("stage"), "query_id", F.col("rank").cast("int").alias("rank"), "chunk_id", "score")
+
+
+def _stages_of(merged: DataFrame, stages: list[str], k: int) -> DataFrame:
+    """Several stages from one pass over both lists; a question has at most a few hundred merged rows."""
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
+    ranked = merged.select("*", F.row_number().over(order).alias("hybrid_rank"), F.col("score").alias("hybrid"))
+    rows = [
+        F.struct(F.lit(n).alias("stage"), F.col(f"{n}_rank").cast("int").alias("rank"), F.col(n).alias("score")) for n in stages
     ]
-    return reduce(DataFrame.unionByName, out)
+    return ranked.select("query_id", "chunk_id", F.explode(F.array(*rows)).alias("s")).where(F.col("s.rank") <= k).select(
+        "s.stage", "query_id", "s.rank", "chunk_id", "s.score"
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.config import Config, DEFAULTS
@@ -18,17 +18,20 @@ def flag_relevant(ranked: DataFrame, gold: DataFrame) -> DataFrame:
     return ranked.join(marked, ["query_id", "doc_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(False)))
 
 
-def query_metrics(flagged: DataFrame, keys: list[str], cfg: Config = DEFAULTS) -> DataFrame:
+def query_metrics(flagged: DataFrame, keys: list[str], cfg: Config = DEFAULTS, top_score: bool = False) -> DataFrame:
     """First relevant rank, hit at depths, reciprocal rank and binary nDCG per list.
 
-    The nDCG ideal is taken over the relevant items in the list itself.
+    The nDCG ideal is taken over the relevant items in the list itself. ``top_score`` adds the
+    score of the first candidate.
     """
+    extra = [F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top_score")] if top_score else []
     k = cfg.eval_k
     gain = F.when(F.col("rel") & (F.col("rank") <= k), 1.0 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)
     agg = flagged.groupBy(*keys).agg(
         F.min(F.when(F.col("rel"), F.col("rank"))).alias("first_rank"),
         F.count_if("rel").alias("n_rel"),
         F.sum(gain).alias("dcg"),
+        *extra,
     )
     ideal = F.aggregate(
         F.sequence(F.lit(1), F.greatest(F.least(F.lit(k), F.col("n_rel").cast("int")), F.lit(1))),
@@ -42,6 +45,7 @@ def query_metrics(flagged: DataFrame, keys: list[str], cfg: Config = DEFAULTS) -
         *[F.coalesce(first <= d, F.lit(False)).cast("int").alias(f"hit_at_{d}") for d in DEPTHS],
         F.round(F.when(first <= k, 1.0 / first).otherwise(0.0), 9).alias("rr"),
         F.round(F.when(F.col("n_rel") > 0, F.col("dcg") / ideal).otherwise(0.0), 9).alias("ndcg"),
+        *(["top_score"] if top_score else []),
     )
 
 
@@ -52,6 +56,7 @@ def keep_empty(metrics: DataFrame, questions: DataFrame, strategies: list[str])
     return base.join(metrics, ["strategy", "query_id"], "left").select(
         "strategy", "query_id", "first_rank", *zero.values(),
         F.coalesce("rr", F.lit(0.0)).alias("rr"), F.coalesce("ndcg", F.lit(0.0)).alias("ndcg"),
+        *[c for c in metrics.columns if c == "top_score"],
     )
 
 
@@ -70,9 +75,18 @@ def ceiling(metrics: DataFrame, keys: list[str]) -> DataFrame:
     return metrics.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg(found), 9).alias("ceiling"))
 
 
-def movement(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Questions moved up, down or not, per strategy. Both sides: (strategy, query_id, first_rank)."""
-    pair = paired_ranks(before, after)
+def paired_ranks(per_query: DataFrame, baseline: str) -> DataFrame:
+    """First relevant rank before (the ``baseline`` strategy) and after, for every other strategy.
+
+    A question has one row per strategy, so the baseline is read inside its group instead of by a self-join.
+    """
+    rank = F.coalesce("first_rank", F.lit(NOT_FOUND))
+    base = F.max(F.when(F.col("strategy") == baseline, rank)).over(Window.partitionBy("query_id"))
+    return per_query.select("strategy", "query_id", base.alias("before"), rank.alias("after")).where(F.col("strategy") != baseline)
+
+
+def movement(pair: DataFrame) -> DataFrame:
+    """Questions moved up, down or not, per strategy."""
     return pair.groupBy("strategy").agg(
         F.count_if(F.col("after") < F.col("before")).alias("moved_up"),
         F.count_if(F.col("after") > F.col("before")).alias("moved_down"),
@@ -80,12 +94,6 @@ def movement(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def paired_ranks(before: DataFrame, after: DataFrame) -> DataFrame:
-    b = before.select("query_id", F.coalesce("first_rank", F.lit(NOT_FOUND)).alias("before"))
-    a = after.select("strategy", "query_id", F.coalesce("first_rank", F.lit(NOT_FOUND)).alias("after"))
-    return a.join(b, "query_id")
-
-
 def outcome(pair: DataFrame) -> DataFrame:
     """Rescued (to first from below third), broken (first lost) and missed questions."""
     a, b = F.col("after"), F.col("before")

@@ -373,23 +373,17 @@ def rerank_metrics_agg(s: Study) -> DataFrame:
 
 @query
 def movement(s: Study) -> DataFrame:
-    m = s.strategy_metrics()
-    return metrics.movement(m.where(F.col("strategy") == "hybrid"), m.where(F.col("strategy") != "hybrid"))
+    return metrics.movement(metrics.paired_ranks(s.strategy_metrics(), "hybrid"))
 
 
 @query
 def rescued_broken(s: Study) -> DataFrame:
-    m = s.strategy_metrics()
-    pair = metrics.paired_ranks(m.where(F.col("strategy") == "hybrid"), m.where(F.col("strategy") != "hybrid"))
-    return metrics.outcome(pair)
+    return metrics.outcome(metrics.paired_ranks(s.strategy_metrics(), "hybrid"))
 
 
 @query
 def abstention_curve(s: Study) -> DataFrame:
-    listed = s.reranked()
-    tops = listed.groupBy("strategy", "query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top_score"))
-    firsts = s._metrics(listed, s.STRATEGIES).select("strategy", "query_id", "first_rank")
-    return metrics.abstention(firsts.join(tops, ["strategy", "query_id"], "left"))
+    return metrics.abstention(s.strategy_metrics())
 
 
 @query

@@ -102,17 +102,13 @@ class Study:
         return self._metrics(listed, ["fts", "vector", "hybrid"])
 
     def strategy_metrics(self) -> DataFrame:
-        return self._metrics(self.reranked(), self.STRATEGIES)
+        return self._metrics(self.reranked(), self.STRATEGIES, top_score=True)
 
-    def _metrics(self, listed: DataFrame, names: list[str]) -> DataFrame:
+    def _metrics(self, listed: DataFrame, names: list[str], top_score: bool = False) -> DataFrame:
         flagged = metrics.flag_relevant(listed, self.gold)
-        per_query = metrics.query_metrics(flagged, ["strategy", "query_id"], self.cfg)
+        per_query = metrics.query_metrics(flagged, ["strategy", "query_id"], self.cfg, top_score)
         return metrics.keep_empty(per_query, self.questions, names)
 
-    def split_baseline(self) -> tuple[DataFrame, DataFrame]:
-        m = self.strategy_metrics()
-        return m.where(F.col("strategy") == "hybrid"), m.where(F.col("strategy") != "hybrid")
-
     # ---------------------------------------------------------------- fusion
 
     RANKERS = ["lexical", "dense", "overlap"]

@@ -40,8 +40,8 @@ def in_reading_order(docs: DataFrame) -> DataFrame:
 def source_tree(spark: SparkSession, folder: str) -> DataFrame:
     """``(file, text)`` of the source files below ``folder``; malformed bytes become replacement characters."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    root = folder.rstrip("/")
-    relative = F.regexp_replace("path", "^.*?" + "".join("\\" + c if not c.isalnum() and c != "/" else c for c in root) + "/", "")
+    root = folder.rstrip("/") + "/"
+    relative = F.substring_index("path", root, -1)
     files = raw.select(relative.alias("file"), "content").where(F.col("file").rlike(SOURCE_FILES))
     return files.select("file", _lenient_text(F.col("content")).alias("text"))
 

@@ -83,6 +83,13 @@ def test_nearest_one_pass_and_blocks(spark, values):
         assert [got[qi, i + 1] for i in range(5)] == [(ci, pytest.approx(s)) for s, ci in want]
 
 
+def test_similarities_in_one_copy_and_in_blocks(spark):
+    rows, _ = vectors(spark, 37, "id", 3)
+    anchors, _ = vectors(spark, 13, "anchor", 4)
+    a, b = (dense.similarities(rows, anchors, cfg=Config(broadcast_values=v), dims=4) for v in (4_000_000, 20))
+    assert {r.id: r.sims for r in a.collect()} == {r.id: r.sims for r in b.collect()} and a.count() == 37
+
+
 def test_sparse_and_dense_vectors_agree(spark):
     docs = spark.createDataFrame([(1, 10, "alpha beta beta"), (2, 20, "gamma delta"), (3, 30, "!")], "doc_id long, chunk_id long, text string")
     sparse = vx.hashed_vectors(docs, ["doc_id", "chunk_id"], F.col("text"), 8)
