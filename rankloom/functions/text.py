@@ -20,14 +20,14 @@ def strip(text: Column) -> Column:
 
 
 def code_tokens(text: Column) -> Column:
-    """Split camel case, lower, split on anything but ASCII letters and digits, drop single characters."""
+    """Split camel case, lower, keep runs of two or more ASCII letters and digits."""
     spaced = F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2")
-    return F.filter(F.split(F.lower(spaced), "[^a-z0-9]+"), lambda t: F.length(t) > 1)
+    return F.regexp_extract_all(F.lower(spaced), F.lit("[a-z0-9]{2,}"), F.lit(0))
 
 
 def words(text: Column) -> Column:
     """Lower-cased runs of letters and digits of any script."""
-    return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda t: F.length(t) > 0)
+    return F.regexp_extract_all(F.lower(text), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
 
 
 def or_terms(question: Column) -> Column:

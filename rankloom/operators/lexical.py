@@ -32,6 +32,7 @@ def best_k(scored: DataFrame, k: int, key: str = "chunk_id", group: str = "query
 
 
 UNIT = ["doc_id", "chunk_id"]
+HEAD_MARK = "^"  # no token holds it
 
 
 def by_document(docs: DataFrame) -> DataFrame:
@@ -114,17 +115,17 @@ def weighted_match(units: DataFrame, questions: DataFrame, head: Column, body: C
         questions.select("query_id", or_query(F.col("question")).alias("question")),
         lambda q: F.filter(tokens(q), lambda t: t != "or"),
     )
-    tenths = lambda w: F.lit(int(round(w * 10)))
-    parts = units.select(*UNIT, head.alias("head"), body.alias("text"))
-    hits = parts.select(
+    tenths = lambda w: int(round(w * 10))
+    marked = F.transform(tokens(head), lambda t: F.concat(F.lit(HEAD_MARK), t))
+    hits = units.select(*UNIT, F.concat(marked, tokens(body)).alias("terms")).select(
+        *UNIT, F.explode_outer("terms").alias("t")
+    )
+    in_head = F.col("t").startswith(HEAD_MARK)
+    hits = hits.select(
         *UNIT,
-        F.explode_outer(
-            F.concat(
-                F.transform(tokens(F.col("head")), lambda t: F.struct(t.alias("term"), tenths(cfg.weight_head).alias("w"))),
-                F.transform(tokens(F.col("text")), lambda t: F.struct(t.alias("term"), tenths(cfg.weight_body).alias("w"))),
-            )
-        ).alias("h"),
-    ).select(*UNIT, "h.term", "h.w")
+        F.when(in_head, F.substring("t", 2, 1_000_000)).otherwise(F.col("t")).alias("term"),
+        F.when(in_head, tenths(cfg.weight_head)).otherwise(tenths(cfg.weight_body)).alias("w"),
+    )
     weights = (
         hits.join(terms.select("term").distinct(), "term", "left_semi")
         .groupBy(*UNIT, "term")

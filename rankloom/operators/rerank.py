@@ -31,19 +31,31 @@ def overlap_share(question, passage):
     return F.round(F.try_divide(F.size(F.array_intersect(q, p)), F.size(q)), 6)
 
 
+def measured(pairs: DataFrame) -> DataFrame:
+    """Replace the wide texts by what the local judges and the accounting need of them.
+
+    Done once before any reordering, so passages are read where they lie and never shuffled.
+    """
+    return pairs.withColumns({
+        "overlap": overlap_share(F.col("question"), F.col("passage")),
+        "passage_chars": F.length("passage"), "question_chars": F.length("question"),
+    }).drop("question", "passage")
+
+
 def overlap_scorer(min_chars: int = 0) -> Scorer:
     """Local deterministic judge; passages shorter than ``min_chars`` count as failed requests."""
 
     def score(pairs: DataFrame) -> DataFrame:
-        s = F.when(F.length("passage") >= min_chars, overlap_share(F.col("question"), F.col("passage")))
-        return pairs.withColumn("score", s)
+        known = pairs if "overlap" in pairs.columns else measured(pairs)
+        return known.withColumn("score", F.when(F.col("passage_chars") >= min_chars, F.col("overlap")))
 
     return score
 
 
 def graded_scorer(levels: int = 3) -> Scorer:
     def score(pairs: DataFrame) -> DataFrame:
-        return pairs.withColumn("score", F.round(levels * overlap_share(F.col("question"), F.col("passage")), 4))
+        known = pairs if "overlap" in pairs.columns else measured(pairs)
+        return known.withColumn("score", F.round(levels * F.col("overlap"), 4))
 
     return score
 
@@ -104,17 +116,17 @@ def judge_each(pairs: DataFrame, judges: dict[str, Callable[[DataFrame], DataFra
 
 
 def usage(pairs: DataFrame, mode: str, cfg: Config = DEFAULTS) -> DataFrame:
-    """Requests, failures and input size of a judge run, per question.
+    """Requests, failures and input size of a judge run over ``measured`` pairs, per question.
 
     ``mode``: ``single`` (one request per candidate), ``batched`` or ``cascade``. Input size is
     counted in characters, a stand-in for tokens; a batch sends the question once.
     """
     batches = F.ceil(F.count("*") / cfg.batch_size)
-    passages = F.sum(F.length("passage"))
-    question = F.max(F.length("question"))
+    passages = F.sum("passage_chars")
+    question = F.max("question_chars")
     kept = F.least(F.count("*"), F.lit(cfg.cascade_keep))
     requests = {"single": F.count("*"), "batched": batches, "cascade": batches + kept}[mode]
-    kept_chars = F.sum(F.when(F.col("rank") <= cfg.cascade_keep, F.length("passage")).otherwise(0))
+    kept_chars = F.sum(F.when(F.col("rank") <= cfg.cascade_keep, F.col("passage_chars")).otherwise(0))
     again = kept_chars if mode == "cascade" else F.lit(0)
     return pairs.groupBy("query_id").agg(
         requests.cast("long").alias("requests"),

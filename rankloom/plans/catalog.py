@@ -388,7 +388,7 @@ def abstention_curve(s: Study) -> DataFrame:
 
 @query
 def usage_cost(s: Study) -> DataFrame:
-    single = rerank.rerank(s.pairs, s.judge())
+    single = rerank.rerank(s.measured_pairs, s.judge())
     used = [
         rerank.usage(single, mode, s.cfg).withColumn("strategy", F.lit(f"hybrid+{mode}")) for mode in ("single", "batched", "cascade")
     ]

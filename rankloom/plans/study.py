@@ -76,6 +76,10 @@ class Study:
     def pairs(self) -> DataFrame:
         return self.with_passages(self.shortlists("hybrid")).drop("score", "stage")
 
+    @cached_property
+    def measured_pairs(self) -> DataFrame:
+        return rerank.measured(self.pairs)
+
     def judge(self) -> rerank.Scorer:
         return rerank.overlap_scorer(min_chars=self.cfg.chunk_min_chars * 2)
 
@@ -95,7 +99,7 @@ class Study:
     def reranked(self, *names: str) -> DataFrame:
         """(strategy, query_id, doc_id, chunk_id, rank, score, ...) for the named strategies, default all."""
         wanted = {n: run for n, run in self.judges().items() if not names or n in names}
-        return rerank.judge_each(self.pairs, wanted)
+        return rerank.judge_each(self.measured_pairs, wanted)
 
     def stage_metrics(self) -> DataFrame:
         listed = self.shortlists("fts", "vector", "hybrid").withColumnRenamed("stage", "strategy")
@@ -120,7 +124,7 @@ class Study:
         den = hybrid.dense_list(self.chunks, self.questions, depth, self.cfg)
         short = hybrid.reciprocal_rank_fusion({"lexical": lex, "dense": den}, self.cfg.candidate_k, self.cfg)
         base = short.select("query_id", "chunk_id", F.col("rank").alias("first_rank"), "lexical", "dense")
-        judged = self.judge()(self.with_passages(base)).withColumnRenamed("score", "overlap")
+        judged = self.judge()(self.with_passages(base)).drop("overlap").withColumnRenamed("score", "overlap")
         long = F.explode(F.array(*[F.struct(F.lit(n).alias("ranker"), F.col(n).alias("score")) for n in self.RANKERS]))
         return judged.select("query_id", "chunk_id", "first_rank", long.alias("s")).select(
             "query_id", "chunk_id", "first_rank", "s.ranker", "s.score"
