@@ -114,34 +114,22 @@ def abstention(tops: DataFrame) -> DataFrame:
     """``tops(strategy, query_id, top_score, first_rank)``: share answered and precision per threshold.
 
     The scale follows from the strategy's highest score. Strategies without scores give no rows.
+    Both scales are counted with partial sums, every group sees all rows of its strategy, and
+    the scale that applies is kept afterwards, so nothing is joined on the strategy.
     """
-    scale = tops.groupBy("strategy").agg(F.max("top_score").alias("high"), F.count("*").alias("evaluable"))
-    steps = scale.where(F.col("high").isNotNull()).select(
-        "strategy", "evaluable",
-        F.explode(
-            F.when(F.col("high") > 1.5, F.array(*map(F.lit, RUBRIC_STEPS))).otherwise(
-                F.array(*map(F.lit, PROBABILITY_STEPS))
-            )
-        ).alias("threshold"),
+    steps = [F.struct(F.lit(rubric).alias("rubric"), F.lit(t).alias("threshold"))
+             for rubric, scale in ((False, PROBABILITY_STEPS), (True, RUBRIC_STEPS)) for t in scale]
+    met = F.coalesce(F.col("top_score") >= F.col("t.threshold"), F.lit(False))
+    counted = tops.select("strategy", "top_score", "first_rank", F.explode(F.array(*steps)).alias("t")).groupBy(
+        "strategy", F.col("t.rubric").alias("rubric"), F.col("t.threshold").alias("threshold")
+    ).agg(
+        F.max("top_score").alias("high"), F.count("*").alias("evaluable"),
+        F.count_if(met).alias("answered_n"), F.count_if(met & (F.col("first_rank") == 1)).alias("right_n"),
     )
-    # Few thresholds per strategy, so one row per (strategy, threshold) is matched by pre-aggregated scores.
-    levels = tops.where(F.col("top_score").isNotNull()).groupBy("strategy", "top_score").agg(
-        F.count("*").alias("n"), F.count_if(F.col("first_rank") == 1).alias("right")
-    )
-    met = F.col("top_score") >= F.col("threshold")
-    return (
-        steps.join(levels, "strategy")
-        .groupBy("strategy", "threshold")
-        .agg(
-            F.max("evaluable").alias("evaluable"),
-            F.sum(F.when(met, F.col("n")).otherwise(0)).alias("answered_n"),
-            F.sum(F.when(met, F.col("right")).otherwise(0)).alias("right_n"),
-        )
-        .select(
-            "strategy", "threshold",
-            F.round(F.col("answered_n") / F.col("evaluable"), 9).alias("answered"),
-            F.round(F.coalesce(F.try_divide("right_n", "answered_n"), F.lit(0.0)), 9).alias("precision"),
-        )
+    return counted.where(F.col("high").isNotNull() & (F.col("rubric") == (F.col("high") > 1.5))).select(
+        "strategy", "threshold",
+        F.round(F.col("answered_n") / F.col("evaluable"), 9).alias("answered"),
+        F.round(F.coalesce(F.try_divide("right_n", "answered_n"), F.lit(0.0)), 9).alias("precision"),
     )
 
 

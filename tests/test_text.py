@@ -81,7 +81,7 @@ def test_yes_mass_and_digit(spark):
 
 
 def test_small_helpers(spark):
-    assert one(spark, tx.strip_title(F.lit("TES12_Example.md"))) == "Example"
+    assert one(spark, tx.strip_title(F.lit("AB12_Sample.md"))) == "Sample"
     assert one(spark, tx.forward_slashes(F.lit("a\\b"))) == "a/b"
     assert one(spark, tx.title_or_id(F.lit("  "), F.lit(7))) == "7"
     assert one(spark, tx.truncate_chars(F.lit("abcdef"), 3)) == "abc"
