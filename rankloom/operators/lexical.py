@@ -163,6 +163,9 @@ def verbatim_gold(units: DataFrame, questions: DataFrame) -> DataFrame:
     and the text check runs on those pairs only. Questions with a single inner word meet on
     that word; a question with none has no gold.
     """
+    # The same filter on both uses of the text lets them share one exchange.
+    units = units.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+
     def neighbours(t):
         n = F.greatest(F.size(t) - 1, F.lit(0))
         return F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
