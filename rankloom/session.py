@@ -15,11 +15,13 @@ def shuffle_width(spark: SparkSession) -> int:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the session names (``spark.checkpoint.dir``).
 
-    Only a session without any checkpoint folder, as in local tests, gets a temporary one.
+    Only a local session without any checkpoint folder, as in tests, gets a temporary one.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
+        if named is None and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="rankloom-ckpt-"))
     return df.checkpoint()
 
