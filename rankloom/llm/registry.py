@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import line_dedup, quality_rules, url_filter
+from rankloom.llm import bpe, line_dedup, lm_score, quality_rules, url_filter
 from rankloom.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op2_quality_rules": lambda s, d: quality_rules.query(table(s, d, "documents"), table(s, d, "labels")),
+    "op5_lm_score": lambda s, d: lm_score.query(table(s, d, "documents")),
     "op7_line_dedup": lambda s, d: line_dedup.query(table(s, d, "documents")),
+    "op8_bpe": lambda s, d: bpe.query(table(s, d, "documents")),
     "op9_url_filter": lambda s, d: url_filter.query(table(s, d, "pages")),
 }
 
-ORACLE: dict[str, str] = {"op7_line_dedup": line_dedup.SQL, "op9_url_filter": url_filter.SQL}
+ORACLE: dict[str, str] = {"op5_lm_score": lm_score.SQL, "op7_line_dedup": line_dedup.SQL, "op9_url_filter": url_filter.SQL}
