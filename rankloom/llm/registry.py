@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import bpe, line_dedup, lm_score, quality_rules, url_filter
+from rankloom.llm import bpe, line_dedup, lm_score, ngram_join, quality_rules, url_filter
 from rankloom.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_ngram_join": lambda s, d: ngram_join.query(table(s, d, "documents")),
     "op2_quality_rules": lambda s, d: quality_rules.query(table(s, d, "documents"), table(s, d, "labels")),
     "op5_lm_score": lambda s, d: lm_score.query(table(s, d, "documents")),
     "op7_line_dedup": lambda s, d: line_dedup.query(table(s, d, "documents")),
