@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import bpe, decontaminate, line_dedup, lm_score, ngram_join, quality_rules, toxicity, url_filter
+from rankloom.llm import bpe, decontaminate, html_wrappers, line_dedup, lm_score, ngram_join, quality_rules, toxicity, url_filter
 from rankloom.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,7 @@ QUERIES: dict[str, Query] = {
     "op1_ngram_join": lambda s, d: ngram_join.query(table(s, d, "documents")),
     "op2_quality_rules": lambda s, d: quality_rules.query(table(s, d, "documents"), table(s, d, "labels")),
     "op3_decontaminate": lambda s, d: decontaminate.query(table(s, d, "documents"), table(s, d, "benchmark")),
+    "op4_html_wrappers": lambda s, d: html_wrappers.query(table(s, d, "pages")),
     "op5_lm_score": lambda s, d: lm_score.query(table(s, d, "documents")),
     "op7_line_dedup": lambda s, d: line_dedup.query(table(s, d, "documents")),
     "op8_bpe": lambda s, d: bpe.query(table(s, d, "documents")),
