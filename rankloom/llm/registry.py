@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import bpe, decontaminate, html_wrappers, line_dedup, lm_score, ngram_join, quality_rules, toxicity, url_filter
+from rankloom.llm import bpe, decontaminate, html_wrappers, line_dedup, lm_score, ngram_join, quality_rules, quote_chat, toxicity, url_filter
 from rankloom.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,10 +17,12 @@ QUERIES: dict[str, Query] = {
     "op3_decontaminate": lambda s, d: decontaminate.query(table(s, d, "documents"), table(s, d, "benchmark")),
     "op4_html_wrappers": lambda s, d: html_wrappers.query(table(s, d, "pages")),
     "op5_lm_score": lambda s, d: lm_score.query(table(s, d, "documents")),
+    "op6_quote_chat": lambda s, d: quote_chat.query(table(s, d, "conversations")),
     "op7_line_dedup": lambda s, d: line_dedup.query(table(s, d, "documents")),
     "op8_bpe": lambda s, d: bpe.query(table(s, d, "documents")),
     "op9_url_filter": lambda s, d: url_filter.query(table(s, d, "pages")),
     "op10_toxicity": lambda s, d: toxicity.query(table(s, d, "documents"), table(s, d, "labels")),
 }
 
-ORACLE: dict[str, str] = {"op5_lm_score": lm_score.SQL, "op7_line_dedup": line_dedup.SQL, "op9_url_filter": url_filter.SQL}
+ORACLE: dict[str, str] = {"op5_lm_score": lm_score.SQL, "op6_quote_chat": quote_chat.SQL,
+                          "op7_line_dedup": line_dedup.SQL, "op9_url_filter": url_filter.SQL}
