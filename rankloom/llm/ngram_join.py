@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm import arrays
@@ -267,9 +267,13 @@ def _low(members: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each connected component, for the nodes in ``links`` (node, root).
 
-    Each round takes the smallest label among neighbours, then the label of that label, so chains halve.
+    First each node's links lead to its smallest root, and its other roots link to that one: at most two links
+    for each node and root stay, however many tries found them. Then each round takes the smallest label among
+    neighbours and the label of that label, so chains halve.
     """
-    edges = written(links.union(links.select(F.col("root").alias("node"), F.col("node").alias("root"))).distinct())
+    lowest = links.withColumn("low", F.min("root").over(Window.partitionBy("node")))
+    star = lowest.select("node", F.col("low").alias("root")).union(lowest.select(F.col("root").alias("node"), F.col("low").alias("root"))).distinct()
+    edges = written(star.union(star.select(F.col("root").alias("node"), F.col("node").alias("root"))).distinct())
     labels = written(edges.groupBy("node").agg(F.min("root").alias("label")).select("node", F.least("node", "label").alias("label")))
     while True:
         near = edges.join(labels.withColumnRenamed("node", "root"), "root").groupBy("node").agg(F.min("label").alias("_near"))
@@ -316,15 +320,13 @@ def _verified(group: pa.Table, n: int, threshold: float) -> tuple[np.ndarray, np
     return node, links.partners, links.roots()
 
 
-def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, doc_id: str = "doc_id",
-         text: str = "text") -> DataFrame:
-    """The class of every row; see the module's description."""
+def _classes(docs: DataFrame, n: int, threshold: float, recall: float, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, key, node), and for each node its label, class_id, n_copies, n_links and first row ``one``."""
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = written(sketch(plain, n))
     nodes = rows.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_copies"),
-        F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "key", "sig")).alias("one"))
-    texts = written(nodes.select("node", "first_id", "n_copies", F.col("one.doc_id").alias("doc_id"), F.col("one.key").alias("key"), F.col("one.sig").alias("sig")))
+        F.count(F.lit(1)).alias("n_copies"), F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "key", "sig")).alias("one"))
+    texts = written(nodes.select("node", "n_copies", "one.void", "one.doc_id", "one.key", "one.sig"))
     links, _ = candidate_links(texts, threshold, recall)
     group = components(links)
     sizes = group.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
@@ -344,14 +346,34 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
     exact = written(dealt.mapInArrow(run, "node long, partners long, root long"))
     partners = exact.groupBy("node").agg(F.sum("partners").alias("n_links"))
     label = components(exact.where("node <> root").select("node", "root"))
-    named = texts.select("node", "first_id", "n_copies").join(label, "node", "left").join(partners, "node", "left").select(
-        "node", "first_id", "n_copies", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    classes = named.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    info = named.join(classes, "label").select("node", "class_id", "n_copies", "n_links")
-    return rows.select("doc_id", "node").join(info, "node", "left").select(
-        "doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+    named = texts.join(label, "node", "left").join(partners, "node", "left").select(
+        "node", F.struct("void", "doc_id", "key").alias("one"), "n_copies", F.coalesce("label", "node").alias("label"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    first = named.groupBy("label").agg(F.min("one").alias("first"))
+    return rows, named.join(first, "label").select("node", "label", "first", "n_copies", "n_links")
+
+
+def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, doc_id: str = "doc_id",
+         text: str = "text") -> DataFrame:
+    """The class of every row; see the module's description."""
+    rows, nodes = _classes(docs, n, threshold, recall, doc_id, text)
+    return rows.select("doc_id", "node").join(nodes, "node", "left").select(
+        "doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
         F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, doc_id: str = "doc_id",
+             text: str = "text") -> DataFrame:
+    """The first row (smallest doc_id) of every class, with all its columns; rows without words all stay."""
+    _, nodes = _classes(docs, n, threshold, recall, doc_id, text)
+    stay = nodes.groupBy("label").agg(F.min("first").alias("first")).select(
+        F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_key"))
+    worded = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.where(worded).withColumn("_own", F.xxhash64(text))
+    same = keyed[doc_id].cast("long").eqNullSafe(stay["_id"]) & (keyed["_own"] == stay["_key"])
+    kept = keyed.join(stay, same, "left_semi").dropDuplicates([doc_id, "_own"])
+    return kept.select(*docs.columns).union(docs.where(~worded))
+
+
 def query(docs: DataFrame) -> DataFrame:
     return join(docs.select("doc_id", "text"))
