@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import line_dedup, quality_rules
+from rankloom.llm import bpe, decontaminate, line_dedup, ngram_join, quality_rules
 from rankloom.llm.tables import table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -24,9 +24,27 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         "doc_id", "text", "lang", "source", "cast(length(text) as bigint) as n_chars")
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of copies and near copies."""
+    return ngram_join.keep_one(docs)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no benchmark item contaminates."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the kept documents."""
+    return bpe.query(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality rules", quality),
     ("line dedup", lines),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", leaks),
+    ("BPE encoding", encoded),
 ]
 
 
@@ -37,4 +55,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
+# Learned rules, exact tiling and the tokenizer have no SQL form; tests/llm holds the stages against brute force.
 ORACLE_SQL: str | None = None

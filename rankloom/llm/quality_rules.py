@@ -188,6 +188,10 @@ def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the list keeps, with their own columns. The text is never shuffled."""
-    rules = learn_rules(written(with_stats(docs.select("doc_id", text), text).drop(text)), labels)
-    return with_verdict(with_stats(docs, text), rules).where("kept").select(*docs.columns)
+    """The rows of ``docs`` that the list keeps, with their own columns. A row's statistics are computed once and
+    kept under (doc_id, hash of the text)."""
+    keyed = docs.select("doc_id", F.xxhash64(text).alias("_key"), F.col(text).alias("text"))
+    stats = written(with_stats(keyed).drop("text"))
+    stay = with_verdict(stats, learn_rules(stats, labels)).where("kept").select(F.col("doc_id").alias("_id"), F.col("_key").alias("_hash")).distinct()
+    rows = docs.withColumn("_key", F.xxhash64(text))
+    return rows.join(stay, rows["doc_id"].eqNullSafe(stay["_id"]) & (rows["_key"] == stay["_hash"]), "left_semi").select(*docs.columns)
