@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,22 +40,27 @@ def from_blobs(blobs: list[bytes]) -> pa.Table:
     return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in blobs]) if blobs else DOC_SCHEMA.empty_table()
 
 
-def planes(values: np.ndarray) -> bytes:
-    """Unsigned 64-bit values byte plane by byte plane: small values leave runs of zeros that compress away."""
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+def squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
 
-def from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+def stretch(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as differences."""
-    return planes(np.diff(keys, prepend=keys.dtype.type(0)))
+def planes(*columns: np.ndarray) -> bytes:
+    """Columns of unsigned 64-bit values byte plane by byte plane, so that small values compress away."""
+    return squeeze(b"".join(c.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns))
 
 
-def unpack_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(from_planes(data), dtype=np.uint64)
+def from_planes(data: bytes, columns: int = 1) -> list[np.ndarray]:
+    whole = np.frombuffer(stretch(data), np.uint8).reshape(columns, 8, -1)
+    return [np.ascontiguousarray(c.T).view("<u8").ravel() for c in whole]
+
+
+def gaps(keys: np.ndarray) -> np.ndarray:
+    """Differences of sorted keys; ``np.cumsum`` restores them."""
+    return np.diff(keys, prepend=keys.dtype.type(0))
 
 
 def bucket_bounds(keys: np.ndarray, buckets: int) -> np.ndarray:

@@ -58,15 +58,16 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: in
         for b in range(buckets):
             a, z = edges[b], edges[b + 1]
             if z > a:
-                yield b, blocks.pack_keys(keys[a:z]) + blocks.planes(counts[a:z])
+                yield b, blocks.planes(blocks.gaps(keys[a:z]), counts[a:z])
 
     def resolve(sent: list[bytes]) -> list[bytes]:
-        keys = [blocks.unpack_keys(d[:len(d) // 2]) for d in sent]
+        pairs = [blocks.from_planes(d, 2) for d in sent]
+        keys = [np.cumsum(gap, dtype=np.uint64) for gap, _ in pairs]
         every = np.concatenate(keys)
         order_ = np.argsort(every, kind="stable")
         ranked = every[order_]
         first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        counts = np.concatenate([blocks.from_planes(d[len(d) // 2:]) for d in sent])[order_]
+        counts = np.concatenate([n for _, n in pairs])[order_]
         total = np.add.reduceat(counts, first)
         back = np.empty(len(every), np.uint64)
         back[order_] = np.repeat(total, np.diff(np.append(first, len(every))))
@@ -75,30 +76,31 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: in
     def finish(batch: pa.Table, answers: list[bytes]) -> pa.Table:
         hashes, firsts, bounds = _grams(batch, order)
         keys, _ = _distinct(hashes, 0)
-        counts = np.concatenate([blocks.from_planes(a) for a in answers]).astype(np.float64)
+        counts = np.concatenate([blocks.from_planes(a)[0] for a in answers])
         if len(counts) != len(keys):
             raise RuntimeError("answers do not match the batch's n-grams")
         n = int(bounds[-1])
-        total = counts[np.searchsorted(keys, TOTAL)]
+        total = float(counts[np.searchsorted(keys, TOTAL)])
         sizes = np.diff(bounds)
-        place = np.arange(n) - np.repeat(bounds[:-1], sizes)
-        reach = np.minimum(place + 1, order)
-        at = []  # by order: the count of the n-gram that begins at each word, 0 where it is pruned or absent
-        for k, (h, first) in enumerate(zip(hashes, firsts, strict=True)):
+        reach = np.minimum(np.arange(n) - np.repeat(bounds[:-1], sizes) + 1, order).astype(np.int8)
+        used = np.ones(n, np.int8)
+        value = last = np.zeros(0)
+        for k in range(1, order + 1):
+            h, first = hashes[k - 1], firsts[k - 1]
+            hashes[k - 1] = firsts[k - 1] = None
+            # The count of the n-gram that begins at each word; 0 where it is pruned or absent.
             own = np.zeros(n)
             unique, inverse = np.unique(h, return_inverse=True)
             own[first] = counts[np.searchsorted(keys, unique)][inverse]
-            at.append(np.where(own >= min_count, own, 0) if k else own)
-        used = np.ones(n, np.int64)
-        value = at[0] / max(total, 1)
-        for k in range(2, order + 1):
-            if n < k:
-                break
-            seen = np.zeros(n, bool)
-            seen[k - 1:] = (at[k - 1][:n - k + 1] > 0) & (reach[k - 1:] >= k)
-            whole = at[k - 1][:n - k + 1][seen[k - 1:]]
-            value[seen] = whole / at[k - 2][:n - k + 1][seen[k - 1:]]
-            used[seen] = k
+            del h, first, unique, inverse
+            if k == 1:
+                value = own / max(total, 1.0)
+            elif n >= k:
+                own[own < min_count] = 0
+                seen = np.flatnonzero((own[:n - k + 1] > 0) & (reach[k - 1:] >= k))
+                value[seen + k - 1] = own[seen] / last[seen]
+                used[seen + k - 1] = k
+            last = own
         logs = np.log(value) + (reach - used) * np.log(backoff)
         sums, backed = np.zeros(len(sizes)), np.zeros(len(sizes), np.int64)
         full = np.flatnonzero(sizes)
