@@ -17,6 +17,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class Words:
-    """Splits texts into the words that the file's normaliser and pattern make of them."""
+    """Splits texts at white space as the file's normaliser sees it, and words by its pattern."""
 
     def __init__(self, file: str) -> None:
         with open(file, encoding="utf-8") as f:
@@ -45,96 +46,97 @@ class Words:
                 split["behavior"], split["invert"], alphabet["use_regex"]) != ("Removed", True, False):
             raise ValueError(f"{file}: not a tokenizer of the supported form")
         self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"\s", SPACE))
+        self.run = regex.compile(f"[^{SPACE}]+")
         self.special = re.compile("(" + "|".join(re.escape(t["content"]) for t in data["added_tokens"]) + ")")
         self.marks = [t["content"][:2] for t in data["added_tokens"]]
 
-    def plain(self, text: str) -> list[str]:
+    def chunks(self, text: str) -> list[str]:
+        """Normalised pieces between white space; the pattern never reaches across it."""
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         # Capital sigma is lowered without regard to its place in the word.
-        return self.pattern.findall(text.replace("Σ", "σ").lower())
+        text = text.replace("Σ", "σ").lower()
+        # str.split also parts at the separators U+001C to U+001F, which are no white space to the file.
+        return self.run.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
     def split(self, text: str | None) -> list[str]:
         """Words in order; a special token is a word that begins with a space."""
         if not text:
             return []
         if not any(m in text for m in self.marks):
-            return self.plain(text)
+            return self.chunks(text)
         out: list[str] = []
         for k, piece in enumerate(self.special.split(text)):
-            out.extend([" " + piece] if k % 2 else self.plain(piece))
+            out.extend([" " + piece] if k % 2 else self.chunks(piece))
         return out
 
 
-def _keys(words: set[str]) -> tuple[np.ndarray, list[str]]:
-    """Hash of each word, ascending, and the words in that order."""
-    ranked = sorted((xxhash.xxh3_64_intdigest(w), w) for w in words)
-    return np.array([h for h, _ in ranked], np.uint64), [w for _, w in ranked]
+def _dealt(words: set[str], buckets: int) -> list[list[str]]:
+    """The words of each bucket in alphabetical order."""
+    out: list[list[str]] = [[] for _ in range(buckets)]
+    for w in words:
+        out[xxhash.xxh3_64_intdigest(w) % buckets].append(w)
+    for part in out:
+        part.sort()
+    return out
 
 
 def encode(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     buckets = 2 * width(docs.sparkSession)
 
-    def vocabulary(batch: pa.Table) -> tuple[Words, np.ndarray, list[str]]:
+    def vocabulary(batch: pa.Table) -> tuple[Words, list[list[str]]]:
         words, seen = Words(file), set()
         for t in batch.column("text"):
             seen.update(words.split(t.as_py()))
-        return words, *_keys(seen)
+        return words, _dealt(seen, buckets)
 
     def forward(batch: pa.Table) -> Iterator[tuple[int, bytes]]:
-        _, keys, words = vocabulary(batch)
-        edges = blocks.bucket_bounds(keys, buckets)
-        for b in range(buckets):
-            if edges[b + 1] > edges[b]:
-                yield b, "\n".join(words[edges[b]:edges[b + 1]]).encode("utf-8", "surrogatepass")
+        for b, part in enumerate(vocabulary(batch)[1]):
+            if part:
+                yield b, blocks.squeeze("\n".join(part).encode())
 
     def resolve(sent: list[bytes]) -> list[bytes]:
-        tokenizer = Tokenizer.from_file(file)
+        tokenizer, pattern = Tokenizer.from_file(file), Words(file).pattern
         alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        known: dict[str, np.ndarray] = {}
+        known: dict[str, list[int]] = {}
 
-        def ids(word: str) -> np.ndarray:
-            if word not in known:
+        def ids(word: str) -> list[int]:
+            found = known.get(word)
+            if found is None:
                 if word[0] == " ":
                     found = [tokenizer.token_to_id(word[1:])]
                 else:
-                    found = [t.id for part, _ in alphabet.pre_tokenize_str(word) for t in tokenizer.model.tokenize(part)]
-                known[word] = np.array(found, np.uint32)
-            return known[word]
+                    found = [t.id for piece in pattern.findall(word) for part, _ in alphabet.pre_tokenize_str(piece) for t in tokenizer.model.tokenize(part)]
+                known[word] = found
+            return found
 
         out = []
         for data in sent:
-            each = [ids(w) for w in data.decode("utf-8", "surrogatepass").split("\n")]
-            lengths = np.array([len(x) for x in each], np.uint32)
-            flat = np.concatenate(each)
-            out.append(len(lengths).to_bytes(8, "little") + lengths.tobytes() + flat.tobytes())
+            each = [ids(w) for w in blocks.stretch(data).decode().split("\n")]
+            head = np.array([len(each), *map(len, each)], np.uint32)
+            out.append(blocks.squeeze(head.tobytes() + np.array(list(chain.from_iterable(each)), np.uint32).tobytes()))
         return out
 
     def finish(batch: pa.Table, answers: list[bytes]) -> pa.Table:
-        words, _, ranked = vocabulary(batch)
+        words, dealt = vocabulary(batch)
         vocab = Tokenizer.from_file(file).get_vocab(with_added_tokens=True)
         pieces = dict(zip(vocab.values(), vocab.keys(), strict=True))
-        count: dict[str, int] = {}
         as_ids: dict[str, str] = {}
         as_text: dict[str, str] = {}
-        k = 0
-        for a in answers:
-            n = int.from_bytes(a[:8], "little")
-            lengths = np.frombuffer(a, np.uint32, n, 8)
-            flat = np.frombuffer(a, np.uint32, -1, 8 + 4 * n).tolist()
-            end = 0
-            for size in lengths.tolist():
+        for own, data in zip([p for p in dealt if p], answers, strict=True):
+            flat = np.frombuffer(blocks.stretch(data), np.uint32).tolist()
+            if flat[0] != len(own):
+                raise RuntimeError("answers do not match the batch's words")
+            end = 1 + flat[0]
+            for word, size in zip(own, flat[1:1 + flat[0]], strict=True):
                 ids, end = flat[end:end + size], end + size
-                word = ranked[k]
-                count[word], as_ids[word], as_text[word] = size, " ".join(map(str, ids)), " ".join(map(pieces.__getitem__, ids))
-                k += 1
-        if k != len(ranked):
-            raise RuntimeError("answers do not match the batch's words")
+                as_ids[word], as_text[word] = " ".join(map(str, ids)), " ".join(map(pieces.__getitem__, ids))
         sizes, id_hash, text_hash = [], [], []
         for t in batch.column("text"):
             own = words.split(t.as_py())
-            sizes.append(sum(map(count.__getitem__, own)))
-            id_hash.append(hashlib.sha256(" ".join(map(as_ids.__getitem__, own)).encode()).hexdigest())
+            line = " ".join(map(as_ids.__getitem__, own))
+            sizes.append(line.count(" ") + 1 if line else 0)
+            id_hash.append(hashlib.sha256(line.encode()).hexdigest())
             text_hash.append(hashlib.sha256(" ".join(map(as_text.__getitem__, own)).encode()).hexdigest())
         return pa.table({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(sizes, pa.int64()),
                          "ids_sha256": pa.array(id_hash, pa.string()), "decoded_sha256": pa.array(text_hash, pa.string())})
