@@ -151,7 +151,7 @@ content AS (
     regexp_replace(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (level = 0), ''), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS content
   FROM lines GROUP BY conv_id, k)
 SELECT m.conv_id, m.turn, m.role, parent.turn AS reply_to, c.n_quoted,
-  array_to_string(list_concat(coalesce(p.path, []), [m.turn]), '.') AS reply_path,
+  coalesce(array_to_string(list_concat(coalesce(p.path, []), [m.turn]), '.'), '') AS reply_path,
   '<|' || coalesce(m.role, '') || '|>' || chr(10) || c.content || chr(10) AS formatted
 FROM msgs m JOIN branches b ON m.conv_id IS NOT DISTINCT FROM b.conv_id AND m.k = b.k
 JOIN content c ON m.conv_id IS NOT DISTINCT FROM c.conv_id AND m.k = c.k
