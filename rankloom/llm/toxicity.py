@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from rankloom.llm import arrays
 from rankloom.llm.tables import slices
 
-BITS, MAX_PER_CLASS, THRESHOLD = 20, 6000, 0.3
+BITS, MAX_PER_CLASS, THRESHOLD = 20, 4000, 0.3
 PREFIXES = (4, 5, 6)
 GAP = np.ones(256, bool)
 GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -64,18 +64,29 @@ def _any(p: np.ndarray, text: np.ndarray, count: int, bias: float) -> np.ndarray
     return np.where(empty, 1 / (1 + np.exp(-bias)), -np.expm1(none))
 
 
+def _all_features(texts: pa.Array, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``features`` of the texts, made slice by slice, and the features that at least ``least`` texts have."""
+    parts, seen, words, docs = [], np.zeros(1 << BITS, np.int64), 0, 0
+    for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
+        index, first, text, _ = features(part.column(0))
+        owner = np.repeat(text, np.diff(np.append(first, len(index))))
+        pairs = np.unique((index + (owner[:, None] << BITS)).ravel())
+        seen += np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS)
+        parts.append((index.astype(np.int32), first + words, text + docs))
+        words, docs = words + len(index), docs + part.num_rows
+    index, first, text = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    return index, first, text, seen >= least
+
+
 def fit(texts: pa.Array, toxic: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.3, decay: float = 3e-4,
         least: int = 5) -> tuple[np.ndarray, float]:
     """Weights and bias by AdaGrad. Features of fewer than ``least`` documents keep no weight: rare words would
     only be learned by heart."""
     weights, squares = np.zeros(1 << BITS), np.full(1 << BITS, 1e-6)
     bias, bias_square = -4.0, 1e-6
-    index, first, text, _ = features(texts)
+    index, first, text, frequent = _all_features(texts, least)
     bounds = np.append(first, len(index))
     doc = np.searchsorted(text, np.arange(len(texts) + 1))
-    owner_of_word = np.repeat(text, np.diff(bounds))
-    pairs = np.unique((index + (owner_of_word[:, None].astype(np.int64) << BITS)).ravel())
-    frequent = np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS) >= least
     order = np.random.default_rng(5)
     for _ in range(epochs):
         deal = order.permutation(len(texts))
