@@ -34,8 +34,9 @@ def rerank(shortlist: DataFrame, chunks: DataFrame, questions: DataFrame, scorer
 
 def evaluate(lists: DataFrame, gold: DataFrame, questions: DataFrame, strategies: list[str], cfg: Config = DEFAULTS) -> DataFrame:
     """Means per strategy of ``lists(strategy, query_id, doc_id, rank)``; an empty ``strategies`` means all."""
-    names = strategies or sorted(r.strategy for r in lists.select("strategy").distinct().limit(1000).collect())
-    flagged = metrics.flag_relevant(lists.where(F.col("strategy").isin(names)), gold)
+    names = strategies or lists.select("strategy").distinct()
+    wanted = lists.where(F.col("strategy").isin(strategies)) if strategies else lists
+    flagged = metrics.flag_relevant(wanted, gold)
     per_query = metrics.keep_empty(metrics.query_metrics(flagged, ["strategy", "query_id"], cfg), questions, names)
     return metrics.aggregate_metrics(per_query, ["strategy"])
 

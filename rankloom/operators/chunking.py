@@ -11,6 +11,15 @@ from rankloom.functions.text import strip
 HEADING_LINE = "^(#{1,4})\\s+(.*)$"
 
 
+ID_SHIFT = 1 << 32
+
+
+def chunk_key(doc_id: Column, ordinal: Column) -> Column:
+    """One id for (document, ordinal). An array has fewer than 2^31 members, so ordinals never reach the next
+    document; a doc_id of 2^31 or more overflows and fails instead of colliding."""
+    return doc_id * F.lit(ID_SHIFT) + ordinal
+
+
 def _hard_cut(paragraph: Column, max_chars: int, step: int) -> Column:
     starts = F.sequence(F.lit(0), F.greatest(F.length(paragraph) - 1, F.lit(0)), F.lit(step))
     return F.transform(starts, lambda i: F.substring(paragraph, i + 1, F.lit(max_chars)))
@@ -64,7 +73,7 @@ def document_chunks(docs: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
         F.posexplode(window_text(F.col("text"), cfg.chunk_max_chars, cfg.chunk_overlap_chars)).alias("ordinal", "body"),
     )
     return parts.select(
-        (F.col("doc_id") * 100000 + F.col("ordinal")).alias("chunk_id"), "doc_id", "ordinal", "title", "body"
+        chunk_key(F.col("doc_id"), F.col("ordinal")).alias("chunk_id"), "doc_id", "ordinal", "title", "body"
     )
 
 

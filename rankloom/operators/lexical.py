@@ -32,6 +32,7 @@ def best_k(scored: DataFrame, k: int, key: str = "chunk_id", group: str = "query
 
 
 UNIT = ["doc_id", "chunk_id"]
+ANCHOR_CHARS = 4
 HEAD_MARK = "^"  # no token holds it
 
 
@@ -123,7 +124,7 @@ def weighted_match(units: DataFrame, questions: DataFrame, head: Column, body: C
     in_head = F.col("t").startswith(HEAD_MARK)
     hits = hits.select(
         *UNIT,
-        F.when(in_head, F.substring("t", 2, 1_000_000)).otherwise(F.col("t")).alias("term"),
+        F.when(in_head, F.expr("substring(t, 2)")).otherwise(F.col("t")).alias("term"),
         F.when(in_head, tenths(cfg.weight_head)).otherwise(tenths(cfg.weight_body)).alias("w"),
     )
     weights = (
@@ -155,13 +156,19 @@ def match_counts(units: DataFrame, questions: DataFrame, body: Column) -> DataFr
     )
 
 
+def _runs(letters: str, n: int) -> Column:
+    """Every n neighbouring characters; shorter ones at the end match no anchor."""
+    return F.transform(letters, lambda x, i: F.array_join(F.slice(letters, i + 1, F.lit(n)), ""))
+
+
 def verbatim_gold(units: DataFrame, questions: DataFrame) -> DataFrame:
     """(query_id, doc_id) where the unit text holds the whole question text.
 
     Inner words of a contained question are whole words of the text around it, so both sides
     meet on one pair of neighbouring inner words, the longest of the question (an equi-join),
     and the text check runs on those pairs only. Questions with a single inner word meet on
-    that word; a question with none has no gold.
+    that word. A question without an inner word, in any script, meets on its first characters
+    (at most ``ANCHOR_CHARS``). Only the empty question has no gold.
     """
     # The same filter on both uses of the text lets them share one exchange.
     units = units.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
@@ -173,7 +180,8 @@ def verbatim_gold(units: DataFrame, questions: DataFrame) -> DataFrame:
     def longest(keys):
         return F.array_max(F.transform(keys, lambda w: F.struct(F.length(w), w.alias("w"))))["w"]
 
-    q = questions.select("query_id", code_tokens(F.col("question")).alias("t")).where(F.size("t") >= 3)
+    tokens = questions.select("query_id", "question", code_tokens(F.col("question")).alias("t"))
+    q = tokens.where(F.size("t") >= 3)
     inner = q.select("query_id", F.slice("t", F.lit(2), F.size("t") - 2).alias("t"))
     several = inner.where(F.size("t") >= 2).select("query_id", longest(neighbours(F.col("t"))).alias("key"))
     single = inner.where(F.size("t") == 1).select("query_id", F.get("t", F.lit(0)).alias("key"))
@@ -185,6 +193,13 @@ def verbatim_gold(units: DataFrame, questions: DataFrame) -> DataFrame:
     maybe = meet(neighbours(F.col("t")), several)
     if not single.isEmpty():
         maybe = maybe.unionByName(meet(F.col("t"), single))
+    brief = tokens.where((F.size("t") < 3) & (F.length("question") > 0)).select("query_id", F.split("question", "").alias("c"))
+    sized = brief.select("query_id", "c", F.least(F.size("c"), F.lit(ANCHOR_CHARS)).alias("n"))
+    for n in sorted(r.n for r in sized.select("n").distinct().collect()):  # at most ANCHOR_CHARS values
+        anchors = sized.where(F.col("n") == n).select("query_id", F.array_join(F.slice("c", 1, n), "").alias("key"))
+        letters = units.select("doc_id", F.split("text", "").alias("c")).where(F.size("c") >= n)
+        grams = letters.select("doc_id", F.explode(F.array_distinct(_runs("c", n))).alias("key"))
+        maybe = maybe.unionByName(grams.join(anchors, "key").select("key", "doc_id", "query_id"))
     return (
         maybe.select("query_id", "doc_id")
         .join(questions.select("query_id", "question"), "query_id")

@@ -49,9 +49,16 @@ def query_metrics(flagged: DataFrame, keys: list[str], cfg: Config = DEFAULTS, t
     )
 
 
-def keep_empty(metrics: DataFrame, questions: DataFrame, strategies: list[str]) -> DataFrame:
-    """A question whose list is empty scores zero instead of vanishing."""
-    base = questions.select("query_id", F.explode(F.array(*map(F.lit, strategies))).alias("strategy"))
+def keep_empty(metrics: DataFrame, questions: DataFrame, strategies: list[str] | DataFrame) -> DataFrame:
+    """A question whose list is empty scores zero instead of vanishing.
+
+    ``strategies``: their names, or a frame with the column ``strategy``; every question meets every one, as
+    the means over questions need.
+    """
+    if isinstance(strategies, DataFrame):
+        base = questions.select("query_id").join(strategies.select("strategy"))
+    else:
+        base = questions.select("query_id", F.explode(F.array(*map(F.lit, strategies))).alias("strategy"))
     zero = {c: F.coalesce(c, F.lit(0)).alias(c) for c in metrics.columns if c.startswith("hit_at_")}
     return base.join(metrics, ["strategy", "query_id"], "left").select(
         "strategy", "query_id", "first_rank", *zero.values(),

@@ -87,18 +87,15 @@ def rerank(pairs: DataFrame, scorer: Scorer) -> DataFrame:
 
 
 def cascade(pairs: DataFrame, cheap: Scorer, precise: Scorer, keep: int = DEFAULTS.cascade_keep) -> DataFrame:
-    """Cheap pass over all, precise pass over the best ``keep``; the tail keeps the cheap order, unscored."""
+    """Cheap pass over all, precise pass over the best ``keep`` alone; the tail keeps the cheap order, unscored."""
     first = rerank(pairs, cheap).withColumn("pass_rank", F.col("rank")).drop("score")
-    judged = precise(first)
+    judged = precise(first.where(F.col("pass_rank") <= keep))
+    tail = first.where(F.col("pass_rank") > keep).withColumn("score", F.lit(None).cast("double"))
     w = Window.partitionBy("query_id").orderBy(
-        F.col("pass_rank") > keep,
-        F.when(F.col("pass_rank") <= keep, F.col("score").isNull()),
-        F.when(F.col("pass_rank") <= keep, F.col("score")).desc(),
-        F.col("pass_rank"),
+        F.col("pass_rank") > keep, F.col("score").isNull(), F.col("score").desc(), F.col("pass_rank")
     )
-    return judged.withColumn("rank", F.row_number().over(w)).withColumn(
-        "score", F.when(F.col("pass_rank") <= keep, F.col("score"))
-    ).drop("pass_rank")
+    both = judged.unionByName(tail, allowMissingColumns=True)
+    return both.withColumn("rank", F.row_number().over(w)).drop("pass_rank")
 
 
 def judge_each(pairs: DataFrame, judges: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:

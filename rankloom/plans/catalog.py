@@ -415,18 +415,18 @@ def lower_index_percentiles(s: Study) -> DataFrame:
 # ---------------------------------------------------------------- line ranges
 @query
 def file_ranking(s: Study) -> DataFrame:
-    return intervals.file_ranks(s.ranked_windows()).where(F.col("file_rank") <= 20).select("query_id", "file_rank", "doc_id")
+    return intervals.file_ranks(s.ranked_windows(200)).where(F.col("file_rank") <= 20).select("query_id", "file_rank", "doc_id")
 
 
 @query
 def file_recall(s: Study) -> DataFrame:
-    return intervals.file_recall(s.gold, intervals.file_ranks(s.ranked_windows()))
+    return intervals.file_recall(s.gold, intervals.file_ranks(s.ranked_windows(200)))
 
 
 @query
 def file_recall_at_budget(s: Study) -> DataFrame:
     hits = s.tool_ranges().groupBy("query_id").agg(F.count_distinct("doc_id").alias("n"))
-    return intervals.file_recall_at_budget(s.gold, intervals.file_ranks(s.ranked_windows()), hits)
+    return intervals.file_recall_at_budget(s.gold, intervals.file_ranks(s.ranked_windows(200)), hits)
 
 
 @query
@@ -464,7 +464,7 @@ def region_recall_at_budget(s: Study) -> DataFrame:
 @query
 def zero_hit_queries(s: Study) -> DataFrame:
     """Questions whose gold no ranked window reaches."""
-    found = s.gold.join(s.ranked_windows().select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
+    found = s.gold.join(s.ranked_windows(200).select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
     return s.questions.select("query_id").join(found, "query_id", "left_anti")
 
 
@@ -609,7 +609,7 @@ def humanized_labels(s: Study) -> DataFrame:
 def tfidf_lr(s: Study) -> DataFrame:
     """Word and character TF-IDF with logistic regression: who wrote a conversation turn."""
     messages = s.table("conversations").select(
-        (F.col("conv_id") * 100000 + F.col("turn")).alias("id"), "text", F.col("role").alias("label")
+        chunking.chunk_key(F.col("conv_id"), F.col("turn")).alias("id"), "text", F.col("role").alias("label")
     )
     train, test = learned.tfidf_features(*classify.split(messages))
     return _flat(classify.prediction_rows(learned.fit_predict(train, test, c=20.0, tol=1e-3), "tfidf-lr"))

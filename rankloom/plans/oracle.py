@@ -33,7 +33,7 @@ TABLES: dict[str, str] = {
     "questions": "SELECT item_id AS query_id, text AS question FROM benchmark",
     "docs": "SELECT doc_id, source AS title, source AS folder, lang, text FROM documents",
     "chunks": """
-        SELECT doc_id * 100000 + ordinal AS chunk_id, doc_id, ordinal, title,
+        SELECT doc_id * 4294967296 + ordinal AS chunk_id, doc_id, ordinal, title,
                CASE WHEN length(text) <= 1400 THEN text ELSE substring(text, ordinal * 1200 + 1, 1400) END AS body
         FROM (SELECT *, unnest(range(CASE WHEN length(text) = 0 THEN 0 WHEN length(text) <= 1400 THEN 1
                                      ELSE CAST(ceil(length(text) / 1200.0) AS BIGINT) END)) AS ordinal FROM docs)""",
@@ -110,7 +110,7 @@ TABLES |= {
                round(len(list_intersect(q, p))::DOUBLE / nullif(len(q), 0), 6) AS share
         FROM (SELECT *, list_distinct({code_tokens('question')}) AS q, list_distinct({code_tokens('passage')}) AS p FROM pairs)""",
     "judged": """
-        SELECT *, CASE WHEN plen >= 240 THEN share END AS single, round(3 * share, 4) AS graded,
+        SELECT *, share AS single, round(3 * share, 4) AS graded,
                (rank - 1) // 15 AS batch FROM overlap""",
     "batch_scores": """
         SELECT *, round(single / nullif(max(single) OVER (PARTITION BY query_id, batch), 0), 6) AS batched FROM judged""",
@@ -155,7 +155,7 @@ def _metric_tables(lists: str) -> dict[str, str]:
     }
 
 
-STAGE_LISTS = {"stage_lists": "SELECT stage AS strategy, query_id, chunk_id // 100000 AS doc_id, rank FROM short"}
+STAGE_LISTS = {"stage_lists": "SELECT stage AS strategy, query_id, chunk_id // 4294967296 AS doc_id, rank FROM short"}
 METRIC_MEANS = "count(*) AS n, " + ", ".join(f"round(avg(hit_at_{d}), 9) AS hit_at_{d}" for d in (1, 3, 5, 10)) + \
     ", round(avg(rr), 9) AS mrr, round(avg(ndcg), 9) AS ndcg"
 
@@ -247,10 +247,12 @@ def _line_tables(size: int) -> dict[str, str]:
 
 RANGE_TABLES = _line_tables(LINE_WINDOW) | {
     # the same lexical tables over line windows
-    "chunks": "SELECT doc_id * 100000 + start_line AS chunk_id, doc_id, '' AS title, start_line, end_line, body FROM cut_lines",
+    "chunks": "SELECT doc_id * 4294967296 + start_line AS chunk_id, doc_id, '' AS title, start_line, end_line, body FROM cut_lines",
     "chunk_text": "SELECT chunk_id, 'doc' || doc_id || chr(10) || body AS text FROM chunks",
     "bm": _top("bm25", 120),
     "ranked_windows": "SELECT query_id, rank, chunk_id, doc_id, start_line, end_line FROM bm JOIN chunks USING (chunk_id)",
+    "bm200": _top("bm25", 200),
+    "file_windows": "SELECT query_id, rank, doc_id FROM bm200 JOIN chunks USING (chunk_id)",
     "tool30": _top("fts", 30),
     "tool": """SELECT query_id, doc_id, start_line, end_line, rank AS pos,
         CASE WHEN rank % 5 <> 0 THEN round(score / (score + 10), 6) END AS p FROM tool30 JOIN chunks USING (chunk_id)""",
@@ -261,7 +263,7 @@ RANGE_TABLES = _line_tables(LINE_WINDOW) | {
     "prefix": """SELECT w.*, sum(end_line - start_line + 1) OVER (PARTITION BY query_id ORDER BY rank)::BIGINT AS used,
         greatest(coalesce(lines, 0), 80) AS room FROM ranked_windows w LEFT JOIN covered USING (query_id) QUALIFY used <= room""",
     "file_ranks": """SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS file_rank
-        FROM ranked_windows GROUP BY query_id, doc_id""",
+        FROM file_windows GROUP BY query_id, doc_id""",
     "regions": """SELECT query_id, doc_id, s AS start_line, s + len(string_split(question, chr(10))) - 1 AS end_line
         FROM (SELECT query_id, doc_id, question, len(string_split(left(text, instr(text, question) - 1), chr(10))) AS s
               FROM gold JOIN questions USING (query_id) JOIN docs USING (doc_id))""",
@@ -484,7 +486,7 @@ ORACLE: dict[str, str] = {
     "hashed_vector_topk": sql(_top("cosines", 30)),
     "hybrid_rrf": sql(f"SELECT {RANKED} FROM hyb"),
     "first_stages": sql("""SELECT stage, query_id, count(*) AS n, min(score) AS least, max(score) AS most,
-        count(DISTINCT chunk_id // 100000) AS documents FROM short GROUP BY ALL"""),
+        count(DISTINCT chunk_id // 4294967296) AS documents FROM short GROUP BY ALL"""),
     "shortlist_passages": sql("SELECT query_id, rank, chunk_id, title, length(passage) AS n_chars, md5(passage) AS digest FROM pairs"),
     "or_queries": sql(f"SELECT query_id, array_to_string({OR_TERMS}, ' OR ') AS or_query FROM questions"),
     "verbatim_gold": sql("SELECT query_id, doc_id FROM gold"),
@@ -583,7 +585,7 @@ ORACLE: dict[str, str] = {
     "budget_prefix": sql("SELECT query_id, rank, doc_id, start_line, end_line, used FROM prefix", RANGE_TABLES),
     "region_recall_at_budget": sql(_region_recall("prefix"), RANGE_TABLES),
     "zero_hit_queries": sql("""SELECT query_id FROM questions WHERE query_id NOT IN (
-        SELECT query_id FROM gold JOIN ranked_windows USING (query_id, doc_id))""", RANGE_TABLES),
+        SELECT query_id FROM gold JOIN file_windows USING (query_id, doc_id))""", RANGE_TABLES),
     "knn_neighbours": sql("SELECT id, rank, train_id, label, sim FROM near", CLASS_TABLES),
     "neighbour_examples": sql("SELECT id, string_agg(train_id || ':' || label, ' ' ORDER BY rank) AS examples FROM near GROUP BY id", CLASS_TABLES),
     "knn_vote": sql("SELECT arm, id, gold, pred, conf, array_to_string(top, ' ') AS top_labels FROM preds WHERE arm = 'knn10'", CLASS_TABLES),

@@ -61,7 +61,7 @@ class Study:
 
     def shortlists(self, *stages: str) -> DataFrame:
         return hybrid.shortlists(self.chunks, self.questions, list(stages), cfg=self.cfg).withColumn(
-            "doc_id", F.expr("chunk_id div 100000")
+            "doc_id", F.expr(f"chunk_id div {chunking.ID_SHIFT}")
         )
 
     def with_passages(self, listed: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ class Study:
         return rerank.measured(self.pairs)
 
     def judge(self) -> rerank.Scorer:
-        return rerank.overlap_scorer(min_chars=self.cfg.chunk_min_chars * 2)
+        return rerank.overlap_scorer()
 
     def judges(self) -> dict:
         single = self.judge()
@@ -136,7 +136,7 @@ class Study:
     def fusion_grid(self) -> DataFrame:
         """Every combination scored on both halves of the questions that have gold."""
         lists = fusion.fuse_grid(self.ranker_scores(), self.RANKERS, self.cfg).withColumn(
-            "doc_id", F.expr("chunk_id div 100000")
+            "doc_id", F.expr(f"chunk_id div {chunking.ID_SHIFT}")
         )
         scored = metrics.query_metrics(metrics.flag_relevant(lists, self.gold), ["combo", "query_id"], self.cfg)
         with_gold = self.questions.select("query_id").join(self.gold.select("query_id").distinct(), "query_id", "left_semi")
@@ -157,7 +157,7 @@ class Study:
     @cached_property
     def line_windows(self) -> DataFrame:
         cut = chunking.line_windows(lexical.by_document(self.docs), LINE_WINDOW)
-        return cut.withColumn("chunk_id", F.col("doc_id") * 100000 + F.col("start_line")).withColumn(
+        return cut.withColumn("chunk_id", chunking.chunk_key(F.col("doc_id"), F.col("start_line"))).withColumn(
             "title", F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
         )
 
@@ -168,7 +168,7 @@ class Study:
         return lines.join(broadcast_within(top, self.question_count * keep), "chunk_id")
 
     def ranked_windows(self, keep: int = 120) -> DataFrame:
-        """The BM25 ranking of line windows, with their bounds."""
+        """The BM25 ranking of line windows, with their bounds: 120 for the list, 200 for ranking files."""
         return self._ranges(
             lexical.bm25_topk(self.line_windows, self.questions, F.concat_ws("\n", "title", "body"), 200, self.cfg), keep
         )

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankloom import api
-from rankloom.operators import rerank
+from rankloom.operators import chunking, rerank
 from rankloom.sources import files, results
 from rankloom.streaming.append_log import answer_new_work
 
@@ -159,7 +159,7 @@ def test_commands(spark):
     gold = spark.createDataFrame([(1, 1), (2, 2)], "query_id long, doc_id long")
     chunks = api.prepare(docs)
     short = api.retrieve(chunks, qs, ("fts", "hybrid"))
-    lists = short.withColumn("doc_id", F.expr("chunk_id div 100000")).withColumnRenamed("stage", "strategy")
+    lists = short.withColumn("doc_id", F.expr(f"chunk_id div {chunking.ID_SHIFT}")).withColumnRenamed("stage", "strategy")
     assert {(r.strategy, r.hit_at_1) for r in api.evaluate(lists, gold, qs, []).collect()} == {("fts", 1.0), ("hybrid", 1.0)}
     ranked = api.rerank(short.where("stage = 'hybrid'").drop("stage"), chunks, qs, rerank.overlap_scorer())
     assert ranked.where("rank = 1").count() == 2
