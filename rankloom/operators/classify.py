@@ -132,6 +132,7 @@ def out_of_scope(rows: DataFrame, oos_label) -> DataFrame:
 
 
 def calibration_bins(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("conf", F.coalesce("conf", F.lit(0.0)))
     clamped = F.least(F.greatest("conf", F.lit(0.0)), F.lit(0.9999))
     return rows.groupBy("arm", F.floor(clamped * 10).alias("bin")).agg(
         F.count("*").alias("n"), F.avg(is_correct().cast("double")).alias("accuracy"), F.avg("conf").alias("confidence")
@@ -179,6 +180,7 @@ def held_out_gate(rows: DataFrame, target: float = 0.95) -> DataFrame:
     ``rows`` carry ``idx``, the 0-based position in the sample. Thresholds are confidences at four
     places, so dev rows are first counted on that grid (at most 10,001 cells per arm).
     """
+    rows = rows.withColumn("conf", F.coalesce("conf", F.lit(0.0)))
     dev = rows.where(F.col("idx") % 2 == 0)
     cell = F.bround("conf", 4)
     grid = F.round(cell * 10000, 0).cast("int")

@@ -23,6 +23,16 @@ SCORE_DIGITS = 9
 SIMILARITY_VALUES = 4_000_000
 
 
+ALL = 2**62  # no cut: every pair of a block is kept
+
+
+def _width(vectors: DataFrame, dims: int) -> int:
+    """Values that one row takes as a dense vector, so that bounds count what is really held."""
+    if vectors.schema["vec"].dataType.elementType.typeName() == "struct":
+        return dims
+    return max(1, vectors.agg(F.max(F.size("vec"))).first()[0] or 1)
+
+
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     """Dense float64 rows from a column of value lists or of sparse (dim, v) lists."""
     if isinstance(column, pa.ChunkedArray):
@@ -127,7 +137,7 @@ def nearest(queries: DataFrame, collection: DataFrame, k: int, cosine: bool = Tr
     """
     queries = queries.select(F.col("query_id").cast("long"), "vec")
     collection = collection.select(F.col("chunk_id").cast("long"), "vec")
-    limit = cfg.broadcast_values // dims
+    limit = max(1, cfg.broadcast_values // _width(queries, dims))
     small = _collect_within(queries, limit)
     if small is None:
         scored = _block_grid(queries, collection, k, cosine, dims, limit, limit)
@@ -144,11 +154,11 @@ def similarities(rows: DataFrame, anchors: DataFrame, cosine: bool = True, cfg:
     """
     anchors = anchors.select(F.col("anchor").cast("long"), "vec")
     rows = rows.select(F.col("id").cast("long"), "vec")
-    limit = cfg.broadcast_values // dims
+    limit = max(1, cfg.broadcast_values // _width(anchors, dims))
     small = _collect_within(anchors, limit)
     if small is None:
         every = _block_grid(anchors.withColumnRenamed("anchor", "query_id"), rows.withColumnRenamed("id", "chunk_id"),
-                            2 * limit, cosine, dims, limit, limit)
+                            ALL, cosine, dims, limit, limit)
         pair = F.struct(F.col("query_id").alias("anchor"), F.col("score").alias("sim"))
         return every.groupBy(F.col("chunk_id").alias("id")).agg(F.array_sort(F.collect_list(pair)).alias("sims"))
     order = np.argsort(small.column(0).to_numpy())
