@@ -4,7 +4,8 @@ A sentence's probability is logistic in its words and their beginnings (4 to 6 b
 toxic if at least one sentence is: ``1 - prod(1 - p)``. The weights minimise the document's cross-entropy, so the
 gradient of a toxic document goes to the sentences that explain it. Scored texts name those sentences.
 
-Fitting uses at most ``MAX_PER_CLASS`` labelled documents of each class, chosen by a hash of doc_id, in one task;
+Fitting uses at most ``MAX_PER_CLASS`` labelled documents of each class, chosen by a hash of doc_id, in one task.
+Each class weighs in the gradient as it does among all training labels, so a capped sample keeps their prior;
 scoring reads all texts once without a shuffle, with a broadcast of ``2 ** BITS`` weights.
 
 Sentences end at ``.``, ``!``, ``?`` and line ends. Defined results: a null, empty or wordless text has the score
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from rankloom.llm import arrays
 from rankloom.llm.tables import slices
 
-BITS, MAX_PER_CLASS, THRESHOLD = 20, 4000, 0.3
+BITS, MAX_PER_CLASS, THRESHOLD = 20, 6000, 0.3
 PREFIXES = (4, 5, 6)
 GAP = np.ones(256, bool)
 GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -78,10 +79,11 @@ def _all_features(texts: pa.Array, least: int) -> tuple[np.ndarray, np.ndarray,
     return index, first, text, seen >= least
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.3, decay: float = 3e-4,
-        least: int = 5) -> tuple[np.ndarray, float]:
+def fit(texts: pa.Array, toxic: np.ndarray, stands_for: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.3,
+        decay: float = 3e-4, least: int = 5) -> tuple[np.ndarray, float]:
     """Weights and bias by AdaGrad. Features of fewer than ``least`` documents keep no weight: rare words would
-    only be learned by heart."""
+    only be learned by heart. ``stands_for`` is the number of training labels that each document stands for."""
+    share = stands_for / stands_for.mean()
     weights, squares = np.zeros(1 << BITS), np.full(1 << BITS, 1e-6)
     bias, bias_square = -4.0, 1e-6
     index, first, text, frequent = _all_features(texts, least)
@@ -102,7 +104,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, epochs: int = 6, batch: int = 64, ra
             p = _sentence_scores(used, at, weights, bias)
             owner = np.repeat(np.arange(len(own)), doc[own + 1] - doc[own])
             whole = np.clip(_any(p, owner, len(own), bias), 1e-9, 1 - 1e-9)
-            pull = np.where(toxic[own] == 1, -(1 - whole) / whole, 1.0)
+            pull = np.where(toxic[own] == 1, -(1 - whole) / whole, 1.0) * share[own]
             grad = pull[owner] * p / len(own)
             flat = used.ravel()
             spread = np.repeat(np.repeat(grad, size), used.shape[1])
@@ -121,28 +123,33 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> DataFrame:
-    """Up to ``max_per_class`` documents of each class outside the held-out fold: doc_id, text, toxic."""
+    """Up to ``max_per_class`` documents of each class outside the held-out fold: doc_id, text, toxic, and
+    stands_for, the labels of the class for each of its documents in the sample."""
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     order = F.xxhash64("doc_id", F.lit(17))
     # At most 2 * max_per_class narrow rows, so the broadcast is bounded by the parameter.
-    chosen = F.broadcast(marks.where("toxic = 1").orderBy(order, "doc_id").limit(max_per_class).union(
-        marks.where("toxic = 0").orderBy(order, "doc_id").limit(max_per_class)))
-    return docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    chosen = marks.where("toxic = 1").orderBy(order, "doc_id").limit(max_per_class).union(
+        marks.where("toxic = 0").orderBy(order, "doc_id").limit(max_per_class))
+    counts = marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("_all")).select(
+        "toxic", (F.col("_all") / F.least("_all", F.lit(max_per_class))).alias("stands_for"))
+    weighed = F.broadcast(chosen.join(F.broadcast(counts), "toxic"))
+    return docs.select("doc_id", "text").join(weighed, "doc_id").groupBy("doc_id").agg(
+        F.min("text").alias("text"), F.max("toxic").alias("toxic"), F.max("stands_for").alias("stands_for"))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> tuple[np.ndarray, float]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches), pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("toxic", pa.int32())])).sort_by("doc_id")
+        rows = pa.Table.from_batches(list(batches), pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("toxic", pa.int32()), ("stands_for", pa.float64())])).sort_by("doc_id")
         toxic = rows.column("toxic").to_numpy()
         if not len(toxic) or toxic.min() == toxic.max():
             share = float(toxic.mean()) / 2 if len(toxic) else 0.0
             weights, bias = np.zeros(1 << BITS, np.float32), float(np.log(max(share, 1e-12) / (1 - share)))
         else:
-            weights, bias = fit(rows.column("text").combine_chunks(), toxic)
+            weights, bias = fit(rows.column("text").combine_chunks(), toxic, rows.column("stands_for").to_numpy())
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], names=["weights", "bias"])
 
-    labelled = sample(docs, labels, max_per_class).select(F.col("doc_id").cast("long"), "text", F.col("toxic").cast("int"))
+    labelled = sample(docs, labels, max_per_class).select(F.col("doc_id").cast("long"), "text", F.col("toxic").cast("int"), "stands_for")
     row = labelled.repartition(1).mapInArrow(run, "weights binary, bias double").first()
     return (np.frombuffer(row[0], np.float32), row[1]) if row else (np.zeros(1 << BITS, np.float32), -27.0)
 

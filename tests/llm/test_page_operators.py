@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 from llm_checks import same_rows, with_tables
+from pyspark.sql import functions as F
 
 from rankloom.llm import html_wrappers, quote_chat, toxicity, url_filter
 from rankloom.llm.tables import table
@@ -105,6 +106,18 @@ def test_toxicity_on_held_out_documents(spark, data):
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
 
 
+def test_capped_sample_keeps_the_prior(spark, data):
+    larger = data.replace("sf0.001", "sf0.1")
+    docs, labels = table(spark, larger, "documents"), table(spark, larger, "labels")
+    clean = docs.join(labels.where("toxic = 0"), "doc_id", "left_semi").where(toxicity.held_out(F.col("doc_id")))
+    p = np.array([r.score for r in toxicity.score(clean, *toxicity.train(docs, labels, 340)).collect()])
+    # A sample this small with the true prior gives 0.040 and 0.047, one of equal classes without weights 0.139 and 0.168.
+    assert (p >= 0.3).mean() < 0.08 and p.mean() < 0.1
+    drawn = toxicity.sample(docs, labels, 200).groupBy("toxic").agg(F.count("*").alias("n"), F.sum("stands_for").alias("all")).collect()
+    every = {r.toxic: r.n for r in toxicity.sample(docs, labels).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    assert {r.toxic: (r.n, round(r["all"])) for r in drawn} == {t: (200, n) for t, n in every.items()}
+
+
 def test_offending_sentences_and_hard_rows(spark, hard, nothing):
     docs = spark.createDataFrame([(i, f"Éin guter Satz {i}. " + ("You utter scumbag! " if i % 2 else "") + "Noch ein Satz.") for i in range(400)], "doc_id long, text string")
     labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
