@@ -2,10 +2,10 @@
 
 Texts are sets of runs of ``n`` words (shorter texts: one run of all their words). Equal word sequences are one
 text: a row for each text goes on, so copies cost nothing further. Each text gets ``TREES`` signatures of
-``DEPTH`` values, the paths of a text in as many prefix tries. The join looks at texts that share a whole path,
-then shortens the prefixes step by step. After each step the pairs found so far tell the share that prefixes of
-this length find at their similarity; shortening ends at the target recall. Sketches of the signatures discard
-unlikely pairs, the rest form candidate groups, and inside a group every pair is compared exactly.
+``DEPTH`` values, the paths of a text in as many prefix tries. The join looks at texts that share a prefix, the
+longest one that finds a pair right at the threshold with the target recall; more similar pairs are found more
+surely, and what else the table holds does not matter. Sketches of the signatures discard unlikely pairs, the rest
+form candidate groups, and inside a group every pair is compared exactly.
 
 Nothing is emitted for each pair: a task compares blocks of a group as matrices and returns for each text its
 number of partners and a spanning link. Groups and trie nodes of any size are cut into blocks of ``BLOCK`` texts,
@@ -31,10 +31,8 @@ from rankloom.llm import arrays
 from rankloom.llm.tables import slices, width, written
 
 TREES, DEPTH = 16, 8
-LEVELS = (8, 6, 5, 4, 3)
 SIZE = TREES * DEPTH
 N, THRESHOLD, RECALL, BLOCK = 5, 0.8, 0.999, 256
-BINS = 20
 SLACK = 4 * (0.8 * 0.2 / SIZE) ** 0.5  # four standard errors of a similarity estimated from SIZE values
 
 
@@ -178,12 +176,12 @@ class _Links:
         return np.array([self._find(k) for k in range(len(self.root))], np.int64)
 
 
-def _likely(group: pa.Table, level: int, deeper: int | None, cutoff: float, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spanning links of the pairs whose sketches agree enough, and a histogram of the new ones' similarity."""
+def _likely(group: pa.Table, cutoff: float) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links of the pairs whose sketches agree enough."""
     node = group.column("node").to_numpy()
     second = group.column("second").to_numpy(zero_copy_only=False)
     low = np.frombuffer(b"".join(group.column("low").to_pylist()), np.uint8).reshape(len(node), SIZE)
-    links, hist = _Links(len(node)), np.zeros(BINS, np.int64)
+    links = _Links(len(node))
     across = bool(second.any())
     for k in range(len(node) - 1):
         rest = np.arange(k + 1, len(node))
@@ -191,63 +189,35 @@ def _likely(group: pa.Table, level: int, deeper: int | None, cutoff: float, thre
             rest = rest[second[rest] != second[k]]
             if not len(rest):
                 continue
-        agree = low[rest] == low[k]
-        share = (agree.mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-        near = share >= cutoff
-        if not near.any():
-            continue
-        links.join(k, rest[near])
-        tree = agree[near].reshape(-1, TREES, DEPTH)
-        known = tree[:, :, :deeper].all(axis=2).any(axis=1) if deeper else np.zeros(len(tree), bool)
-        sure = ~known & (share[near] >= threshold)
-        if sure.any():  # each pair counts once, however many trees it meets in
-            meets = np.maximum(1, tree[sure][:, :, :level].all(axis=2).sum(axis=1))
-            place = np.minimum(((share[near][sure] - threshold) / (1 - threshold) * BINS).astype(int), BINS - 1)
-            np.add.at(hist, place, np.round(1000 / meets).astype(np.int64))
-    return node, node[links.roots()], hist
-
-
-def _recall(hist: list[float], level: int, threshold: float) -> float:
-    """Share of all pairs that prefixes of this length are expected to have found, judged by those found."""
-    middle = threshold + (np.arange(BINS) + 0.5) / BINS * (1 - threshold)
-    found = 1 - (1 - middle ** level) ** TREES
-    pairs = np.array(hist)
-    return float(pairs.sum() / (pairs / found).sum()) if pairs.sum() else float(1 - (1 - threshold ** level) ** TREES)
-
-
-def candidate_links(texts: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, list[tuple[int, float]]]:
-    """(node, root) links that connect every candidate pair, and the estimated recall by prefix length."""
-    low = texts.select("node", F.col("sig"))
-    found: DataFrame | None = None
-    hist, steps, deeper = [0.0] * BINS, [], None
-    for level in LEVELS:
-        paths = _paths(texts, level)
-        sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        members = _low(paths.join(sizes, "path").join(low, "node"))
-        grouped = _blocks(members, "path", "size")
-        by = ["path", "left", "right"]
-        dealt = grouped.repartition(width(texts.sparkSession), *by).sortWithinPartitions(*by)
-
-        def run(batches: Iterator[pa.RecordBatch], level: int = level, deeper: int | None = deeper) -> Iterator[pa.RecordBatch]:
-            hist = np.zeros(BINS, np.int64)
-            for group in _groups(batches, by):
-                node, root, own = _likely(group, level, deeper, threshold - SLACK, threshold)
-                hist += own
-                linked = node != root
-                if linked.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(root[linked]), pa.nulls(int(linked.sum()), pa.list_(pa.int64()))], names=["node", "root", "hist"])
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([hist.tolist()], pa.list_(pa.int64()))], names=["node", "root", "hist"])
-
-        step = written(dealt.mapInArrow(run, "node long, root long, hist array<long>"))
-        sums = step.where("hist is not null").agg(*[F.coalesce(F.sum(F.get("hist", F.lit(i))), F.lit(0)).alias(f"h{i}") for i in range(BINS)]).first()
-        hist = [a + b / 1000 for a, b in zip(hist, sums, strict=True)]
-        links = step.where("node is not null").select("node", "root")
-        found = links if found is None else found.union(links)
-        steps.append((level, _recall(hist, level, threshold)))
-        deeper = level
-        if steps[-1][1] >= recall:
-            break
-    return found.distinct(), steps
+        share = ((low[rest] == low[k]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+        links.join(k, rest[share >= cutoff])
+    return node, node[links.roots()]
+
+
+def prefix_length(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """The longest prefix that finds a pair of similarity ``threshold`` in one of the tries with the given probability."""
+    for level in range(DEPTH, 0, -1):
+        if 1 - (1 - threshold ** level) ** TREES >= recall:
+            return level
+    raise ValueError(f"{TREES} tries cannot find pairs of similarity {threshold} with a recall of {recall}")
+
+
+def candidate_links(texts: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(node, root) links that connect every candidate pair."""
+    paths = _paths(texts, prefix_length(threshold, recall))
+    sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = _low(paths.join(sizes, "path").join(texts.select("node", "sig"), "node"))
+    by = ["path", "left", "right"]
+    dealt = _blocks(members, "path", "size").repartition(width(texts.sparkSession), *by).sortWithinPartitions(*by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, by):
+            node, root = _likely(group, threshold - SLACK)
+            linked = node != root
+            if linked.any():
+                yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(root[linked])], names=["node", "root"])
+
+    return written(dealt.mapInArrow(run, "node long, root long")).distinct()
 
 
 def _low(members: DataFrame) -> DataFrame:
@@ -327,7 +297,7 @@ def _classes(docs: DataFrame, n: int, threshold: float, recall: float, doc_id: s
     nodes = rows.where("node is not null").groupBy("node").agg(
         F.count(F.lit(1)).alias("n_copies"), F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "key", "sig")).alias("one"))
     texts = written(nodes.select("node", "n_copies", "one.void", "one.doc_id", "one.key", "one.sig"))
-    links, _ = candidate_links(texts, threshold, recall)
+    links = candidate_links(texts, threshold, recall)
     group = components(links)
     sizes = group.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     wanted = group.join(sizes, "label").join(texts.select("node", "doc_id", "key"), "node")

@@ -70,6 +70,18 @@ def test_join_equals_all_pairs(spark, data):
     assert sorted(map(tuple, got), key=repr) == brute_classes(rows)
 
 
+def test_a_large_group_hides_no_borderline_pairs(spark):
+    base = " ".join(f"token{i}" for i in range(300))
+    rows = [(10_000 + k, near(base, [5 + k])) for k in range(290)]
+    for k in range(400):  # each pair shares 170 of 210 shingles or, every other one, 186 of 226
+        words = " ".join(f"p{k}x{i}" for i in range(194 + 16 * (k % 2)))
+        rows += [(20_000 + 2 * k, words), (20_001 + 2 * k, near(words, (20, 60, 100, 140)))]
+    got = {r.doc_id: r for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {got[10_000 + k].n_links for k in range(290)} == {289}
+    lost = [k for k in range(400) if any(got[20_000 + 2 * k + i].n_links != 1 or got[20_000 + 2 * k + i].class_id != 20_000 + 2 * k for i in (0, 1))]
+    assert lost == []
+
+
 def test_one_of_each_class_stays(spark, hard, nothing):
     kept = ngram_join.keep_one(hard)
     assert kept.columns == hard.columns
