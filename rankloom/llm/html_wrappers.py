@@ -9,7 +9,9 @@ they are folded in the scan, repeated results are dropped, and the rest meet in
 The wrapper says where a host keeps its main text: its ``article`` or ``main`` element, else the innermost
 element that holds most of the text that varies. Menus, headers, footers, asides, forms, adverts, notices,
 comments and scripts are left out by their element, class, id or role, and outside an article also the host's
-constants.
+constants. A class or id counts by its last part, so ``content has-related`` is no mark; an ``article`` or ``main``
+element never falls for its own class or id, and a page of which nothing else is left gives its article, or the
+marked element that is its host's main region.
 
 Result: blocks in page order joined by two line ends; character references decoded, white space in a block
 turned into one space. Defined results: a null or empty page, or one without main text, gives an empty text; a
@@ -55,6 +57,10 @@ MARKS = frozenset(
     "related recommended recommendations share sharing social newsletter subscribe subscription signup login search "
     "breadcrumb breadcrumbs pagination pager popup modal overlay toolbar widget widgets complementary contentinfo "
     "skip hidden form".split())
+# Parts that only say where or how a marked element is held, and parts that speak of another element.
+HOLDERS = frozenset(
+    "area container wrapper wrap box bar block list link links button buttons section inner outer holder content left right top bottom main".split())
+OF_OTHERS = frozenset("no not has have with without".split())
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
@@ -63,30 +69,52 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
+def last_part(token: str) -> str:
+    """What a class, id or role names: the whole of it or its last part, without the words for a mere holder."""
+    if token.lower() in MARKS:
+        return token.lower()
+    parts = [w.lower() for w in WORD.findall(token)]
+    if OF_OTHERS.intersection(parts):
+        return ""
+    while len(parts) > 1 and parts[-1] in HOLDERS:
+        parts.pop()
+    return parts[-1] if parts else ""
+
+
+def label_marked(label: str) -> bool:
+    """Whether the classes of a wrapper's label mark it as left out."""
+    name, *classes = label.split(".")
+    return name not in ("article", "main", "body", "html") and any(last_part(c) in MARKS for c in classes)
+
+
 class Element:
-    """An open element. inside is 2 in an article, 1 in a main element, else 0; out marks what is left out."""
+    """An open element. inside is 2 in an article, 1 in a main element, else 0; out marks what is left out, and
+    sure what is left out by more than a class, id or role."""
 
-    __slots__ = ("name", "label", "out", "inside", "path", "chain")
+    __slots__ = ("name", "label", "out", "sure", "inside", "path", "chain")
 
     def __init__(self, name: str, attributes: str, parent: Element | None) -> None:
         words: list[str] = []
+        ends: set[str] = set()
         shown = []
         if attributes:
             for kind, *values in ATTRIBUTE.findall(attributes):
                 value = next((v for v in values if v), "")
                 words += [w.lower() for w in WORD.findall(value)]
+                if name not in ("article", "main") or kind.lower() == "role":
+                    ends.update(map(last_part, value.split()))
                 if kind.lower() == "class" and value:
                     shown = sorted(re.sub(r"\d+", "0", value.lower()).split())
         self.name = name
         self.label = ".".join([name, *shown])
         own = 2 if name == "article" else 1 if name == "main" or ("main" in words and name in ("div", "section")) else 0
         self.inside = max(own, parent.inside if parent is not None else 0)
-        left = name in LEFT_OUT or bool(MARKS.intersection(words)) or bool(attributes and HIDDEN.search(attributes))
-        if (name == "header" or "header" in words) and not self.inside:
-            left = True
+        sure = name in LEFT_OUT or bool(attributes and HIDDEN.search(attributes)) or (name == "header" and not self.inside)
+        left = sure or bool(MARKS.intersection(ends)) or ("header" in ends and not self.inside)
         if name in ("body", "html"):
-            left = False
+            left = sure = False
         self.out = left or (parent is not None and parent.out)
+        self.sure = sure or (parent is not None and parent.sure)
         if parent is None or len(parent.path) < MAX_DEPTH:
             self.path = (*(parent.path if parent else ()), self.label)
             self.chain = (*(parent.chain if parent else ()), self)
@@ -267,8 +295,7 @@ def region_of(wrapper: list) -> tuple[tuple[str, ...], set[str]]:
     def mass(node: list) -> int:
         if node[0] == "#text":
             return node[3] if node[2] is None else 0
-        name, *classes = node[0].split(".")
-        if name in LEFT_OUT or MARKS.intersection(w.lower() for c in classes for w in WORD.findall(c)):
+        if node[0].split(".")[0] in LEFT_OUT or (not marked_too and label_marked(node[0])):
             return 0
         return sum(map(mass, node[2]))
 
@@ -284,7 +311,11 @@ def region_of(wrapper: list) -> tuple[tuple[str, ...], set[str]]:
 
     gather(wrapper)
     path, node = (wrapper[0],), wrapper
+    marked_too = False
     total = mass(wrapper)
+    if not total:
+        marked_too = True
+        total = mass(wrapper)
     while total:
         inner = [m for m in node[2] if m[0] != "#text" and "+" not in m[1] and "*" not in m[1] and mass(m) >= 0.7 * total]
         if not inner:
@@ -297,6 +328,9 @@ def region_of(wrapper: list) -> tuple[tuple[str, ...], set[str]]:
 def main_text(blocks: list[Block], region: tuple[str, ...], constants: set[str]) -> str:
     """Text of the page's article or else main element, else of the host's region, else of what is not left out."""
     kept = [b for b in blocks if not b.at.out]
+    if not kept:
+        marked = any(map(label_marked, region))
+        kept = [b for b in blocks if not b.at.sure and (b.at.inside or (marked and b.at.path[:len(region)] == region))]
     level = max((b.at.inside for b in kept), default=0)
     if level:
         return "\n\n".join(b.text for b in kept if b.at.inside == level)

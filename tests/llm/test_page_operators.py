@@ -32,6 +32,23 @@ def test_article_in_many_shells(spark):
     assert html_wrappers.query(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_class_words_do_not_drop_the_main_text():
+    def texts(main):
+        pages = [html_wrappers.blocks_of(SHELL.replace("{main}", main).replace("{n}", str(k))) for k in range(4)]
+        whole = html_wrappers.wrapper_of(pages[0])
+        for blocks in pages[1:]:
+            whole = html_wrappers.merged(whole, html_wrappers.wrapper_of(blocks))
+        return [html_wrappers.main_text(blocks, *html_wrappers.region_of(whole)) for blocks in pages]
+
+    body = "<p>One text of the page {n}</p><div class='ad-container'>Ad {n}</div><div class='post-share-buttons'>Share {n}</div><div id='cookieBar'>C {n}</div>"
+    for name, attributes in [("article", "class='post no-sidebar'"), ("main", "id='search-result'"), ("div", "class='content has-related'"),
+                             ("article", "class='widget'"), ("main", "class='form'"), ("div", "class='page-with-comments'")]:
+        assert texts(f"<{name} {attributes}>{body}</{name}>") == [f"One text of the page {k}" for k in range(4)], attributes
+    assert texts("<div class='widget'><article><p>One text of the page {n}</p></article></div>") == [f"One text of the page {k}" for k in range(4)]
+    only = html_wrappers.blocks_of("<body><div class='cookie-notice'>Cookies</div></body>")
+    assert html_wrappers.main_text(only, *html_wrappers.region_of(html_wrappers.wrapper_of(only))) == ""
+
+
 def test_given_pages_give_their_article(spark, data):
     import html
 
