@@ -11,5 +11,5 @@ def test_sql(spark, duck, data, name):
     same_rows(registry.QUERIES[name](spark, data), duck, registry.ORACLE[name])
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+def test_all_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
