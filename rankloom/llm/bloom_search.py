@@ -187,9 +187,6 @@ class Asked:
     weights: np.ndarray
     limits: np.ndarray
 
-    def of_item(self, item: int) -> np.ndarray:
-        return self.pair_term[self.item_start[item]:self.item_start[item + 1]]
-
 
 def _asked(pairs: pa.Table, documents: int, words: int) -> Asked:
     """From (item_id, term) rows sorted by item."""
@@ -254,12 +251,22 @@ def _bounds(asked: Asked, sizes: np.ndarray, rows: int, packed: bytes) -> np.nda
     return out
 
 
-def _exact(asked: Asked, place: dict[bytes, int], text: str, size: int, items: np.ndarray) -> list[int]:
-    """Scores of one document for the given items."""
-    tf = {place[t]: n for t, n in Counter(TERM.findall(text.encode().translate(LOWER.tobytes()))).items() if t in place}
-    m = measure(size, asked.documents, asked.words)
-    own = {t: int(asked.weights[t]) * contribution(n, m) for t, n in tf.items()}
-    return [sum(own.get(t, 0) for t in asked.of_item(i).tolist()) for i in items.tolist()]
+class _Exact:
+    """Scores documents for given items, over the terms themselves."""
+
+    def __init__(self, asked: Asked):
+        ends = asked.item_start.tolist()
+        pairs, self.asked = asked.pair_term.tolist(), asked
+        self.of_item = [pairs[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        self.place = dict(zip(asked.terms, range(len(asked.terms)), strict=True))
+        self.weights = asked.weights.tolist()
+
+    def scores(self, text: str, size: int, items: list[int]) -> list[int]:
+        place, weights = self.place, self.weights
+        found = Counter(TERM.findall(text.encode().translate(LOWER.tobytes())))
+        m = measure(size, self.asked.documents, self.asked.words)
+        own = {place[t]: weights[place[t]] * contribution(n, m) for t, n in found.items() if t in place}
+        return [sum([own[t] for t in self.of_item[i] if t in own]) for i in items]
 
 
 def _candidates(blocks: DataFrame, shared, k: int) -> DataFrame:
@@ -290,17 +297,17 @@ def _candidates(blocks: DataFrame, shared, k: int) -> DataFrame:
 def _limits(blocks: DataFrame, asked: Asked, shared, k: int) -> np.ndarray:
     """For each item the ``k``-th best exact score among the documents with the highest bounds; 1 if there are fewer."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        place = {t: i for i, t in enumerate(own.terms)}
+        exact = _Exact(shared.value)
         for batch in batches:
             items, scores = [], []
-            for sizes, texts, pairs in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            sizes_at, texts_at, pairs_at = (batch.column(batch.schema.get_field_index(c)) for c in ("sizes", "texts", "pairs"))
+            for sizes, texts, pairs in zip(sizes_at, texts_at, pairs_at.to_pylist(), strict=True):
                 wanted: dict[int, list[int]] = {}
                 for p in pairs:
                     wanted.setdefault(p["row"], []).append(p["item"])
                 for row, some in wanted.items():
                     items += some
-                    scores += _exact(own, place, texts[row], sizes[row], np.array(some))
+                    scores += exact.scores(texts[row].as_py(), sizes[row].as_py(), some)
             yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(scores, pa.int64())], names=["item", "score"])
 
     # At most k rows for each item of the block, so the broadcast has a fixed bound.
@@ -325,7 +332,7 @@ def _rescored(blocks: DataFrame, shared, k: int) -> DataFrame:
     """(item_id, doc_id, score): every document not provably below its item's limit, the ``k`` best of each task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = shared.value
-        place = {t: i for i, t in enumerate(asked.terms)}
+        exact = _Exact(asked)
         none = np.zeros(0, np.int64)
         best = (none, none, none)
         for batch in batches:
@@ -337,7 +344,7 @@ def _rescored(blocks: DataFrame, shared, k: int) -> DataFrame:
                 texts, found = batch.column(texts_at)[i].values, []
                 for row in np.flatnonzero(open_cells.any(axis=0)).tolist():
                     some = np.flatnonzero(open_cells[:, row])
-                    scores = np.array(_exact(asked, place, texts[row].as_py(), sizes[row], some))
+                    scores = np.array(exact.scores(texts[row].as_py(), sizes[row], some.tolist()))
                     hit = scores >= asked.limits[some]
                     found.append((some[hit], scores[hit], np.full(int(hit.sum()), ids[row])))
                 if found:

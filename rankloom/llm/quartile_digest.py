@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from rankloom.llm import arrays
 from rankloom.llm.tables import slices, width, written
 
-BUCKETS = 256
-TRIPLES = [(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)]
+BUCKETS = 512
+TRIPLES = [(1, 2), (1, 3), (2, 3)]
 LENGTH_BASE, LENGTH_BOUND, RATIO_STEPS, RATIO_BOUND, FAR_CODES = 1.15, 24, 16, 8, 4
 LARGEST = BUCKETS * FAR_CODES + LENGTH_BOUND + 2 * RATIO_BOUND
-_TABLES = [[(arrays._mixed(256, 31 + 3 * k + i) & np.uint64(BUCKETS - 1)).astype(np.uint8) for i in range(3)] for k in range(len(TRIPLES))]
+_TABLES = [[(arrays._mixed(256, 31 + 3 * k + i) & np.uint64(BUCKETS - 1)).astype(np.uint16) for i in range(3)] for k in range(len(TRIPLES))]
 
 
 def bucket_counts(texts: pa.Array) -> np.ndarray:

@@ -157,8 +157,8 @@ def test_bounds_are_never_below_scores(spark, data):
                                   sorted({x.decode() for x in bloom_search.TERM.findall(text.lower().encode())})] or [{"item_id": 0, "term": "the"}])
     asked = bloom_search._asked(pairs, len(held), total)
     asked = bloom_search.replace(asked, weights=np.full(len(asked.terms), 1000))
-    place = {t: i for i, t in enumerate(asked.terms)}
-    exact = np.array([bloom_search._exact(asked, place, d.text, d.size, np.arange(len(asked.items))) for d in held]).T
+    exact = bloom_search._Exact(asked)
+    exact = np.array([exact.scores(d.text, d.size, range(len(asked.items))) for d in held]).T
     loose = {}
     for rows_ in (64, 1 << 14):
         block = bloom_search._packed(1, rows_, held)
