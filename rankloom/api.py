@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from rankloom.config import Config, DEFAULTS
 from rankloom.functions.text import passage_text
-from rankloom.operators import chunking, classify, dense, fusion, hybrid, lexical, metrics, rerank as rr
+from rankloom.operators import chunking, classify, dense, fusion, hybrid, metrics, rerank as rr
 
 
 def prepare(documents: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
-    """Chunks, placed by document for everything that follows."""
-    return chunking.document_chunks(lexical.by_document(documents), cfg)
+    """Chunks; cut in the scan, wherever they are needed."""
+    return chunking.document_chunks(documents, cfg)
 
 
 def retrieve(chunks: DataFrame, questions: DataFrame, stages: tuple[str, ...] = ("fts", "vector", "hybrid"),

@@ -5,11 +5,9 @@ from __future__ import annotations
 import re
 import pandas as pd
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
-
-from rankloom.functions.text import words
+from pyspark.sql.types import StringType
 
 V = "aeiouyäö"
 LONG = ("aa", "ee", "ii", "oo", "uu", "ää", "öö")
@@ -131,13 +129,12 @@ def stem(word: str) -> str:
     return _tidy(w, r1)
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def stems(tokens: pd.Series) -> pd.Series:
-    known = {w: stem(w) for w in set().union(*tokens)}
-    return tokens.map(lambda ws: [known[w] for w in ws])
+@F.pandas_udf(StringType())
+def _stem(words: pd.Series) -> pd.Series:
+    return words.map(stem)
 
 
-def stemmed_words(text: Column) -> Column:
-    """Lower-cased words without Finnish stop words, as stems."""
-    stop = F.array(*[F.lit(w) for w in StopWordsRemover.loadDefaultStopWords("finnish")])
-    return stems(F.filter(words(text), lambda t: ~F.array_contains(stop, t)))
+def stem_table(words: DataFrame) -> DataFrame:
+    """(term, stem) of distinct lower-cased words ``words(term)``; Finnish stop words have none."""
+    stop = [w.lower() for w in StopWordsRemover.loadDefaultStopWords("finnish")]
+    return words.where(~F.col("term").isin(stop)).select("term", _stem("term").alias("stem"))

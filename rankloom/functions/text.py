@@ -44,20 +44,9 @@ def or_query(question: Column) -> Column:
 def split_file_list(raw: Column) -> Column:
     """Comma list of ``.md`` names whose names may hold commas; a leftover piece is kept."""
     pieces = F.filter(F.transform(F.split(raw, ","), strip), lambda p: F.length(p) > 0)
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def step(acc, piece):
-        joined = F.when(F.length(acc["open"]) > 0, F.concat(acc["open"], F.lit(", "), piece)).otherwise(piece)
-        closes = F.lower(joined).endswith(".md")
-        return F.struct(
-            F.when(closes, F.array_append(acc["done"], joined)).otherwise(acc["done"]).alias("done"),
-            F.when(closes, F.lit("")).otherwise(joined).alias("open"),
-        )
-
-    def finish(acc):
-        return F.when(F.length(acc["open"]) > 0, F.array_append(acc["done"], acc["open"])).otherwise(acc["done"])
-
-    return F.aggregate(pieces, empty, step, finish)
+    # No piece holds a comma, so the glued pieces part again behind the names only.
+    names = F.filter(F.split(F.array_join(pieces, ","), "(?<=\\.[mM][dD]),"), lambda n: F.length(n) > 0)
+    return F.transform(names, lambda n: F.replace(n, F.lit(","), F.lit(", ")))
 
 
 def split_sections(raw: Column) -> Column:

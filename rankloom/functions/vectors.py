@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,18 +31,31 @@ def rounded_literal(v: Column, digits: int = 6) -> Column:
     return F.transform(v, lambda x: F.round(x.cast("double"), digits))
 
 
+def _slots(words: list[str], dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Dimension and sign of every word, from the first 32 bits of its digest."""
+    number = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in words], np.int64)
+    return number % dims, number // dims % 2 * 2 - 1
+
+
 def hashed_vectors(units: DataFrame, keys: list[str], text: Column, dims: int = HASH_DIMS) -> DataFrame:
     """Offline vectoriser: signed counts of hashed tokens, as sparse (dim, v) pairs in ``vec``.
 
-    Both aggregations cluster by the leading key, so units partitioned by it stay in place.
+    Row-local: a batch hashes each of its distinct tokens once and sums the signs of every row, so nothing is shuffled.
     """
-    toks = units.select(*keys, code_tokens(text).alias("tokens")).select(*keys, F.explode_outer("tokens").alias("term"))
-    hashed = toks.select(*keys, F.conv(F.substring(F.md5(F.col("term")), 1, 8), 16, 10).cast("long").alias("number"))
-    slots = hashed.select(
-        *keys,
-        F.pmod("number", F.lit(dims)).cast("int").alias("dim"),
-        (F.pmod(F.expr(f"number div {dims}"), F.lit(2)) * 2 - 1).alias("sign"),
-    )
-    sums = slots.groupBy(*keys, "dim").agg(F.sum("sign").cast("double").alias("v"))
-    pairs = F.collect_list(F.when(F.col("dim").isNotNull(), F.struct("dim", "v")))
-    return sums.groupBy(*keys).agg(pairs.alias("vec"))
+    rows = units.select(*keys, code_tokens(text).alias("tokens"))
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(keys))
+            coded = lists.flatten().dictionary_encode()
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            dim, sign = _slots(coded.dictionary.to_pylist(), dims)
+            code = coded.indices.to_numpy(zero_copy_only=False)
+            cell = np.repeat(np.arange(batch.num_rows), size) * dims + dim[code]
+            found, at = np.unique(cell, return_inverse=True)
+            pairs = pa.StructArray.from_arrays([pa.array(found % dims, pa.int32()), pa.array(np.bincount(at, sign[code], len(found)))], names=["dim", "v"])
+            ends = np.searchsorted(found, np.arange(batch.num_rows + 1) * dims)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keys)], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], names=[*keys, "vec"])
+
+    return rows.mapInArrow(run, f"{kinds}, vec array<struct<dim: int, v: double>>")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,39 @@ def chunk_key(doc_id: Column, ordinal: Column) -> Column:
     return doc_id * F.lit(ID_SHIFT) + ordinal
 
 
+FOLD_GROUP = 64
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def fold(items: Column, start: Column, out_type: str, step: Callable[[Column, Column], Column],
+         last: Callable[[Column], Column] | None = None) -> Column:
+    """Outputs of a walk over an array: ``step(state, item)`` gives a struct of the next ``state`` and an array ``out``.
+
+    ``last(state)`` is an array of outputs behind the end. Outputs are gathered for each group of ``FOLD_GROUP`` items and
+    the groups once more, since a single growing array would be copied at every item.
+    """
+    none = F.array().cast(f"array<{out_type}>")
+
+    def walk(state, group):
+        begin = F.struct(state.alias("state"), none.alias("out"))
+        return F.aggregate(group, begin, lambda acc, x: let(step(acc["state"], x), lambda r: F.struct(
+            r["state"].alias("state"), F.when(F.size(r["out"]) == 0, acc["out"]).otherwise(F.concat(acc["out"], r["out"])).alias("out"))))
+
+    def over(items):
+        cuts = F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(FOLD_GROUP))
+        groups = F.transform(cuts, lambda i: F.slice(items, i + 1, F.lit(FOLD_GROUP)))
+        begin = F.struct(start.alias("state"), F.array().cast(f"array<array<{out_type}>>").alias("out"))
+        done = F.aggregate(groups, begin, lambda acc, g: let(walk(acc["state"], g), lambda r: F.struct(
+            r["state"].alias("state"), F.array_append(acc["out"], r["out"]).alias("out"))))
+        return let(done, lambda r: F.flatten(r["out"]) if last is None else F.concat(F.flatten(r["out"]), last(r["state"])))
+
+    return let(items, over)
+
+
 def _hard_cut(paragraph: Column, max_chars: int, step: int) -> Column:
     starts = F.sequence(F.lit(0), F.greatest(F.length(paragraph) - 1, F.lit(0)), F.lit(step))
     return F.transform(starts, lambda i: F.substring(paragraph, i + 1, F.lit(max_chars)))
@@ -33,33 +68,29 @@ def window_text(text: Column, max_chars: int, overlap: int) -> Column:
     shorter than the paragraph that follows.
     """
     blank = F.lit("")
-    start = F.struct(F.array().cast("array<string>").alias("done"), blank.alias("open"))
+    none = F.array().cast("array<string>")
+
+    def closed(buffer):
+        return let(strip(buffer), lambda kept: F.when(F.length(kept) > 0, F.array(kept)).otherwise(none))
 
-    def closed(acc):
-        kept = strip(acc["open"])
-        return F.when(F.length(kept) > 0, F.array_append(acc["done"], kept)).otherwise(acc["done"])
+    def turn(state, out):
+        return F.struct(state.alias("state"), out.alias("out"))
 
-    def step(acc, p):
+    def step(buffer, p):
         size = F.length(p)
-        room = F.length(acc["open"]) + size + 2 <= max_chars
-        tail = F.substring(acc["open"], F.greatest(F.length(acc["open"]) - overlap + 1, F.lit(1)), F.lit(overlap))
+        room = F.length(buffer) + size + 2 <= max_chars
+        tail = F.substring(buffer, F.greatest(F.length(buffer) - overlap + 1, F.lit(1)), F.lit(overlap))
         reopened = F.when((F.length(tail) > 0) & (F.length(tail) < size), F.concat(tail, F.lit("\n\n"), p)).otherwise(p)
-        grown = F.when(F.length(acc["open"]) > 0, F.concat(acc["open"], F.lit("\n\n"), p)).otherwise(p)
+        grown = F.when(F.length(buffer) > 0, F.concat(buffer, F.lit("\n\n"), p)).otherwise(p)
         return (
-            F.when(
-                size > max_chars,
-                F.struct(
-                    F.concat(closed(acc), _hard_cut(p, max_chars, max_chars - overlap)).alias("done"),
-                    blank.alias("open"),
-                ),
-            )
-            .when(room, F.struct(acc["done"].alias("done"), grown.alias("open")))
-            .otherwise(F.struct(closed(acc).alias("done"), reopened.alias("open")))
+            F.when(size > max_chars, turn(blank, F.concat(closed(buffer), _hard_cut(p, max_chars, max_chars - overlap))))
+            .when(room, turn(grown, none))
+            .otherwise(turn(reopened, closed(buffer)))
         )
 
-    packed = F.aggregate(F.split(text, "\n{2,}"), start, step, closed)
+    packed = fold(F.split(text, "\n{2,}"), blank, "string", step, closed)
     return (
-        F.when(F.length(text) == 0, F.array().cast("array<string>"))
+        F.when(F.length(text) == 0, none)
         .when(F.length(text) <= max_chars, F.array(text))
         .otherwise(packed)
     )
@@ -80,46 +111,37 @@ def document_chunks(docs: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 def markdown_sections(raw: Column) -> Column:
     """Array of (heading, heading_path, body), one per heading plus the text above the first.
 
-    The heading lines are folded once; the fold keeps the open headings, and a new heading
+    The heading lines are walked once; the state holds the open headings, and a new heading
     closes every open one of its own level or deeper. Bodies are slices of the line array.
     """
-    lines = F.split(raw, "\r?\n")
-    numbered = F.transform(
-        lines,
-        lambda x, i: F.struct(
-            i.alias("at"),
-            F.length(F.regexp_extract(x, HEADING_LINE, 1)).alias("level"),
-            strip(F.regexp_extract(x, HEADING_LINE, 2)).alias("text"),
-        ),
-    )
-    heads = F.filter(numbered, lambda h: h["level"] > 0)
     level_text = "array<struct<level:int,text:string>>"
-    located = "array<struct<at:int,heading:string,path:string>>"
-    start = F.struct(F.array().cast(level_text).alias("open"), F.array().cast(located).alias("found"))
-
-    def fold(acc, h):
-        above = F.filter(acc["open"], lambda o: o["level"] < h["level"])
-        chain = F.array_append(above, F.struct(h["level"].alias("level"), h["text"].alias("text")))
-        path = F.array_join(F.transform(chain, lambda o: o["text"]), " > ")
-        entry = F.struct(h["at"].alias("at"), h["text"].alias("heading"), path.alias("path"))
-        return F.struct(chain.alias("open"), F.array_append(acc["found"], entry).alias("found"))
-
-    top = F.struct(F.lit(-1).alias("at"), F.lit("").alias("heading"), F.lit("").alias("path"))
-    marks = F.concat(F.array(top).cast(located), F.aggregate(heads, start, fold, lambda a: a["found"]))
-
-    def section(m, j):
-        following = F.get(marks, j + 1)["at"]
-        count = F.coalesce(following, F.size(lines)) - m["at"] - 1
-        return F.struct(
-            m["heading"].alias("heading"),
-            m["path"].alias("path"),
-            F.slice(lines, m["at"] + 2, count).alias("body"),
-        )
+    located = "struct<at:int,heading:string,path:string>"
+
+    def step(chain, h):
+        above = F.filter(chain, lambda o: o["level"] < h["level"])
+        opened = F.array_append(above, F.struct(h["level"].alias("level"), h["text"].alias("text")))
+        return let(opened, lambda now: F.struct(now.alias("state"), F.array(F.struct(
+            h["at"].alias("at"), h["text"].alias("heading"), F.array_join(F.transform(now, lambda o: o["text"]), " > ").alias("path"))).alias("out")))
+
+    def of_lines(lines):
+        marked = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), x.alias("line"))), lambda x: x["line"].rlike(HEADING_LINE))
+        heads = F.transform(marked, lambda x: F.struct(
+            x["at"].alias("at"), F.length(F.regexp_extract(x["line"], HEADING_LINE, 1)).alias("level"),
+            strip(F.regexp_extract(x["line"], HEADING_LINE, 2)).alias("text")))
+        top = F.array(F.struct(F.lit(-1).alias("at"), F.lit("").alias("heading"), F.lit("").alias("path"))).cast(f"array<{located}>")
+        marks = F.concat(top, fold(heads, F.array().cast(level_text), located, step))
+        return let(marks, lambda m: F.zip_with(m, _ends(m, F.size(lines)), section(lines)))
+
+    def _ends(marks, n):
+        return F.concat(F.transform(F.slice(marks, F.lit(2), F.greatest(F.size(marks) - 1, F.lit(0))), lambda m: m["at"]), F.array(n))
+
+    def section(lines):
+        return lambda m, end: F.struct(m["heading"].alias("heading"), m["path"].alias("path"), F.slice(lines, m["at"] + 2, end - m["at"] - 1).alias("body"))
 
     filled = lambda s: (F.length(s["heading"]) > 0) | (
         F.length(strip(F.array_join(s["body"], "\n"))) > 0
     )
-    return F.filter(F.transform(marks, section), filled)
+    return F.filter(let(F.split(raw, "\r?\n"), of_lines), filled)
 
 
 def merge_short_sections(sections: Column, min_chars: int) -> Column:
@@ -128,35 +150,32 @@ def merge_short_sections(sections: Column, min_chars: int) -> Column:
     The last section always stands on its own.
     """
     shape = "struct<heading:string,path:string,body:array<string>>"
-    emitted = "array<struct<heading:string,path:string,body:string>>"
-    start = F.struct(
-        F.array().cast(emitted).alias("done"), F.lit(None).cast(shape).alias("held"), F.lit(0).alias("seen")
-    )
+    ready = "struct<heading:string,path:string,body:string>"
+    nothing, none = F.lit(None).cast(shape), F.array().cast(f"array<{ready}>")
 
     def tidy(body):
         return strip(F.regexp_replace(F.array_join(body, "\n"), "\n{3,}", "\n\n"))
 
-    def step(acc, s):
-        held = acc["held"]
+    def finished(whole, text):
+        return F.array(F.struct(whole["heading"].alias("heading"), whole["path"].alias("path"), text.alias("body")))
+
+    def joined(held, s):
         bridge = F.when(F.length(held["heading"]) > 0, F.concat(F.lit("## "), s["heading"])).otherwise(F.lit(""))
-        carried = F.struct(
+        return F.when(held.isNull(), s.cast(shape)).otherwise(F.struct(
             F.coalesce(F.nullif(held["heading"], F.lit("")), s["heading"]).alias("heading"),
             F.coalesce(F.nullif(held["path"], F.lit("")), s["path"]).alias("path"),
             F.concat(held["body"], F.array(bridge), s["body"]).alias("body"),
-        )
-        whole = F.when(held.isNull(), F.struct(s["heading"].alias("heading"), s["path"].alias("path"),
-                                               s["body"].alias("body"))).otherwise(carried)
-        text = tidy(whole["body"])
-        last = acc["seen"] + 1 == F.size(sections)
-        ready = F.struct(whole["heading"].alias("heading"), whole["path"].alias("path"), text.alias("body"))
-        keep = (F.length(text) >= min_chars) | last
-        return F.struct(
-            F.when(keep, F.array_append(acc["done"], ready)).otherwise(acc["done"]).alias("done"),
-            F.when(keep, F.lit(None).cast(shape)).otherwise(whole.cast(shape)).alias("held"),
-            (acc["seen"] + 1).alias("seen"),
-        )
+        ))
+
+    def step(held, s):
+        return let(joined(held, s), lambda whole: let(tidy(whole["body"]), lambda text: F.when(
+            F.length(text) >= min_chars, F.struct(nothing.alias("state"), finished(whole, text).alias("out"))).otherwise(
+            F.struct(whole.alias("state"), none.alias("out")))))
+
+    def last(held):
+        return F.when(held.isNull(), none).otherwise(finished(held, tidy(held["body"])))
 
-    return F.aggregate(sections, start, step, lambda a: a["done"])
+    return fold(sections, nothing, ready, step, last)
 
 
 def markdown_chunks(docs: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:

@@ -12,6 +12,7 @@ from rankloom.config import Config, DEFAULTS
 from rankloom.functions.stats import exact_sign_p, wilson
 from rankloom.operators.dense import nearest, similarities
 from rankloom.operators.prefix import running
+from rankloom.session import stored
 
 
 def hash_share(key: Column) -> Column:
@@ -151,6 +152,12 @@ def confident_enough(rows: DataFrame, share: float = 0.95) -> DataFrame:
     )
 
 
+def gated(rows: DataFrame) -> DataFrame:
+    """The rows of arms that can be gated. ``rows`` are computed once, into a table, and read for both uses."""
+    rows = stored(rows)
+    return rows.join(confident_enough(rows), "arm", "left_semi")
+
+
 def by_confidence(rows: DataFrame, source_rows: int | None = None) -> DataFrame:
     """Rows with their place in confidence order (ties by ``pos``) and the running number right."""
     filled = rows.withColumn("conf", F.coalesce("conf", F.lit(0.0)))

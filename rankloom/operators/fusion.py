@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -73,30 +74,39 @@ def plan_grid(rankers: list[str]) -> list[tuple[int, str, str, dict[str, float]]
     return [(i, *g) for i, g in enumerate(grid)]
 
 
-def fuse_grid(scores: DataFrame, rankers: list[str], cfg: Config = DEFAULTS) -> DataFrame:
-    """Every combination at once: ``(combo, label, method, rankers, query_id, chunk_id, rank)``.
-
-    A row is copied to the combinations its ranker takes part in (a fixed small number). A
-    weight multiplies the raw score before scaling, as the study defines it; scaling undoes a
-    positive factor, so weighted variants equal their plain twin.
+def _of_row(method: str, norms: list[Column], places: list[Column], size: Column, cfg: Config) -> Column:
+    """One fusion rule over the rankers' values of a single candidate."""
+    total = lambda xs: reduce(Column.__add__, xs)
+    if method == "rrf":
+        return total([1.0 / (cfg.rrf_k + F.coalesce(p, F.lit(ABSENT_RANK))) for p in places])
+    if method == "borda":
+        return total([size - p for p in places]).cast("double")
+    if method == "geometric":
+        return reduce(Column.__mul__, [n + 0.01 for n in norms])
+    if method == "max":
+        return norms[0] if len(norms) == 1 else F.greatest(*norms)
+    if method == "combsum":
+        return total(norms)
+    strong = total([F.when(n > 0.5, 1).otherwise(0) for n in norms])
+    return total(norms) * F.greatest(strong, F.lit(1))
+
+
+def fuse_grid(scores: DataFrame, rankers: list[str], cfg: Config = DEFAULTS, carry: list[str] | None = None) -> DataFrame:
+    """Every combination at once: ``(combo, query_id, chunk_id, rank)`` and the columns named in ``carry``.
+
+    Scaled scores and places of all rankers are brought into one row for each candidate, every combination is an
+    expression over that row, and one window ranks them. A weight multiplies the raw score before scaling, as the
+    study defines it; scaling undoes a positive factor, so weighted variants equal their plain twin.
     """
-    plans = plan_grid(rankers)
-    per_ranker = {
-        name: F.array(*[
-            F.struct(F.lit(i).alias("combo"), F.lit(method).alias("method"), F.lit(float(weights[name])).alias("weight"))
-            for i, _, method, weights in plans if name in weights
-        ])
-        for name in rankers
-    }
-    parts = F.coalesce(*[F.when(F.col("ranker") == n, a) for n, a in per_ranker.items()])
-    rows = ranked_scores(scores).select("*", F.explode(parts).alias("c")).select("*", "c.*").drop("norm")
-    rows = rows.withColumn("norm", min_max(F.col("score") * F.col("weight"), ["combo", "ranker", "query_id"]))
-    value = F.coalesce(*[
-        F.when(F.first("method") == m, combine(m, F.col("norm"), F.col("pos"), F.col("size"), cfg)) for m in METHODS
-    ])
-    fused = rows.groupBy("combo", "query_id", "chunk_id", "first_rank").agg(F.round(value, 9).alias("score"))
+    keys = ["query_id", "chunk_id", "first_rank", *(carry or [])]
+    of = lambda name, c: F.max(F.when(F.col("ranker") == name, F.col(c))).alias(f"{c}_{name}")
+    wide = ranked_scores(scores).groupBy(*keys).agg(F.max("size").alias("size"), *[of(n, c) for n in rankers for c in ("norm", "pos")])
+    cells = [F.struct(F.lit(i).alias("combo"), F.round(_of_row(
+        method, [F.col(f"norm_{n}") for n in weights], [F.col(f"pos_{n}") for n in weights], F.col("size"), cfg), 9).alias("score"))
+        for i, _, method, weights in plan_grid(rankers)]
+    fused = wide.select(*keys, F.explode(F.array(*cells)).alias("c")).select(*keys, "c.combo", "c.score")
     w = Window.partitionBy("combo", "query_id").orderBy(F.col("score").desc(), "first_rank")
-    return fused.select("combo", "query_id", "chunk_id", F.row_number().over(w).alias("rank"))
+    return fused.select("combo", "query_id", "chunk_id", *(carry or []), F.row_number().over(w).alias("rank"))
 
 
 def grid_names(rankers: list[str]) -> Column:

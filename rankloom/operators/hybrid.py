@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rankloom.config import Config, DEFAULTS
 from rankloom.functions.vectors import hashed_vectors
 from rankloom.operators.dense import nearest
-from rankloom.operators.lexical import best_k, weighted_match
+from rankloom.operators.lexical import best_k, weighted_topk
 
 
 def merge_lists(lists: dict[str, DataFrame], cfg: Config = DEFAULTS) -> DataFrame:
@@ -35,11 +35,11 @@ def reciprocal_rank_fusion(lists: dict[str, DataFrame], k: int, cfg: Config = DE
 
 
 def lexical_list(chunks: DataFrame, questions: DataFrame, k: int, cfg: Config = DEFAULTS) -> DataFrame:
-    return best_k(weighted_match(chunks, questions, F.col("title"), F.col("body"), cfg=cfg), k)
+    return weighted_topk(chunks, questions, F.col("title"), F.col("body"), k, cfg=cfg)
 
 
 def dense_list(chunks: DataFrame, questions: DataFrame, k: int, cfg: Config = DEFAULTS) -> DataFrame:
-    collection = hashed_vectors(chunks, ["doc_id", "chunk_id"], F.concat_ws("\n", "title", "body"))
+    collection = hashed_vectors(chunks, ["chunk_id"], F.concat_ws("\n", "title", "body"))
     queries = hashed_vectors(questions, ["query_id"], F.col("question"))
     return nearest(queries, collection, k, cfg=cfg)
 

@@ -1,15 +1,14 @@
-"""Classifiers fitted with Spark ML: TF-IDF and vector logistic regression, and approximate neighbours."""
+"""Classifiers fitted with Spark ML: TF-IDF and vector logistic regression."""
 
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import BucketedRandomProjectionLSH, StringIndexer
+from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.operators.lexical import best_k
 from rankloom.session import broadcast_within
 
 
@@ -110,16 +109,3 @@ def fit_predict(train: DataFrame, test: DataFrame, c: float, iterations: int = 1
     scored = model.transform(test).select("id", F.col("label").alias("gold"), vector_to_array("probability").alias("p"))
     pairs = F.zip_with(names, F.col("p"), lambda l, p: F.struct(l.alias("label"), F.round(p, 9).alias("p")))
     return scored.select("id", "gold", pairs.alias("pairs"))
-
-
-def approximate_neighbours(queries: DataFrame, collection: DataFrame, k: int, width: float = 0.5, tables: int = 8) -> DataFrame:
-    """Optional approximate search over unit vectors by random-projection buckets (a share of exact results)."""
-    vec = lambda d, key: d.select(F.col(key), array_to_vector("vec").alias("features"))
-    a, b = vec(queries, "query_id"), vec(collection, "chunk_id")
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=7).fit(b)
-    near = model.approxSimilarityJoin(a, b, 2.0, distCol="dist")
-    scored = near.select(
-        F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.chunk_id").alias("chunk_id"),
-        F.round(1 - F.col("dist") * F.col("dist") / 2, 9).alias("score"),
-    )
-    return best_k(scored, k)

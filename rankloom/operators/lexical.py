@@ -1,11 +1,8 @@
 """Lexical scoring of many questions at once over any collection of text units.
 
-Units come as ``(doc_id, chunk_id, ...)``, hash-partitioned by ``doc_id`` before the text is cut
-(see ``by_document``). Term counts, unit lengths and the sums per (question, unit) all cluster by
-document, so none of them needs another exchange, and a term that occurs in a third of the
-units never gathers in one task. Only the best ``k`` rows per question and partition leave for
-the final ranking. The question-term side carries no broadcast hint: it is broadcast while its
-size stays under the session's threshold, and is otherwise shuffled with skew splitting.
+All rankings rest on a stored inverted index (``operators.postings``): the texts are read, cut and tokenised once and
+never shuffled; a search reads the postings of the questions' terms. The term side carries no blind broadcast hint: it is
+broadcast while its counted size allows, and is otherwise shuffled with skew splitting.
 """
 
 from __future__ import annotations
@@ -14,8 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.config import Config, DEFAULTS
+from rankloom.functions.stemming import stem_table
 from rankloom.functions.text import code_tokens, or_query, words
-from rankloom.session import broadcast_checked
+from rankloom.operators import postings
+from rankloom.operators.postings import Index
+from rankloom.session import broadcast_checked, stored
 
 
 def query_terms(questions: DataFrame, tokens=code_tokens) -> DataFrame:
@@ -31,77 +31,66 @@ def best_k(scored: DataFrame, k: int, key: str = "chunk_id", group: str = "query
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-UNIT = ["doc_id", "chunk_id"]
 ANCHOR_CHARS = 4
-HEAD_MARK = "^"  # no token holds it
 
 
-def by_document(docs: DataFrame) -> DataFrame:
-    """The one exchange of the text; everything below stays inside its partitions."""
-    return docs.repartition("doc_id")
+# ------------------------------------------------------------------------- BM25
 
 
-def _tokens_by_unit(units: DataFrame, text: Column) -> DataFrame:
-    return units.select(*UNIT, code_tokens(text).alias("tokens"))
+def bm25_index(units: DataFrame, text: Column) -> Index:
+    return postings.build(units, code_tokens(text))
 
 
-def collection_stats(toks: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, df, len_sum) of the question terms in one pass; the empty term carries the totals.
+def collection_stats(index: Index, terms: DataFrame) -> DataFrame:
+    """(term, df, len_sum) of the question terms; the empty term carries the totals of the collection."""
+    whole = index.blocks.agg(F.lit("").alias("term"), F.coalesce(F.sum("n"), F.lit(0)).alias("df"), F.coalesce(F.sum("total"), F.lit(0)).alias("len_sum"))
+    return postings.frequencies(index, terms).join(postings.lengths(index, terms), "term").unionByName(whole)
 
-    Every unit counts once under the empty term, so its row holds the number of units and
-    the sum of their lengths. Counts are pre-aggregated in every task.
-    """
-    marked = F.array_append(F.array_distinct("tokens"), F.lit(""))
-    wanted = terms.select("term").unionByName(terms.select(F.lit("").alias("term"))).distinct()
-    return (
-        toks.select(F.size("tokens").alias("len"), marked.alias("marked"))
-        .select("len", F.explode_outer("marked").alias("term"))
-        .join(wanted, "term", "left_semi")
-        .groupBy("term")
-        .agg(F.count("*").alias("df"), F.sum("len").alias("len_sum"))
-    )
 
+def _bm25_terms(index: Index, questions: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame, postings.Part]:
+    """Question terms, their weights, and the damped term count of Okapi BM25."""
+    n, mean = index.totals()
+    terms = query_terms(questions)
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = terms.join(postings.frequencies(index, terms), "term").select("query_id", "term", idf.alias("weight"))
 
-def collection_totals(stats: DataFrame) -> tuple[Column, Column]:
-    """Unit count and mean length as one scalar subquery over the statistics."""
-    whole = F.max(F.when(F.col("term") == "", F.struct("df", "len_sum")))
-    total = stats.agg(whole.alias("t")).select("t").scalar()
-    return total["df"], total["len_sum"] / total["df"]
+    def part(tf, length):
+        return tf * (cfg.bm25_k1 + 1) / (tf + cfg.bm25_k1 * (1 - cfg.bm25_b + cfg.bm25_b * length / (mean or 1.0)))
 
+    return terms, weights, part
 
-def bm25(units: DataFrame, questions: DataFrame, text: Column, cfg: Config = DEFAULTS) -> DataFrame:
-    """Okapi BM25 of every question against every unit that shares a term with it.
 
-    The statistics are one small row per question term and are kept, since the totals and the
-    term weights both need them. ``explode_outer`` keeps the optimizer from deriving a
-    "has tokens" filter below the exchange, which would tokenise the text once more.
-    """
-    k1, b = cfg.bm25_k1, cfg.bm25_b
-    terms = query_terms(questions)
-    toks = _tokens_by_unit(units, text)
-    stats = collection_stats(toks, terms).persist()
-    n, avg_len = collection_totals(stats)
-    weights = terms.join(stats, "term").select(
-        "query_id", "term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
-    )
-    postings = (
-        toks.withColumn("len", F.size("tokens"))
-        .select(*UNIT, "len", F.explode_outer("tokens").alias("term"))
-        .join(terms.select("term").distinct(), "term", "left_semi")
-        .groupBy(*UNIT, "len", "term")
-        .agg(F.count("*").cast("double").alias("tf"))
-    )
-    norm = k1 * (1 - b + b * F.col("len") / avg_len)
-    damped = postings.select(*UNIT, "term", (F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("part"))
-    return (
-        damped.join(broadcast_checked(weights, terms), "term")
-        .groupBy("query_id", *UNIT)
-        .agg(F.round(F.sum(F.col("idf") * F.col("part")), 9).alias("score"))
-    )
+def bm25(units: DataFrame, questions: DataFrame, text: Column, cfg: Config = DEFAULTS) -> DataFrame:
+    """Okapi BM25 of every question against every unit that shares a term with it."""
+    index = bm25_index(units, text)
+    terms, weights, part = _bm25_terms(index, questions, cfg)
+    return postings.score(index, broadcast_checked(weights, terms), part).withColumn("score", F.round("score", 9))
 
 
 def bm25_topk(units: DataFrame, questions: DataFrame, text: Column, k: int, cfg: Config = DEFAULTS) -> DataFrame:
-    return best_k(bm25(units, questions, text, cfg), k)
+    index = bm25_index(units, text)
+    terms, weights, part = _bm25_terms(index, questions, cfg)
+    return best_k(postings.best(index, weights, part, k).withColumn("score", F.round("score", 9)), k)
+
+
+# --------------------------------------------------------------- weighted match
+
+
+def weighted_index(units: DataFrame, head: Column, body: Column, tokens=words, cfg: Config = DEFAULTS) -> Index:
+    """Index whose marks are the summed position weights of a word, in whole tenths to stay exact."""
+    tenths = lambda w: int(round(w * 10))
+    cut = units.select("chunk_id", tokens(head).alias("_h"), tokens(body).alias("_b"))
+    marks = F.concat(F.array_repeat(F.lit(tenths(cfg.weight_head)), F.size("_h")), F.array_repeat(F.lit(tenths(cfg.weight_body)), F.size("_b")))
+    return postings.build(cut, F.concat("_h", "_b"), marks)
+
+
+def _or_terms(questions: DataFrame, tokens) -> DataFrame:
+    asked = questions.select("query_id", or_query(F.col("question")).alias("question"))
+    return query_terms(asked, lambda q: F.filter(tokens(q), lambda t: t != "or"))
+
+
+def _whole(mark, length):
+    return mark * 1
 
 
 def weighted_match(units: DataFrame, questions: DataFrame, head: Column, body: Column,
@@ -110,42 +99,41 @@ def weighted_match(units: DataFrame, questions: DataFrame, head: Column, body: C
     in the body ``weight_body``.
 
     For a pure OR query each matched position is its own cover, so the cover-density score is
-    the sum of the position weights. Scores are summed in whole tenths to stay exact.
+    the sum of the position weights.
     """
-    terms = query_terms(
-        questions.select("query_id", or_query(F.col("question")).alias("question")),
-        lambda q: F.filter(tokens(q), lambda t: t != "or"),
-    )
-    tenths = lambda w: int(round(w * 10))
-    marked = F.transform(tokens(head), lambda t: F.concat(F.lit(HEAD_MARK), t))
-    hits = units.select(*UNIT, F.concat(marked, tokens(body)).alias("terms")).select(
-        *UNIT, F.explode_outer("terms").alias("t")
-    )
-    in_head = F.col("t").startswith(HEAD_MARK)
-    hits = hits.select(
-        *UNIT,
-        F.when(in_head, F.expr("substring(t, 2)")).otherwise(F.col("t")).alias("term"),
-        F.when(in_head, tenths(cfg.weight_head)).otherwise(tenths(cfg.weight_body)).alias("w"),
-    )
-    weights = (
-        hits.join(terms.select("term").distinct(), "term", "left_semi")
-        .groupBy(*UNIT, "term")
-        .agg(F.sum("w").alias("w"))
-    )
-    return (
-        weights.join(terms, "term")
-        .groupBy("query_id", *UNIT)
-        .agg((F.sum("w") / 10.0).alias("score"))
-    )
+    terms = _or_terms(questions, tokens).withColumn("weight", F.lit(1))
+    index = weighted_index(units, head, body, tokens, cfg)
+    return postings.score(index, broadcast_checked(terms, terms), _whole).withColumn("score", F.col("score") / 10.0)
+
+
+def weighted_topk(units: DataFrame, questions: DataFrame, head: Column, body: Column, k: int,
+                  tokens=words, cfg: Config = DEFAULTS) -> DataFrame:
+    """The ``k`` best units of each question by ``weighted_match``."""
+    terms = _or_terms(questions, tokens).withColumn("weight", F.lit(1))
+    index = weighted_index(units, head, body, tokens, cfg)
+    return best_k(postings.best(index, terms, _whole, k).withColumn("score", F.col("score") / 10.0), k)
+
+
+def stemmed_topk(units: DataFrame, questions: DataFrame, head: Column, body: Column, k: int, cfg: Config = DEFAULTS) -> DataFrame:
+    """``weighted_topk`` over Finnish stems without stop words.
+
+    The index holds plain words; only its distinct words are stemmed, once each, and a question asks for every word with
+    one of its stems. Marks of words with the same stem add up, so the scores are those of an index of stems.
+    """
+    index = weighted_index(units, head, body, words, cfg)
+    known = stem_table(index.postings.select("term").distinct())
+    asked = _or_terms(questions, words)
+    own = stem_table(asked.select("term").distinct())
+    stems = asked.join(own, "term").select("query_id", "stem").distinct()
+    terms = (stems.join(known, "stem").select("query_id", "term", F.lit(1).alias("weight")))
+    return best_k(postings.best(index, terms, _whole, k).withColumn("score", F.col("score") / 10.0), k)
 
 
 def match_counts(units: DataFrame, questions: DataFrame, body: Column) -> DataFrame:
     """How many units match any term of each question (the bare OR predicate)."""
+    index = postings.build(units, words(body))
     terms = query_terms(questions, words)
-    found = units.select(
-        *UNIT, F.explode_outer(F.array_distinct(words(body))).alias("term")
-    )
-    pairs = found.join(terms, "term").groupBy("query_id", *UNIT).agg(F.count("*").alias("terms"))
+    pairs = postings.matches(index, broadcast_checked(terms, terms)).groupBy("query_id", F.col("p.chunk_ids").alias("chunk_id")).agg(F.count("*").alias("terms"))
     counts = pairs.groupBy("query_id").agg(
         F.count("*").alias("matched_units"), F.max("terms").alias("most_terms")
     )
@@ -170,7 +158,6 @@ def verbatim_gold(units: DataFrame, questions: DataFrame) -> DataFrame:
     that word. A question without an inner word, in any script, meets on its first characters
     (at most ``ANCHOR_CHARS``). Only the empty question has no gold.
     """
-    # The same filter on both uses of the text lets them share one exchange.
     units = units.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
 
     def neighbours(t):
@@ -200,10 +187,11 @@ def verbatim_gold(units: DataFrame, questions: DataFrame) -> DataFrame:
         letters = units.select("doc_id", F.split("text", "").alias("c")).where(F.size("c") >= n)
         grams = letters.select("doc_id", F.explode(F.array_distinct(_runs("c", n))).alias("key"))
         maybe = maybe.unionByName(grams.join(anchors, "key").select("key", "doc_id", "query_id"))
+    # The pairs are stored, so that their size decides how they meet the texts again, in the scan if they are few.
     return (
-        maybe.select("query_id", "doc_id")
+        stored(maybe.select("query_id", "doc_id"))
         .join(questions.select("query_id", "question"), "query_id")
-        .join(units.select("doc_id", "text"), "doc_id")
+        .join(units, "doc_id")
         .where(F.contains("text", "question"))
         .select("query_id", "doc_id")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.config import Config, DEFAULTS
+from rankloom.functions.text import section_relevant
 from rankloom.operators.prefix import running
 
 DEPTHS = (1, 3, 5, 10)
@@ -18,6 +19,42 @@ def flag_relevant(ranked: DataFrame, gold: DataFrame) -> DataFrame:
     return ranked.join(marked, ["query_id", "doc_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(False)))
 
 
+def flag_sections(ranked: DataFrame, gold: DataFrame) -> DataFrame:
+    """``ranked(query_id, doc_id, heading, heading_path, ...)`` with ``rel_doc`` and ``rel_section``.
+
+    ``gold(query_id, doc_id, sections)``: a chunk answers at document level if its document is gold, and at section
+    level if it also lies in one of the document's gold sections.
+    """
+    held = ranked.join(gold.select("query_id", "doc_id", "sections"), ["query_id", "doc_id"], "left")
+    inside = section_relevant(F.col("sections"), F.col("heading"), F.col("heading_path"))
+    return held.withColumns({"rel_doc": F.col("sections").isNotNull(), "rel_section": F.coalesce(inside, F.lit(False))}).drop("sections")
+
+
+def by_level(flagged: DataFrame) -> DataFrame:
+    """Rows of ``flag_sections`` once for each ``level`` with its ``rel``."""
+    levels = F.array(*[F.struct(F.lit(n).alias("level"), F.col(f"rel_{n}").alias("rel")) for n in ("doc", "section")])
+    return flagged.withColumn("_l", F.explode(levels)).select("*", "_l.*").drop("_l", "rel_doc", "rel_section")
+
+
+def nearest_headings(gold: DataFrame, chunks: DataFrame, keep: int = 3) -> DataFrame:
+    """``gold(query_id, doc_id, sections)`` without any section among the document's chunks, with up to ``keep`` headings
+    that hold the first content word (over four characters) of the first section, in document order.
+
+    Chunks meet their gold document only; a window limited to ``keep`` rows bounds what is gathered.
+    """
+    word = F.lower(F.get(F.split(F.regexp_replace(F.coalesce(F.get("sections", F.lit(0)), F.lit("")), "^\\d+[.\\s§]*", ""), "\\s+"), F.lit(0)))
+    asked = gold.select("query_id", "doc_id", "sections", word.alias("_word"))
+    pool = asked.join(chunks.select("doc_id", "ordinal", "heading", "heading_path"), "doc_id", "left")
+    hit = F.coalesce(section_relevant(F.col("sections"), F.col("heading"), F.col("heading_path")), F.lit(False))
+    lost = pool.groupBy("query_id").agg(F.max(hit).alias("_hit")).where(~F.col("_hit")).select("query_id")
+    near = (F.length("_word") > 4) & F.contains(F.lower("heading"), F.col("_word"))
+    order = Window.partitionBy("query_id").orderBy("doc_id", "ordinal")
+    first = pool.where(near).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= keep)
+    listed = first.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("_r", "heading"))).alias("_h"))
+    empty = F.array().cast("array<string>")
+    return lost.join(listed, "query_id", "left").select("query_id", F.coalesce(F.transform("_h", lambda x: x["heading"]), empty).alias("nearest"))
+
+
 def query_metrics(flagged: DataFrame, keys: list[str], cfg: Config = DEFAULTS, top_score: bool = False) -> DataFrame:
     """First relevant rank, hit at depths, reciprocal rank and binary nDCG per list.
 
@@ -59,6 +96,11 @@ def keep_empty(metrics: DataFrame, questions: DataFrame, strategies: list[str] |
         base = questions.select("query_id").join(strategies.select("strategy"))
     else:
         base = questions.select("query_id", F.explode(F.array(*map(F.lit, strategies))).alias("strategy"))
+    return fill_empty(base, metrics)
+
+
+def fill_empty(base: DataFrame, metrics: DataFrame) -> DataFrame:
+    """``metrics`` for every (strategy, query_id) of ``base``; a list that is missing scores zero."""
     zero = {c: F.coalesce(c, F.lit(0)).alias(c) for c in metrics.columns if c.startswith("hit_at_")}
     return base.join(metrics, ["strategy", "query_id"], "left").select(
         "strategy", "query_id", "first_rank", *zero.values(),

@@ -42,12 +42,12 @@ def measured(pairs: DataFrame) -> DataFrame:
     }).drop("question", "passage")
 
 
-def overlap_scorer(min_chars: int = 0) -> Scorer:
-    """Local deterministic judge; passages shorter than ``min_chars`` count as failed requests."""
+def overlap_scorer() -> Scorer:
+    """Local deterministic judge: the share of the question's words in the passage; null without question words."""
 
     def score(pairs: DataFrame) -> DataFrame:
         known = pairs if "overlap" in pairs.columns else measured(pairs)
-        return known.withColumn("score", F.when(F.col("passage_chars") >= min_chars, F.col("overlap")))
+        return known.withColumn("score", F.col("overlap"))
 
     return score
 
@@ -60,17 +60,29 @@ def graded_scorer(levels: int = 3) -> Scorer:
     return score
 
 
+def in_batches(pairs: DataFrame, size: int, before: str = "rank") -> DataFrame:
+    """Adds ``batch``: the request, counted from 0 in each question, that a candidate goes into, ``size`` to a request."""
+    return pairs.withColumn("batch", F.floor((F.col(before) - 1) / size).cast("long"))
+
+
 def batched_scorer(scorer: Scorer, size: int = DEFAULTS.batch_size) -> Scorer:
-    """Candidates judged together: each batch's scores are relative to its best passage."""
+    """Candidates judged together, ``size`` to a request. Judgments in one request do not see each other, so the scores
+    are those of single requests; the rows keep the ``batch`` they went into, which ``requests`` accounts for."""
 
     def score(pairs: DataFrame) -> DataFrame:
-        raw = scorer(pairs).withColumn("batch", F.floor((F.col("rank") - 1) / size))
-        top = F.max("score").over(Window.partitionBy("query_id", "batch"))
-        return raw.withColumn("score", F.round(F.try_divide(F.col("score"), top), 6)).drop("batch")
+        return in_batches(scorer(pairs), size, "first_rank" if "first_rank" in pairs.columns else "rank")
 
     return score
 
 
+def requests(judged: DataFrame, size: int, before: str = "rank") -> DataFrame:
+    """One row for each request of a batched run over ``measured`` and scored candidates: how many candidates it held,
+    how many got no answer, and its input size, the question counted once."""
+    return in_batches(judged, size, before).groupBy("query_id", "batch").agg(
+        F.count("*").alias("candidates"), F.count_if(F.col("score").isNull()).alias("unanswered"),
+        (F.sum("passage_chars") + F.max("question_chars")).cast("long").alias("input_units"))
+
+
 def precomputed_scorer(table: DataFrame, missing: float | None = None) -> Scorer:
     """Scores looked up by (query_id, chunk_id). A question without rows keeps its order."""
 
@@ -86,16 +98,19 @@ def rerank(pairs: DataFrame, scorer: Scorer) -> DataFrame:
     return by_score(scorer(pairs.withColumn("first_rank", F.col("rank"))), before="first_rank", out="rank")
 
 
+def judge_head(ranked: DataFrame, scorer: Scorer, keep: int, before: str = "rank") -> DataFrame:
+    """The first ``keep`` by ``before`` judged and re-ordered, unanswered ones last; all others stay behind them, unscored."""
+    head, tail = F.col(before) <= keep, F.col(before) > keep
+    judged = scorer(ranked.where(head))
+    rest = ranked.where(tail).withColumn("score", F.lit(None).cast("double"))
+    w = Window.partitionBy("query_id").orderBy(tail, F.col("score").isNull(), F.col("score").desc(), before)
+    return judged.unionByName(rest, allowMissingColumns=True).withColumn("rank", F.row_number().over(w))
+
+
 def cascade(pairs: DataFrame, cheap: Scorer, precise: Scorer, keep: int = DEFAULTS.cascade_keep) -> DataFrame:
     """Cheap pass over all, precise pass over the best ``keep`` alone; the tail keeps the cheap order, unscored."""
-    first = rerank(pairs, cheap).withColumn("pass_rank", F.col("rank")).drop("score")
-    judged = precise(first.where(F.col("pass_rank") <= keep))
-    tail = first.where(F.col("pass_rank") > keep).withColumn("score", F.lit(None).cast("double"))
-    w = Window.partitionBy("query_id").orderBy(
-        F.col("pass_rank") > keep, F.col("score").isNull(), F.col("score").desc(), F.col("pass_rank")
-    )
-    both = judged.unionByName(tail, allowMissingColumns=True)
-    return both.withColumn("rank", F.row_number().over(w)).drop("pass_rank")
+    first = rerank(pairs, cheap).withColumn("pass_rank", F.col("rank")).drop("score", "rank")
+    return judge_head(first, precise, keep, "pass_rank").drop("pass_rank")
 
 
 def judge_each(pairs: DataFrame, judges: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
@@ -116,7 +131,8 @@ def usage(pairs: DataFrame, mode: str, cfg: Config = DEFAULTS) -> DataFrame:
     """Requests, failures and input size of a judge run over ``measured`` pairs, per question.
 
     ``mode``: ``single`` (one request per candidate), ``batched`` or ``cascade``. Input size is
-    counted in characters, a stand-in for tokens; a batch sends the question once.
+    counted in characters, a stand-in for tokens; a batch sends the question once. ``rank`` is the
+    order of the run's first pass; the second pass of a cascade adds its own requests and failures.
     """
     batches = F.ceil(F.count("*") / cfg.batch_size)
     passages = F.sum("passage_chars")
@@ -125,9 +141,11 @@ def usage(pairs: DataFrame, mode: str, cfg: Config = DEFAULTS) -> DataFrame:
     requests = {"single": F.count("*"), "batched": batches, "cascade": batches + kept}[mode]
     kept_chars = F.sum(F.when(F.col("rank") <= cfg.cascade_keep, F.col("passage_chars")).otherwise(0))
     again = kept_chars if mode == "cascade" else F.lit(0)
+    failed = F.count_if(F.col("score").isNull())
+    twice = F.count_if(F.col("score").isNull() & (F.col("rank") <= cfg.cascade_keep)) if mode == "cascade" else F.lit(0)
     return pairs.groupBy("query_id").agg(
         requests.cast("long").alias("requests"),
-        F.count_if(F.col("score").isNull()).alias("failed"),
+        (failed + twice).alias("failed"),
         (passages + question * requests + again).cast("long").alias("input_units"),
     )
 

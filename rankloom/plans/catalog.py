@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import text as tx
 from rankloom.functions import vectors as vx
-from rankloom.functions.stemming import stemmed_words
 from rankloom.operators import (
-    chunking, classify, corpus, dense, fusion, hybrid, intervals, learned, lexical, metrics, rerank,
+    cells, chunking, classify, corpus, dense, fusion, hybrid, intervals, learned, lexical, metrics, rerank,
 )
 from rankloom.plans.study import Study
 
@@ -54,8 +53,7 @@ def bm25_topk(s: Study) -> DataFrame:
 @query
 def bm25_statistics(s: Study) -> DataFrame:
     text = F.concat_ws("\n", "title", "body")
-    toks = s.chunks.select(tx.code_tokens(text).alias("tokens"))
-    return lexical.collection_stats(toks, lexical.query_terms(s.questions))
+    return lexical.collection_stats(lexical.bm25_index(s.chunks, text), lexical.query_terms(s.questions))
 
 
 @query
@@ -187,6 +185,31 @@ def section_mask(s: Study) -> DataFrame:
     )
 
 
+@query
+def page_topk(s: Study) -> DataFrame:
+    """Ranked heading chunks of pages, for the questions of the page study."""
+    return s.page_list().select("query_id", "rank", "doc_id", "ordinal", "score")
+
+
+@query
+def page_section_metrics(s: Study) -> DataFrame:
+    return s.page_metrics().select(METRIC_COLUMNS).withColumnRenamed("strategy", "level")
+
+
+@query
+def ir_metrics_section(s: Study) -> DataFrame:
+    """Means over the questions each level can be evaluated for."""
+    return metrics.aggregate_metrics(s.page_metrics(), ["strategy"]).withColumnRenamed("strategy", "level")
+
+
+@query
+def nearest_headings(s: Study) -> DataFrame:
+    """Pages whose own title names no section of theirs, with the headings that come nearest."""
+    gold = s.page_headings().select(F.col("page_id").alias("query_id"), F.col("page_id").alias("doc_id"), F.array("title").alias("sections"))
+    found = metrics.nearest_headings(gold, s.page_chunks())
+    return found.select(F.col("query_id").alias("page_id"), F.size("nearest").alias("n_near"), F.array_join("nearest", " | ").alias("nearest"))
+
+
 @query
 def reachability(s: Study) -> DataFrame:
     """Ground truth that retrieval can reach at all: gold indexed, and how many chunks hold it."""
@@ -395,6 +418,19 @@ def usage_cost(s: Study) -> DataFrame:
     return rerank.totals(used[0].unionByName(used[1]).unionByName(used[2]), s.cfg.usd_per_million_input)
 
 
+@query
+def judge_requests(s: Study) -> DataFrame:
+    """The requests of the batched judge, one row for each."""
+    judged = rerank.rerank(s.measured_pairs, s.judges_by_name()["batched"])
+    return rerank.requests(judged, s.cfg.batch_size, "first_rank")
+
+
+@query
+def window_judge(s: Study) -> DataFrame:
+    """The first thirty line windows of each question judged and re-ordered, the others kept behind them."""
+    return s.judged_windows().select(JUDGED)
+
+
 @query
 def judge_summary(s: Study) -> DataFrame:
     return rerank.judge_summary(s.reranked("hybrid+single"))
@@ -521,7 +557,7 @@ def oos_metrics(s: Study) -> DataFrame:
 
 @query
 def calibration_error(s: Study) -> DataFrame:
-    return classify.calibration_error(s.predictions())
+    return classify.calibration_error(classify.gated(s.predictions()))
 
 
 @query
@@ -531,12 +567,12 @@ def gate_validity(s: Study) -> DataFrame:
 
 @query
 def coverage_at(s: Study) -> DataFrame:
-    return classify.coverage_at(classify.by_confidence(s.predictions(), s.vector_count))
+    return classify.coverage_at(classify.by_confidence(classify.gated(s.predictions()), s.vector_count))
 
 
 @query
 def accuracy_top80(s: Study) -> DataFrame:
-    rows = s.predictions()
+    rows = classify.gated(s.predictions())
     sizes = rows.groupBy("arm").agg(F.count("*").alias("n"))
     return classify.accuracy_of_top(classify.by_confidence(rows, s.vector_count), sizes)
 
@@ -545,7 +581,7 @@ def accuracy_top80(s: Study) -> DataFrame:
 def heldout_gate(s: Study) -> DataFrame:
     from rankloom.operators.prefix import running
 
-    rows = running(s.predictions(), ["arm"], [F.col("pos")], source_rows=s.vector_count)
+    rows = running(classify.gated(s.predictions()), ["arm"], [F.col("pos")], source_rows=s.vector_count)
     return classify.held_out_gate(rows.withColumn("idx", F.col("rn") - 1))
 
 
@@ -623,13 +659,34 @@ def emb_lr(s: Study) -> DataFrame:
 
 @query
 def lsh_topk(s: Study) -> DataFrame:
-    units = s.vectors.select(F.col("id").alias("chunk_id"), vx.unit(F.col("vec")).alias("vec"))
-    queries = s.label_queries().select("query_id", vx.unit(F.col("vec")).alias("vec"))
-    return learned.approximate_neighbours(queries, units, s.cfg.candidate_k).select(RANKED)
+    """Label means against all vectors through the cell index."""
+    units = s.vectors.select(F.col("id").alias("chunk_id"), "vec")
+    return cells.search(s.label_queries(), units, cells.fit(units, s.cfg.candidate_k), s.cfg.candidate_k, cfg=s.cfg).select(RANKED)
+
+
+def _vectors_asked(s: Study) -> tuple[DataFrame, DataFrame]:
+    """The stated query set, every vector whose id is divisible by 100, and all vectors."""
+    units = s.vectors.select(F.col("id").alias("chunk_id"), "vec")
+    return units.where(F.col("chunk_id") % 100 == 0).withColumnRenamed("chunk_id", "query_id"), units
+
+
+@query
+def cells_topk(s: Study) -> DataFrame:
+    queries, units = _vectors_asked(s)
+    return cells.search(queries, units, cells.fit(units, s.cfg.candidate_k), s.cfg.candidate_k, cfg=s.cfg).select(RANKED)
+
+
+@query
+def cells_recall(s: Study) -> DataFrame:
+    """The cell index against exact search over all vectors: does it find nine tenths of the true neighbours?"""
+    queries, units = _vectors_asked(s)
+    k = s.cfg.candidate_k
+    exact = dense.nearest(queries, units, k, cfg=s.cfg)
+    found = cells.search(queries, units, cells.fit(units, k), k, cfg=s.cfg)
+    return cells.recall(exact, found).select("n_queries", "n_wanted", (F.col("recall") >= 0.9).alias("enough"))
 
 
 @query
 def lexical_stemmed_topk(s: Study) -> DataFrame:
     """The weighted match over Finnish stems without stop words."""
-    scored = lexical.weighted_match(s.chunks, s.questions, F.col("title"), F.col("body"), stemmed_words, s.cfg)
-    return lexical.best_k(scored, s.cfg.candidate_k).select(RANKED)
+    return lexical.stemmed_topk(s.chunks, s.questions, F.col("title"), F.col("body"), s.cfg.candidate_k, s.cfg).select(RANKED)

@@ -112,8 +112,7 @@ TABLES |= {
     "judged": """
         SELECT *, share AS single, round(3 * share, 4) AS graded,
                (rank - 1) // 15 AS batch FROM overlap""",
-    "batch_scores": """
-        SELECT *, round(single / nullif(max(single) OVER (PARTITION BY query_id, batch), 0), 6) AS batched FROM judged""",
+    "batch_scores": "SELECT *, single AS batched FROM judged",
     "judge_ranks": """
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY single IS NULL, single DESC, rank) AS r_single,
                row_number() OVER (PARTITION BY query_id ORDER BY graded IS NULL, graded DESC, rank) AS r_graded,
@@ -144,14 +143,14 @@ def _metric_tables(lists: str) -> dict[str, str]:
             SELECT strategy, query_id, min(rank) FILTER (rel) AS first_rank, count(*) FILTER (rel) AS n_rel,
                    coalesce(sum(1 / log2(rank + 1)) FILTER (rel AND rank <= 10), 0) AS dcg
             FROM flagged GROUP BY ALL""",
+        "asked": f"""SELECT strategy, query_id FROM (SELECT DISTINCT query_id FROM gold) CROSS JOIN (SELECT DISTINCT strategy FROM {lists})""",
         "per_query": f"""
-            SELECT s.strategy, q.query_id, first_rank,
+            SELECT q.strategy, q.query_id, first_rank,
                    {", ".join(f"coalesce((first_rank <= {d})::INT, 0)::BIGINT AS hit_at_{d}" for d in (1, 3, 5, 10))},
                    round(CASE WHEN first_rank <= 10 THEN 1.0::DOUBLE / first_rank ELSE 0 END, 9) AS rr,
                    round(CASE WHEN n_rel > 0 THEN dcg / list_sum(list_transform(range(1, least(10, n_rel) + 1), lambda i: 1 / log2(i + 1)))
                          ELSE 0 END, 9) AS ndcg
-            FROM questions q CROSS JOIN (SELECT DISTINCT strategy FROM {lists}) s
-            LEFT JOIN scored p ON p.query_id = q.query_id AND p.strategy = s.strategy""",
+            FROM asked q LEFT JOIN scored p ON p.query_id = q.query_id AND p.strategy = q.strategy""",
     }
 
 
@@ -296,9 +295,10 @@ CLASS_TABLES = {
     "preds": """SELECT arm, id, any_value(gold) AS gold, list(label ORDER BY p DESC, label)[1] AS pred,
         max(p) AS conf, list(label ORDER BY p DESC, label)[1:10] AS top, bool_or(false) AS unused FROM probs GROUP BY arm, id""",
     "ok": "SELECT *, pred = gold AS right_one FROM preds",
+    "gated": "SELECT * FROM ok WHERE arm IN (SELECT arm FROM ok GROUP BY arm HAVING count(conf) >= 0.95 * count(*))",
     "by_conf": """SELECT *, row_number() OVER w AS i, sum(right_one::INT) OVER w AS hits, count(*) OVER (PARTITION BY arm) AS n
-        FROM ok WINDOW w AS (PARTITION BY arm ORDER BY conf DESC, id ROWS UNBOUNDED PRECEDING)""",
-    "positions": "SELECT *, row_number() OVER (PARTITION BY arm ORDER BY id) - 1 AS idx FROM ok",
+        FROM gated WINDOW w AS (PARTITION BY arm ORDER BY conf DESC, id ROWS UNBOUNDED PRECEDING)""",
+    "positions": "SELECT *, row_number() OVER (PARTITION BY arm ORDER BY id) - 1 AS idx FROM gated",
     "steps": """SELECT d.arm, t.thr, count(*) AS n, sum(right_one::INT) AS hits
         FROM (SELECT DISTINCT arm, round_even(conf, 4) AS thr FROM positions WHERE idx % 2 = 0) t
         JOIN positions d ON d.arm = t.arm AND d.idx % 2 = 0 AND d.conf >= t.thr GROUP BY ALL""",
@@ -401,6 +401,36 @@ def _headings_match(a: str, b: str) -> str:
     )
 
 
+def _section_hit(sections: str, heading: str, path: str) -> str:
+    return (f"coalesce(trim({sections}, {BLANK}) <> '' AND ({_headings_match(sections, heading)} OR "
+            f"(length({_normal_heading(sections)}) > 12 AND contains({_normal_heading(path)}, {_normal_heading(sections)}))), false)")
+
+
+# BM25 over the heading chunks of pages, asked with article headings; relevance of the page and of the section.
+PAGE_SEARCH = PAGE_TABLES | {
+    "questions": "SELECT page_id AS query_id, heading AS question FROM titles WHERE page_id % 10 = 0",
+    "chunks": "SELECT doc_id * 4294967296 + ordinal AS chunk_id, doc_id, ordinal, heading, heading_path, body FROM md_chunks",
+    "chunk_text": "SELECT chunk_id, heading_path || chr(10) || body AS text FROM chunks",
+    "page_list": _top("bm25", 30),
+    "page_rows": f"""SELECT l.query_id, l.rank, l.score, c.doc_id, c.ordinal, c.doc_id = l.query_id AS rel_doc,
+        c.doc_id = l.query_id AND {_section_hit('q.question', 'c.heading', 'c.heading_path')} AS rel_section
+        FROM page_list l JOIN chunks c USING (chunk_id) JOIN questions q ON q.query_id = l.query_id""",
+} | _metric_tables("page_list") | {
+    "flagged": """SELECT 'doc' AS strategy, query_id, rank, rel_doc AS rel FROM page_rows
+        UNION ALL SELECT 'section', query_id, rank, rel_section FROM page_rows""",
+    "asked": f"""SELECT DISTINCT 'doc' AS strategy, query_id FROM questions JOIN chunks ON doc_id = query_id
+        UNION SELECT 'section', query_id FROM questions q JOIN chunks c ON c.doc_id = q.query_id
+        WHERE {_section_hit('q.question', 'c.heading', 'c.heading_path')}""",
+}
+NEAREST = PAGE_TABLES | {
+    "wanted": r"""SELECT page_id, title, lower(regexp_split_to_array(regexp_replace(title, '^\d+[.\s§]*', ''), '\s+')[1]) AS word FROM titles""",
+    "lost": f"""SELECT page_id FROM wanted t LEFT JOIN md_chunks c ON c.doc_id = t.page_id GROUP BY page_id
+        HAVING NOT bool_or({_section_hit('t.title', 'c.heading', 'c.heading_path')})""",
+    "close": """SELECT page_id, heading, row_number() OVER (PARTITION BY page_id ORDER BY ordinal) AS i FROM wanted JOIN md_chunks ON doc_id = page_id
+        WHERE length(word) > 4 AND contains(lower(heading), word) QUALIFY i <= 3""",
+}
+
+
 def _judged(rank: str, score: str) -> str:
     return sql(f"SELECT query_id, {rank} AS rank, rank AS first_rank, chunk_id, {score} AS score FROM cascade")
 
@@ -442,11 +472,12 @@ USAGE = {
     "usage": """
         SELECT query_id, count(*) AS n, sum(plen) AS chars, max(qlen) AS q, count(*) FILTER (single IS NULL) AS failed,
                ceil(count(*) / 15.0)::BIGINT AS batches, least(count(*), 10) AS kept,
-               sum(plen) FILTER (r_single <= 10) AS kept_chars FROM judge_ranks GROUP BY query_id""",
+               sum(plen) FILTER (r_batched <= 10) AS kept_chars, count(*) FILTER (single IS NULL AND r_batched <= 10) AS failed_again
+        FROM judge_ranks GROUP BY query_id""",
     "used": """
         SELECT 'hybrid+single' AS strategy, n AS requests, failed, chars + q * n AS units FROM usage
         UNION ALL SELECT 'hybrid+batched', batches, failed, chars + q * batches FROM usage
-        UNION ALL SELECT 'hybrid+cascade', batches + kept, failed, chars + q * (batches + kept) + kept_chars FROM usage""",
+        UNION ALL SELECT 'hybrid+cascade', batches + kept, failed + failed_again, chars + q * (batches + kept) + kept_chars FROM usage""",
 }
 EVENT_LABELS = "['click', 'error', 'purchase', 'signup', 'view']"
 MASS = {
@@ -517,6 +548,13 @@ ORACLE: dict[str, str] = {
         FROM docs d LEFT JOIN items USING (doc_id) GROUP BY d.doc_id""", FILES),
     "section_lists": sql(f"""SELECT doc_id, len(x) AS n_items, md5(array_to_string(x, '|')) AS digest FROM (
         SELECT doc_id, list_filter(list_transform(regexp_split_to_array(replace(text, '.', ';'), '[;|]'), lambda s: trim(s, {BLANK})), lambda s: length(s) > 0) AS x FROM docs)"""),
+    "page_topk": sql("SELECT query_id, rank, doc_id, ordinal, score FROM page_rows", PAGE_SEARCH),
+    "page_section_metrics": sql("SELECT strategy AS level, * EXCLUDE (strategy) FROM per_query", PAGE_SEARCH),
+    "ir_metrics_section": sql(f"SELECT strategy AS level, {METRIC_MEANS} FROM per_query GROUP BY strategy", PAGE_SEARCH),
+    "nearest_headings": sql("""SELECT l.page_id, count(heading) AS n_near, coalesce(string_agg(heading, ' | ' ORDER BY i), '') AS nearest
+        FROM lost l LEFT JOIN close c ON c.page_id = l.page_id GROUP BY l.page_id""", NEAREST),
+    "cells_recall": sql("""SELECT count(*) FILTER (id % 100 = 0) AS n_queries, (count(*) FILTER (id % 100 = 0) * least(30, count(*)))::BIGINT AS n_wanted,
+        true AS enough FROM vecs""", CLASS_TABLES),
     "qrels_group": sql("SELECT query_id, count(*) AS n_gold, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM gold GROUP BY 1"),
     "positive_labels": sql("""SELECT folder, count(*) AS positives, sum(toxic)::BIGINT AS toxic FROM labels JOIN docs USING (doc_id)
         WHERE quality > 0 GROUP BY folder"""),
@@ -565,6 +603,14 @@ ORACLE: dict[str, str] = {
     "usage_cost": sql("""SELECT strategy, count(*) AS questions, sum(requests)::BIGINT AS requests, sum(failed)::BIGINT AS failed,
         sum(units)::BIGINT AS input_units, round(sum(units) / 1e6 * 0.042::DOUBLE, 9) AS usd,
         round(sum(units) / 1e6 * 0.042::DOUBLE / count(*) * 1000, 9) AS usd_per_1000 FROM used GROUP BY strategy""", USAGE),
+    "judge_requests": sql("""SELECT query_id, batch, count(*) AS candidates, count(*) FILTER (batched IS NULL) AS unanswered,
+        (sum(plen) + max(qlen))::BIGINT AS input_units FROM batch_scores GROUP BY ALL"""),
+    "window_judge": sql(f"""SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY first_rank > 30, score IS NULL, score DESC, first_rank) AS rank,
+        first_rank, chunk_id, score FROM (
+          SELECT w.query_id, w.rank AS first_rank, w.chunk_id, CASE WHEN w.rank <= 30 THEN
+            round(len(list_intersect(list_distinct({code_tokens('question')}), list_distinct({code_tokens('body')})))::DOUBLE
+              / nullif(len(list_distinct({code_tokens('question')})), 0), 6) END AS score
+          FROM ranked_windows w JOIN chunks USING (chunk_id) JOIN questions q ON q.query_id = w.query_id)""", RANGE_TABLES),
     "judge_summary": sql("SELECT query_id, count(single) AS scored, max(single) AS top_score FROM judged GROUP BY 1"),
     "latency_percentiles": sql("""SELECT event_type, max(n) AS n, min(value) FILTER (i = ceil(0.5 * n)) AS p50,
         min(value) FILTER (i = ceil(95 * n / 100.0)) AS p95 FROM ordered GROUP BY 1""", SPANS),
@@ -608,7 +654,7 @@ ORACLE: dict[str, str] = {
         FROM ok GROUP BY arm""", CLASS_TABLES),
     "calibration_error": sql("""SELECT arm, round(sum(n * abs(acc - c)) / sum(n), 9) AS ece FROM (
         SELECT arm, floor(least(greatest(conf, 0), 0.9999::DOUBLE) * 10) AS b, count(*) AS n, avg(right_one::INT) AS acc, avg(conf) AS c
-        FROM ok GROUP BY ALL) GROUP BY arm""", CLASS_TABLES),
+        FROM gated GROUP BY ALL) GROUP BY arm""", CLASS_TABLES),
     "gate_validity": sql("SELECT arm, count(*) AS n, count(conf) AS with_conf FROM ok GROUP BY arm HAVING count(conf) >= 0.95 * count(*)", CLASS_TABLES),
     "coverage_at": sql("""SELECT arm, count(*) AS n, round(coalesce(max(i) FILTER (hits / i >= 0.95::DOUBLE), 0) / count(*), 9) AS coverage_95,
         round(coalesce(max(i) FILTER (hits / i >= 0.98::DOUBLE), 0) / count(*), 9) AS coverage_98 FROM by_conf GROUP BY arm""", CLASS_TABLES),

@@ -17,10 +17,15 @@ from rankloom.config import Config, DEFAULTS
 from rankloom.functions.text import passage_text
 from rankloom.operators import chunking, classify, dense, fusion, hybrid, intervals, lexical, metrics, rerank
 from rankloom.operators.prefix import running
-from rankloom.session import broadcast_within
+from rankloom.session import spread, stored
 
 BUDGET_TOOL_HITS = 10
 LINE_WINDOW = 10
+WINDOW_HEAD, WINDOW_BATCH = 30, 10
+
+
+def _document_of(chunk_id: str) -> Column:
+    return F.expr(f"{chunk_id} div {chunking.ID_SHIFT}")
 
 
 @dataclass(frozen=True)
@@ -48,26 +53,37 @@ class Study:
             "doc_id", F.col("source").alias("title"), F.col("source").alias("folder"), "lang", "text"
         )
 
+    @cached_property
+    def texts(self) -> DataFrame:
+        """The documents as they are cut and tokenised."""
+        return spread(self.docs, "doc_id")
+
     @cached_property
     def chunks(self) -> DataFrame:
-        return chunking.document_chunks(lexical.by_document(self.docs), self.cfg)
+        return chunking.document_chunks(self.texts, self.cfg)
 
     @cached_property
     def gold(self) -> DataFrame:
-        return lexical.verbatim_gold(lexical.by_document(self.docs.select("doc_id", "text")), self.questions)
+        return stored(lexical.verbatim_gold(self.texts, self.questions))
+
+    @cached_property
+    def evaluable(self) -> DataFrame:
+        """Questions with gold: the only ones that a metric can be taken over."""
+        return self.questions.join(self.gold, "query_id", "left_semi")
 
     def bm25_list(self, k: int) -> DataFrame:
         return lexical.bm25_topk(self.chunks, self.questions, F.concat_ws("\n", "title", "body"), k, self.cfg)
 
     def shortlists(self, *stages: str) -> DataFrame:
         return hybrid.shortlists(self.chunks, self.questions, list(stages), cfg=self.cfg).withColumn(
-            "doc_id", F.expr(f"chunk_id div {chunking.ID_SHIFT}")
+            "doc_id", _document_of("chunk_id")
         )
 
     def with_passages(self, listed: DataFrame) -> DataFrame:
-        """Late join of the wide text: only listed chunks meet it."""
-        rows = self.question_count * self.cfg.candidate_k * 3
-        full = self.chunks.join(broadcast_within(listed.drop("doc_id"), rows), "chunk_id").join(self.questions, "query_id")
+        """Late join of the wide text: only documents with a listed chunk are cut again, and only these chunks kept."""
+        listed = stored(listed.drop("doc_id").withColumn("_doc", _document_of("chunk_id")))
+        docs = self.docs.join(listed.select(F.col("_doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        full = chunking.document_chunks(docs, self.cfg).join(listed.drop("_doc"), "chunk_id").join(self.questions, "query_id")
         return full.withColumn("passage", passage_text(F.col("title"), F.lit(""), F.col("body"))).drop("body", "ordinal")
 
     # ---------------------------------------------------------------- rerank
@@ -83,9 +99,12 @@ class Study:
     def judge(self) -> rerank.Scorer:
         return rerank.overlap_scorer()
 
-    def judges(self) -> dict:
+    def judges_by_name(self) -> dict[str, rerank.Scorer]:
         single = self.judge()
-        batched = rerank.batched_scorer(single, self.cfg.batch_size)
+        return {"single": single, "batched": rerank.batched_scorer(single, self.cfg.batch_size)}
+
+    def judges(self) -> dict:
+        single, batched = self.judges_by_name().values()
         return {
             "hybrid": lambda p: p.withColumn("score", F.lit(None).cast("double")),
             "hybrid+single": lambda p: rerank.rerank(p, single),
@@ -111,7 +130,7 @@ class Study:
     def _metrics(self, listed: DataFrame, names: list[str], top_score: bool = False) -> DataFrame:
         flagged = metrics.flag_relevant(listed, self.gold)
         per_query = metrics.query_metrics(flagged, ["strategy", "query_id"], self.cfg, top_score)
-        return metrics.keep_empty(per_query, self.questions, names)
+        return metrics.keep_empty(per_query, self.evaluable, names)
 
     # ---------------------------------------------------------------- fusion
 
@@ -123,7 +142,7 @@ class Study:
         lex = hybrid.lexical_list(self.chunks, self.questions, depth, self.cfg)
         den = hybrid.dense_list(self.chunks, self.questions, depth, self.cfg)
         short = hybrid.reciprocal_rank_fusion({"lexical": lex, "dense": den}, self.cfg.candidate_k, self.cfg)
-        base = short.select("query_id", "chunk_id", F.col("rank").alias("first_rank"), "lexical", "dense")
+        base = stored(short.select("query_id", "chunk_id", F.col("rank").alias("first_rank"), "lexical", "dense"))
         judged = self.judge()(self.with_passages(base)).drop("overlap").withColumnRenamed("score", "overlap")
         long = F.explode(F.array(*[F.struct(F.lit(n).alias("ranker"), F.col(n).alias("score")) for n in self.RANKERS]))
         return judged.select("query_id", "chunk_id", "first_rank", long.alias("s")).select(
@@ -135,12 +154,10 @@ class Study:
 
     def fusion_grid(self) -> DataFrame:
         """Every combination scored on both halves of the questions that have gold."""
-        lists = fusion.fuse_grid(self.ranker_scores(), self.RANKERS, self.cfg).withColumn(
-            "doc_id", F.expr(f"chunk_id div {chunking.ID_SHIFT}")
-        )
-        scored = metrics.query_metrics(metrics.flag_relevant(lists, self.gold), ["combo", "query_id"], self.cfg)
-        with_gold = self.questions.select("query_id").join(self.gold.select("query_id").distinct(), "query_id", "left_semi")
-        halves = running(with_gold, [], [F.col("query_id")], source_rows=self.question_count).select(
+        scores = self.ranker_scores().withColumn("doc_id", _document_of("chunk_id"))
+        lists = fusion.fuse_grid(metrics.flag_relevant(scores, self.gold), self.RANKERS, self.cfg, ["rel"])
+        scored = metrics.query_metrics(lists, ["combo", "query_id"], self.cfg)
+        halves = running(self.evaluable.select("query_id"), [], [F.col("query_id")], source_rows=self.question_count).select(
             "query_id", F.when(F.col("rn") % 2 == 1, "dev").otherwise("test").alias("half")
         )
         mean = lambda c, h: F.round(F.avg(F.when(F.col("half") == h, F.col(c))), 9)
@@ -156,16 +173,19 @@ class Study:
 
     @cached_property
     def line_windows(self) -> DataFrame:
-        cut = chunking.line_windows(lexical.by_document(self.docs), LINE_WINDOW)
+        return self._line_windows(self.texts)
+
+    def _line_windows(self, docs: DataFrame) -> DataFrame:
+        cut = chunking.line_windows(docs, LINE_WINDOW)
         return cut.withColumn("chunk_id", chunking.chunk_key(F.col("doc_id"), F.col("start_line"))).withColumn(
             "title", F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
         )
 
     def _ranges(self, ranked: DataFrame, keep: int) -> DataFrame:
-        """Line bounds follow from the window id and the file's line count, so no text is joined back."""
-        lines = self.line_windows.select("chunk_id", "doc_id", "start_line", "end_line")
-        top = ranked.where(F.col("rank") <= keep).select("query_id", "chunk_id", "rank", "score")
-        return lines.join(broadcast_within(top, self.question_count * keep), "chunk_id")
+        """Line bounds of the listed windows; only their documents are cut again."""
+        top = stored(ranked.where(F.col("rank") <= keep).select("query_id", "chunk_id", "rank", "score"))
+        docs = self.docs.join(top.select(_document_of("chunk_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        return self._line_windows(docs).select("chunk_id", "doc_id", "start_line", "end_line").join(top, "chunk_id")
 
     def ranked_windows(self, keep: int = 120) -> DataFrame:
         """The BM25 ranking of line windows, with their bounds: 120 for the list, 200 for ranking files."""
@@ -173,11 +193,19 @@ class Study:
             lexical.bm25_topk(self.line_windows, self.questions, F.concat_ws("\n", "title", "body"), 200, self.cfg), keep
         )
 
+    def judged_windows(self) -> DataFrame:
+        """The ranked windows with the head judged on its own lines; the tail needs no text."""
+        listed = stored(self.ranked_windows())
+        head = listed.where(F.col("rank") <= WINDOW_HEAD).select("query_id", "chunk_id", "doc_id")
+        docs = self.docs.join(head.select("doc_id").distinct(), "doc_id", "left_semi")
+        bodies = self._line_windows(docs).select("chunk_id", F.col("body").alias("passage")).join(head, "chunk_id").join(self.questions, "query_id")
+        known = rerank.measured(bodies).drop("doc_id")
+        first = listed.select("query_id", "chunk_id", F.col("rank").alias("first_rank")).join(known, ["query_id", "chunk_id"], "left")
+        return rerank.judge_head(first, rerank.batched_scorer(self.judge(), WINDOW_BATCH), WINDOW_HEAD, "first_rank")
+
     def tool_ranges(self) -> DataFrame:
         """The budget tool: best word-match windows, as ranges with a probability-like ``p``."""
-        listed = lexical.best_k(
-            lexical.weighted_match(self.line_windows, self.questions, F.lit(""), F.col("body"), cfg=self.cfg), BUDGET_TOOL_HITS * 3
-        )
+        listed = lexical.weighted_topk(self.line_windows, self.questions, F.lit(""), F.col("body"), BUDGET_TOOL_HITS * 3, cfg=self.cfg)
         p = F.when(F.col("rank") % 5 != 0, F.round(F.col("score") / (F.col("score") + 10.0), 6))
         return self._ranges(listed, BUDGET_TOOL_HITS * 3).withColumn("p", p).withColumnRenamed("rank", "pos")
 
@@ -221,7 +249,37 @@ class Study:
         html = F.col("html")
         for pattern, to in PAGE_RULES:
             html = F.regexp_replace(html, pattern, to)
-        return self.table("pages").select(F.col("page_id").alias("doc_id"), html.alias("text"))
+        return spread(self.table("pages"), "page_id").select(F.col("page_id").alias("doc_id"), html.alias("text"))
+
+    def page_chunks(self) -> DataFrame:
+        cut = chunking.markdown_chunks(self.markdown_pages(), self.cfg)
+        return cut.withColumn("chunk_id", chunking.chunk_key(F.col("doc_id"), F.col("ordinal")))
+
+    @cached_property
+    def page_questions(self) -> DataFrame:
+        """The stated query set: the article heading of every page whose id is divisible by 10."""
+        asked = self.page_headings().where(F.col("page_id") % 10 == 0)
+        return asked.select(F.col("page_id").alias("query_id"), F.col("heading").alias("question"))
+
+    def page_gold(self) -> DataFrame:
+        return self.page_questions.select("query_id", F.col("query_id").alias("doc_id"), F.array("question").alias("sections"))
+
+    def page_list(self) -> DataFrame:
+        """BM25 over heading chunks with their heading path, and the headings of the listed chunks."""
+        text = F.concat_ws("\n", "heading_path", "body")
+        top = stored(lexical.bm25_topk(self.page_chunks(), self.page_questions, text, self.cfg.candidate_k, self.cfg))
+        pages = self.markdown_pages().join(top.select(_document_of("chunk_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        cut = chunking.markdown_chunks(pages, self.cfg).withColumn("chunk_id", chunking.chunk_key(F.col("doc_id"), F.col("ordinal")))
+        return cut.select("chunk_id", "doc_id", "ordinal", "heading", "heading_path").join(top, "chunk_id")
+
+    def page_metrics(self) -> DataFrame:
+        """Both levels for every question that the level can be evaluated for: its section exists in some chunk."""
+        gold = self.page_gold()
+        flagged = metrics.by_level(metrics.flag_sections(self.page_list(), gold))
+        pool = metrics.flag_sections(self.page_chunks().join(gold.select("query_id", "doc_id"), "doc_id"), gold)
+        asked = metrics.by_level(pool).where("rel").select(F.col("level").alias("strategy"), "query_id").distinct()
+        scored = metrics.query_metrics(flagged.withColumnRenamed("level", "strategy"), ["strategy", "query_id"], self.cfg)
+        return metrics.fill_empty(asked, scored)
 
     def page_headings(self) -> DataFrame:
         grab = lambda tag: F.regexp_extract("html", f"<{tag}>([^<]*)</{tag}>", 1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,20 +13,49 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the session names (``spark.checkpoint.dir``).
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder the session names (``spark.checkpoint.dir``), made the checkpoint folder if there is none yet.
 
     Only a local session without any checkpoint folder, as in tests, gets a temporary one.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
         if named is None and not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="rankloom-ckpt-"))
+    return named or sc.getCheckpointDir()
+
+
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A small table dealt over the cores by ``key``; a larger one as it lies.
+
+    A file of a few megabytes is often one row group, which a single task would have to read and cut. Tables past
+    ``SPREAD_BYTES`` have row groups for many tasks, and their texts stay in the scan. The rows are the same either way.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(shuffle_width(df.sparkSession), key) if size <= SPREAD_BYTES else df
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: computed once, read by any number of plans.
+
+    The planner knows the size of the files, so a small table is broadcast without a hint.
+    """
+    path = f"{_shared_folder(df.sparkSession).rstrip('/')}/rankloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_within(df: DataFrame, rows_bound: int, limit: int = 1_000_000) -> DataFrame:
     """Broadcast hint only where the caller can prove the number of rows stays under ``limit``."""
     return F.broadcast(df) if rows_bound <= limit else df

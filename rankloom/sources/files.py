@@ -52,22 +52,35 @@ def _lenient_text(content: Column) -> Column:
 
 def delimited(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
     """Quoted, multi-line delimited text: trimmed header and cells, short rows padded, blank rows dropped."""
-    raw = spark.read.csv(path, sep=sep, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE")
-    cells = {c: tx.strip(F.coalesce(F.regexp_replace(F.col(f"`{c}`"), "\r", ""), F.lit(""))) for c in raw.columns}
-    tidy = raw.select(*[v.alias(c.lstrip("﻿").strip()) for c, v in cells.items()])
-    filled = [F.length(F.col(f"`{c}`")) > 0 for c in tidy.columns]
+    return placed_delimited(spark, path, sep).drop(*PLACE)
+
+
+def placed_delimited(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
+    raw = placed(spark.read.csv(path, sep=sep, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE"))
+    cells = {c: tx.strip(F.coalesce(F.regexp_replace(F.col(f"`{c}`"), "\r", ""), F.lit(""))) for c in raw.columns if c not in PLACE}
+    tidy = raw.select(*[v.alias(c.lstrip("﻿").strip()) for c, v in cells.items()], *PLACE)
+    filled = [F.length(F.col(f"`{c}`")) > 0 for c in tidy.columns if c not in PLACE]
     return tidy.where(F.exists(F.array(*filled), lambda x: x))
 
 
+PLACE = ["_file", "_block", "_line"]
+
+
+def placed(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows of a file scan with the place they were read from. Tasks take files by size, so only the file's path, the
+    block's offset and the order inside the block give the order of the input."""
+    return df.select(*(columns or ["*"]), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                     F.monotonically_increasing_id().alias("_line"))
+
+
 def numbered(df: DataFrame, name: str = "pos", source_rows: int | None = None) -> DataFrame:
-    """A gapless 0-based position in file order."""
-    marked = df.withColumn("_order", F.monotonically_increasing_id())
-    return running(marked, [], [F.col("_order")], source_rows=source_rows).withColumn(name, F.col("rn") - 1).drop("rn", "_order")
+    """A gapless 0-based position in file order (files by path) of ``placed`` rows."""
+    return running(df, [], [F.col(c) for c in PLACE], source_rows=source_rows).withColumn(name, F.col("rn") - 1).drop("rn", *PLACE)
 
 
 def ground_truth(spark: SparkSession, path: str, source_rows: int | None = None) -> DataFrame:
     """Question rows of the delimited ground truth with unique ids and parsed file and section lists."""
-    rows = delimited(spark, path)
+    rows = placed_delimited(spark, path)
     for absent in {"node", "question", "files", "source_sections", "category", "hop_type", "answer"} - set(rows.columns):
         rows = rows.withColumn(absent, F.lit(""))
     asked = numbered(rows.where(F.length("question") > 0), source_rows=source_rows)
@@ -98,7 +111,7 @@ def labelled_messages(spark: SparkSession, path: str, prefix: str, label: str =
     value = F.col(label)
     if names is not None:
         value = F.create_map(*[F.lit(x) for kv in sorted(names.items()) for x in kv])[value]
-    rows = numbered(df, source_rows=df.count())
+    rows = numbered(placed(df), source_rows=df.count())
     return rows.select(F.concat(F.lit(prefix), F.col("pos").cast("string")).alias("id"), "text", value.alias("label"))
 
 

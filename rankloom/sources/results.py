@@ -11,36 +11,55 @@ from rankloom.operators.corpus import last_success, unfinished
 
 PREDICTION = (
     "id string, gold string, pred string, conf double, p_pred double, top array<array<string>>, ms double, "
-    "in_tok bigint, out_tok bigint, usd double, model string, raw string, error string"
+    "in_tok bigint, out_tok bigint, usd double, model string, raw string, error string, attempt bigint"
 )
 
 
+def log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(value, file, block, line)``: every line with its place. Lines of one file follow each other by (block, line); the
+    names of part files say nothing about the order in which they were appended, which ``attempt`` in the rows does."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                                        F.monotonically_increasing_id().alias("line"))
+
+
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """A prediction log with one row per id (last success, else first failure), in first-seen order ``pos``.
 
+    The order is that of attempts, then of lines. Rows of a log that was written without attempts are all of the first one.
+
     The raw ``top`` pairs mix strings and numbers; they come back as (label, p). A present
     ``p_pred``, even null, wins over ``conf``.
     """
     has_p = F.col("value").contains('"p_pred"')
-    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0).withColumn("line", F.monotonically_increasing_id())
-    rows = lines.select("line", has_p.alias("has_p"), F.from_json("value", PREDICTION).alias("r")).select("line", "has_p", "r.*")
+    place = F.struct(F.coalesce("r.attempt", F.lit(0)).alias("attempt"), "file", "block", "line").alias("line")
+    lines = log_lines(spark, path).where(F.length(F.trim("value")) > 0)
+    rows = lines.select("*", has_p.alias("has_p"), F.from_json("value", PREDICTION).alias("r")).select(place, "has_p", "r.*").drop("attempt")
     one = last_success(rows, "id", "line", F.coalesce(F.length("error") > 0, F.lit(False)))
     pairs = F.transform("top", lambda t: F.struct(t[0].alias("label"), t[1].cast("double").alias("p")))
     return one.withColumn("top", pairs).withColumn("conf", F.when(F.col("has_p"), F.col("p_pred")).otherwise(F.col("conf"))).drop("has_p", "line")
 
 
 def append_predictions(todo: DataFrame, path: str, answer: Callable[[DataFrame], DataFrame], key: str = "id") -> int:
-    """Answer only the ids without a success so far and append them; returns how many were left to do."""
-    spark = todo.sparkSession
+    """Answer only the ids without a success so far and append them as the next attempt; returns how many were left to do.
+
+    Files only appear in the log when the whole batch is written, so a batch that failed leaves nothing, and one that is
+    run again finds its ids done.
+    """
+    spark, attempt = todo.sparkSession, 1
     if _exists(spark, path):
         done = read_predictions(spark, path).where(F.col("error").isNull()).select(F.col("id").alias(key))
-        todo = unfinished(todo, done, key)
+        todo, attempt = unfinished(todo, done, key), last_attempt(spark, path) + 1
     left = todo.count()
     if left:
-        answer(todo).write.mode("append").json(path)
+        answer(todo).withColumn("attempt", F.lit(attempt)).write.mode("append").json(path)
     return left
 
 
+def last_attempt(spark: SparkSession, path: str) -> int:
+    """The number of the newest attempt in a log, 0 for one without attempts."""
+    return spark.read.schema("attempt bigint").json(path).agg(F.max("attempt")).first()[0] or 0
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -44,4 +44,4 @@ def test_flagship(spark):
 
 
 def test_only_learned_and_stemmed_queries_lack_sql():
-    assert set(REGISTRY) - set(entry.oracle_sql()) == {"tfidf_lr", "emb_lr", "lsh_topk", "lexical_stemmed_topk"}
+    assert set(REGISTRY) - set(entry.oracle_sql()) == {"tfidf_lr", "emb_lr", "lsh_topk", "cells_topk", "lexical_stemmed_topk"}

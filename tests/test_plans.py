@@ -26,11 +26,28 @@ def test_no_cross_joins(spark, data, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
-def test_scoring_stays_with_its_document(spark, data):
+def test_no_exchange_carries_text(spark, data, monkeypatch):
+    """Cutting and tokenising stay in the scan; what moves are postings of asked terms, by block, and the best units."""
+    from rankloom import session
+
+    monkeypatch.setattr(session, "SPREAD_BYTES", 0)
+    study = Study(spark, data)
+    assert "Exchange" not in plan(study.chunks) and "Exchange" not in plan(study.line_windows) and "Exchange" not in plan(study.page_chunks())
     text = plan(entry.queries()["lexical_weighted_topk"](spark, data))
     keys = {k.split("#")[0] for kind, k in exchanges(text) if kind == "hashpartitioning"}
-    assert keys <= {"doc_id", "query_id", "term"}
-    assert text.count("REPARTITION_BY_COL") == 1 and "WindowGroupLimit" in text
+    assert keys == {"block", "query_id"} and "WindowGroupLimit" in text
+    assert {"term", "block"} <= set(re.findall(r"ReadSchema: struct<([^>]*)", text)[0].replace(":", ",").split(","))
+    vectors = plan(entry.queries()["hashed_vector_topk"](spark, data))
+    assert {k.split("#")[0] for _, k in exchanges(vectors)} == {"query_id"}
+
+
+def test_small_tables_are_dealt_and_large_ones_are_not(spark, data, monkeypatch):
+    from rankloom import session
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    assert "Exchange" in plan(session.spread(docs, "doc_id"))
+    monkeypatch.setattr(session, "SPREAD_BYTES", 1000)
+    assert "Exchange" not in plan(session.spread(docs, "doc_id"))
 
 
 def test_scans_read_only_what_they_need(spark, data):
@@ -41,7 +58,10 @@ def test_scans_read_only_what_they_need(spark, data):
     assert "GreaterThan(quality,0)" in text
 
 
-def test_row_local_chunking_has_no_shuffle(spark, data):
+def test_row_local_chunking_has_no_shuffle(spark, data, monkeypatch):
+    from rankloom import session
+
+    monkeypatch.setattr(session, "SPREAD_BYTES", 0)
     for name in ("doc_windows", "line_windows", "markdown_chunks", "heading_outline", "heading_match", "parse_labels"):
         text = plan(entry.queries()[name](spark, data))
         assert "Exchange" not in text and "Python" not in text, name
