@@ -68,12 +68,17 @@ def digests(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def written_out(digest: np.ndarray) -> list[str]:
-    """Digests as hexadecimal text: a byte of length, a byte of both ratios, two bits for each counter."""
+def packed(digest: np.ndarray) -> list[bytes]:
+    """Digests as bytes: a byte of length, a byte of both ratios, two bits for each counter."""
     codes = digest[:, 3:].reshape(len(digest), -1, 4)
-    packed = (codes << np.array([6, 4, 2, 0], np.uint8)).sum(axis=2).astype(np.uint8)
+    body = (codes << np.array([6, 4, 2, 0], np.uint8)).sum(axis=2).astype(np.uint8)
     head = np.stack([digest[:, 0], digest[:, 1] * RATIO_STEPS + digest[:, 2]], axis=1)
-    return [x.tobytes().hex() for x in np.hstack([head, packed])]
+    return [x.tobytes() for x in np.hstack([head, body])]
+
+
+def as_text(digest: str) -> Column:
+    """A packed digest in lowercase hexadecimal."""
+    return F.lower(F.hex(digest)).alias(digest)
 
 
 def difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -92,18 +97,19 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(written_out(digests(part.column(1))))], names=["doc_id", "fingerprint"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed(digests(part.column(1))), pa.binary())], names=["doc_id", "fingerprint"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fingerprint binary").select(
+        "doc_id", as_text("fingerprint"))
 
 
 # ------------------------------------------------------------------------------------------- each text and the next
 
-COMPARED = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+COMPARED = ("doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, "
             "near_edited double, near_next double")
 ENDS = "part int, is_head boolean, is_tail boolean, text string"
 NAMES = [c.split()[0] for c in f"{COMPARED}, {ENDS}".split(", ")]
-TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.bool_(), pa.bool_(), pa.large_string()]
+TYPES = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int32(), pa.bool_(), pa.bool_(), pa.large_string()]
 
 
 def edited(text: str, following: str) -> str:
@@ -116,7 +122,7 @@ def _compared(ids: list, texts: list[str], following: list[str]) -> list[list]:
     """Columns of ``COMPARED`` for rows and the texts that follow them."""
     changed = [edited(a, b) for a, b in zip(texts, following, strict=True)]
     own, other, new = (digests(pa.array(t, pa.large_string())) for t in (texts, following, changed))
-    return [ids, [len(t) for t in texts], [hashlib.sha256(t.encode()).hexdigest() for t in changed], written_out(own), written_out(new),
+    return [ids, [len(t) for t in texts], [hashlib.sha256(t.encode()).hexdigest() for t in changed], packed(own), packed(new),
             likeness(own, new).tolist(), likeness(own, other).tolist()]
 
 
@@ -170,7 +176,8 @@ def neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     first = F.min("part").over(Window.partitionBy(F.lit(1)))
     after = numbers.select(F.col("part").alias("_part"), F.coalesce(F.lead("part").over(Window.orderBy("part")), first).alias("part"))
     tails = rows.where("is_tail").select("part", "doc_id", "text").withColumnRenamed("part", "_part").join(after, "_part").join(heads, "part")
-    return rows.where("part IS NULL").select(NAMES[:7]).unionByName(tails.select("doc_id", "text", "following").mapInArrow(_across, COMPARED))
+    every = rows.where("part IS NULL").select(NAMES[:7]).unionByName(tails.select("doc_id", "text", "following").mapInArrow(_across, COMPARED))
+    return every.select(*[as_text(c) if c.endswith("fingerprint") else c for c in NAMES[:7]])
 
 
 def query(docs: DataFrame) -> DataFrame:
