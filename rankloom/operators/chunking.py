@@ -13,13 +13,15 @@ from rankloom.functions.text import strip
 HEADING_LINE = "^(#{1,4})\\s+(.*)$"
 
 
-ID_SHIFT = 1 << 32
+ID_BITS = 32
+ID_SHIFT = 1 << ID_BITS
 
 
 def chunk_key(doc_id: Column, ordinal: Column) -> Column:
-    """One id for (document, ordinal). An array has fewer than 2^31 members, so ordinals never reach the next
-    document; a doc_id of 2^31 or more overflows and fails instead of colliding."""
-    return doc_id * F.lit(ID_SHIFT) + ordinal
+    """One id for (document, ordinal); shifting it right by ``ID_BITS`` gives the document, negative ones too. An array
+    has fewer than 2^31 members, so ordinals never reach the next document; a doc_id of 2^31 or more overflows and fails
+    instead of colliding."""
+    return doc_id * F.lit(1 << ID_BITS) + ordinal
 
 
 FOLD_GROUP = 64

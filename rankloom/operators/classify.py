@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rankloom.config import Config, DEFAULTS
 from rankloom.functions.stats import exact_sign_p, wilson
+from rankloom.functions.text import parse_label
 from rankloom.operators.dense import nearest, similarities
 from rankloom.operators.prefix import running
 from rankloom.session import stored
@@ -27,6 +28,12 @@ def split(vectors: DataFrame, test_share: float = 0.2) -> tuple[DataFrame, DataF
     return marked.where(~test).drop("_share"), marked.where(test).drop("_share")
 
 
+def sample_per_label(rows: DataFrame, n: int, label: str = "label", key: str = "id") -> DataFrame:
+    """``n`` rows of each label, drawn by a hash of the key; a hot label is cut to ``n`` in every task first."""
+    order = Window.partitionBy(label).orderBy(hash_share(F.col(key)), key)
+    return rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).drop("_r")
+
+
 def by_probability(pairs: Column) -> Column:
     """Pairs (label, p) by p descending, then label."""
     keyed = F.transform(pairs, lambda x: F.struct((-x["p"]).alias("m"), x["label"].alias("label"), x["p"].alias("p")))
@@ -103,6 +110,32 @@ def accuracy(rows: DataFrame) -> DataFrame:
     )
 
 
+def complete_arms(rows: DataFrame, test: DataFrame) -> DataFrame:
+    """The rows of arms that answered every row of ``test(id, ...)``; an arm that stopped half way is not compared."""
+    rows = stored(rows)
+    own = rows.join(test.select("id").distinct(), "id", "left_semi")
+    whole = own.groupBy("arm").agg(F.count_distinct("id").alias("_n")).where(F.col("_n") >= F.lit(test.select("id").distinct().count())).select("arm")
+    return own.join(whole, "arm", "left_semi")
+
+
+def reparsed(rows: DataFrame, labels: Column) -> DataFrame:
+    """Stored answers without a label read again from their ``raw`` text; a stored label stands."""
+    return rows.withColumn("pred", F.coalesce("pred", parse_label(F.col("raw"), labels)))
+
+
+def models(rows: DataFrame) -> DataFrame:
+    """The models that answered for each arm, by name; a handful at most."""
+    named = rows.where(F.length("model") > 0).select("arm", "model").distinct()
+    return named.groupBy("arm").agg(F.array_sort(F.collect_list("model")).alias("models"))
+
+
+def cost_per_thousand(rows: DataFrame, by: str, usd: Column, surcharge: dict[str, float] | None = None) -> DataFrame:
+    """Rows of each group and their mean cost for a thousand, plus what its group pays beside the requests."""
+    extra = F.coalesce(*[F.when(F.col(by) == name, F.lit(float(more))) for name, more in (surcharge or {}).items()], F.lit(0.0))
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.avg(usd).alias("_mean")).select(
+        by, "n", F.round(F.col("_mean") * 1000 + extra, 9).alias("usd_per_1000"))
+
+
 def label_counts(rows: DataFrame) -> DataFrame:
     """Per arm and label: true positives, predicted and gold counts, in one pass of partial sums."""
     hits = rows.select("arm", F.explode(F.array(

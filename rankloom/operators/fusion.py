@@ -127,3 +127,9 @@ def held_out_verdict(grid: DataFrame) -> DataFrame:
     return grid.groupBy(kind.alias("kind")).agg(best.alias("b")).select(
         "kind", "b.label", "b.dev_r1", "b.test_r1", "b.test_mrr"
     )
+
+
+def best_by_dev(grid: DataFrame, keep: int = 12) -> DataFrame:
+    """The first ``keep`` combinations by dev score (ties in grid order), with ``place``. A grid has a few hundred rows."""
+    order = Window.orderBy(F.col("dev_r1").desc_nulls_last(), "combo")
+    return grid.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep)

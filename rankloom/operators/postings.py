@@ -3,8 +3,8 @@
 Building reads and cuts the texts once: a scan task puts units that resemble each other (their commonest word, which tells
 languages apart, then their length) side by side, makes blocks of ``BLOCK_UNITS`` and turns their tokens into one row for
 each (term, block) with the units, marks and lengths as parallel arrays. Texts are not shuffled (see ``session.spread``).
-The table is written sorted by term inside each task, so that a search prunes row groups by term and reads the narrow
-header columns apart from the arrays. A word that occurs everywhere has a row in each block, and so never gathers.
+A search reads the narrow header columns apart from the arrays. A word that occurs everywhere has a row in each block,
+and so never gathers.
 
 A block's header bounds the score of its units from above (highest mark, shortest unit). A search goes through the blocks
 with the best scores so far and unfolds a block only for questions whose k-th best the bound reaches. The result is the
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from rankloom.session import broadcast_within, shuffle_width, stored
 
 BLOCK_UNITS = 128
+BATCH_UNITS = 2_048  # units that are grouped at once
 PART_ROWS = 500_000  # (question, term) rows that travel to the tasks at once
 WAITING = 1_000_000  # scored rows a task holds before it cuts them down
 SCORED = "query_id long, chunk_id long, score double"
@@ -71,10 +72,8 @@ def _alike(code: np.ndarray, lens: np.ndarray) -> np.ndarray:
 def _grouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """(chunk_id, tokens, marks) rows to index rows of blocks of ``size`` units. Without marks every token counts 1."""
     number = TaskContext.get().partitionId() << 32
-    for batch in batches:
+    for batch in (whole.slice(at, BATCH_UNITS) for whole in batches for at in range(0, whole.num_rows, BATCH_UNITS)):
         units = batch.num_rows
-        if not units:
-            continue
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         lens = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         tokens = batch.column(1).flatten().dictionary_encode()
@@ -108,7 +107,7 @@ def build(units: DataFrame, tokens: Column, marks: Column | None = None, block_u
     """Index of ``units(chunk_id, ...)`` over an array of tokens and, if given, an array of whole marks beside it."""
     size = block_units or BLOCK_UNITS
     columns = [F.col("chunk_id").cast("long"), tokens.alias("tokens"), *([] if marks is None else [marks.alias("marks")])]
-    table = stored(units.select(*columns).mapInArrow(lambda batches: _grouped(batches, size), POSTINGS).sortWithinPartitions("term", "block"))
+    table = stored(units.select(*columns).mapInArrow(lambda batches: _grouped(batches, size), POSTINGS))
     return Index(table.where(F.col("term").isNotNull()).drop("total"), table.where(F.col("term").isNull()).select("block", "n", "total"))
 
 

@@ -128,6 +128,12 @@ def fusion_grid_devtest(s: Study) -> DataFrame:
     return s.fusion_grid()
 
 
+@query
+def fusion_top(s: Study) -> DataFrame:
+    """The first twelve combinations by their score on the dev half."""
+    return fusion.best_by_dev(s.fusion_grid()).select("place", "label", "dev_r1", "test_r1", "test_mrr", "test_ndcg")
+
+
 @query
 def fusion_verdict(s: Study) -> DataFrame:
     return fusion.held_out_verdict(s.fusion_grid())
@@ -633,6 +639,36 @@ def cost_per_thousand(s: Study) -> DataFrame:
     )
 
 
+@query
+def cost_with_surcharge(s: Study) -> DataFrame:
+    """The same with what a role pays beside its requests."""
+    price = F.when(F.col("role") == "user", 0.4).otherwise(1.6)
+    return classify.cost_per_thousand(s.table("conversations"), "role", F.length("text") / 1e6 * price, {"user": 0.02})
+
+
+@query
+def complete_arms(s: Study) -> DataFrame:
+    """Accuracy of the arms that answered every test row; one of the two here stopped early."""
+    _, test = classify.split(s.vectors)
+    rows = s.predictions("knn10").unionByName(s.predictions("zeroshot").where(F.col("id") % 7 != 0))
+    return classify.accuracy(classify.complete_arms(rows, test))
+
+
+@query
+def label_samples(s: Study) -> DataFrame:
+    return classify.sample_per_label(s.vectors, 5).select("label", "id")
+
+
+@query
+def reparsed_answers(s: Study) -> DataFrame:
+    """Answers of even events were stored without a label and are read again from their text."""
+    kind = F.col("event_type")
+    raw = F.when(kind == "signup", "Sign up").otherwise(F.concat(F.lit("label: "), F.upper(kind), F.lit("?")))
+    labels = F.array(*map(F.lit, ["click", "error", "purchase", "signup", "view"]))
+    rows = s.table("events").select("event_id", F.when(F.col("event_id") % 2 == 1, kind).alias("pred"), raw.alias("raw"))
+    return classify.reparsed(rows, labels).select("event_id", "pred")
+
+
 @query
 def humanized_labels(s: Study) -> DataFrame:
     return s.table("events").groupBy("event_type").agg(F.count("*").alias("n")).select(

@@ -524,6 +524,13 @@ ORACLE: dict[str, str] = {
     **{f"fuse_{m}": _fuse(m) for m in FUSE_SQL},
     "fuse_normalised": sql("SELECT ranker, query_id, chunk_id, pos, round(norm, 9) AS norm FROM normed", FUSE_TABLES),
     "fusion_grid_devtest": sql("SELECT combo, label, n_rankers, dev_r1, test_r1, test_mrr, test_ndcg FROM grid", GRID_TABLES),
+    "fusion_top": sql("""SELECT row_number() OVER (ORDER BY dev_r1 DESC, combo) AS place, label, dev_r1, test_r1, test_mrr, test_ndcg
+        FROM grid QUALIFY place <= 12""", GRID_TABLES),
+    "cost_with_surcharge": """SELECT role, count(*) AS n, round(avg(length(text) / 1e6 * CASE WHEN role = 'user' THEN 0.4::DOUBLE ELSE 1.6::DOUBLE END) * 1000
+        + CASE WHEN role = 'user' THEN 0.02::DOUBLE ELSE 0 END, 9) AS usd_per_1000 FROM conversations GROUP BY role""",
+    "label_samples": sql("""SELECT label, id FROM vecs QUALIFY row_number() OVER (PARTITION BY label
+        ORDER BY ('0x' || substring(md5(id::VARCHAR), 1, 8))::BIGINT, id) <= 5""", CLASS_TABLES),
+    "reparsed_answers": "SELECT event_id, CASE WHEN event_id % 2 = 0 AND event_type = 'signup' THEN NULL ELSE event_type END AS pred FROM events",
     "fusion_verdict": sql("""SELECT kind, label, dev_r1, test_r1, test_mrr FROM (
         SELECT *, CASE WHEN n_rankers = 1 THEN 'single' ELSE 'fusion' END AS kind FROM grid)
         QUALIFY row_number() OVER (PARTITION BY kind ORDER BY dev_r1 DESC, combo) = 1""", GRID_TABLES),
@@ -643,6 +650,11 @@ ORACLE: dict[str, str] = {
         FROM (SELECT *, 1.959963984540054::DOUBLE / (1 + z2 / n) * sqrt(k / n * (1 - k / n) / n + z2 / (4 * n * n)) AS h FROM (
           SELECT arm, count(*) AS n, count(*) FILTER (right_one) AS k, count(*) FILTER (pred IS NULL) AS errors,
                  1.959963984540054::DOUBLE * 1.959963984540054::DOUBLE AS z2 FROM ok GROUP BY arm))""", CLASS_TABLES),
+    "complete_arms": sql("""SELECT arm, n, k AS "right", errors, round(k / n, 9) AS accuracy,
+        round(greatest((k / n + z2 / (2 * n)) / (1 + z2 / n) - h, 0), 9) AS ci_low, round(least((k / n + z2 / (2 * n)) / (1 + z2 / n) + h, 1), 9) AS ci_high
+        FROM (SELECT *, 1.959963984540054::DOUBLE / (1 + z2 / n) * sqrt(k / n * (1 - k / n) / n + z2 / (4 * n * n)) AS h FROM (
+          SELECT arm, count(*) AS n, count(*) FILTER (right_one) AS k, count(*) FILTER (pred IS NULL) AS errors,
+                 1.959963984540054::DOUBLE * 1.959963984540054::DOUBLE AS z2 FROM ok WHERE arm = 'knn10' GROUP BY arm))""", CLASS_TABLES),
     "macro_f1": sql("""SELECT arm, count(*) AS labels, round(avg(2.0::DOUBLE * tp / (g + p)), 9) AS macro_f1 FROM (
         SELECT a.arm, l.label, count(*) FILTER (gold = l.label) AS g, count(*) FILTER (pred = l.label) AS p,
                count(*) FILTER (gold = l.label AND pred = l.label) AS tp

@@ -25,7 +25,7 @@ WINDOW_HEAD, WINDOW_BATCH = 30, 10
 
 
 def _document_of(chunk_id: str) -> Column:
-    return F.expr(f"{chunk_id} div {chunking.ID_SHIFT}")
+    return F.shiftright(F.col(chunk_id), chunking.ID_BITS)
 
 
 @dataclass(frozen=True)
@@ -142,7 +142,7 @@ class Study:
         lex = hybrid.lexical_list(self.chunks, self.questions, depth, self.cfg)
         den = hybrid.dense_list(self.chunks, self.questions, depth, self.cfg)
         short = hybrid.reciprocal_rank_fusion({"lexical": lex, "dense": den}, self.cfg.candidate_k, self.cfg)
-        base = stored(short.select("query_id", "chunk_id", F.col("rank").alias("first_rank"), "lexical", "dense"))
+        base = short.select("query_id", "chunk_id", F.col("rank").alias("first_rank"), "lexical", "dense")
         judged = self.judge()(self.with_passages(base)).drop("overlap").withColumnRenamed("score", "overlap")
         long = F.explode(F.array(*[F.struct(F.lit(n).alias("ranker"), F.col(n).alias("score")) for n in self.RANKERS]))
         return judged.select("query_id", "chunk_id", "first_rank", long.alias("s")).select(

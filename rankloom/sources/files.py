@@ -51,13 +51,17 @@ def _lenient_text(content: Column) -> Column:
 
 
 def delimited(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
-    """Quoted, multi-line delimited text: trimmed header and cells, short rows padded, blank rows dropped."""
+    """Quoted, multi-line delimited text: trimmed header and cells, short rows padded, blank rows dropped.
+
+    Line ends inside quotes stay as they are in files whose rows end in a line feed; where rows end in carriage return and
+    line feed, Spark's reader makes those inside quotes line feeds too.
+    """
     return placed_delimited(spark, path, sep).drop(*PLACE)
 
 
 def placed_delimited(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
     raw = placed(spark.read.csv(path, sep=sep, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE"))
-    cells = {c: tx.strip(F.coalesce(F.regexp_replace(F.col(f"`{c}`"), "\r", ""), F.lit(""))) for c in raw.columns if c not in PLACE}
+    cells = {c: tx.strip(F.coalesce(F.col(f"`{c}`"), F.lit(""))) for c in raw.columns if c not in PLACE}
     tidy = raw.select(*[v.alias(c.lstrip("﻿").strip()) for c, v in cells.items()], *PLACE)
     filled = [F.length(F.col(f"`{c}`")) > 0 for c in tidy.columns if c not in PLACE]
     return tidy.where(F.exists(F.array(*filled), lambda x: x))
