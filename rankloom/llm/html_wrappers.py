@@ -6,12 +6,23 @@ the wrapper disagree, the members that only one of them has become optional. Tex
 a slot, text that is the same on all of them stays a constant. Wrappers of parts of a host merge like pages, so
 they are folded in the scan, repeated results are dropped, and the rest meet in one small group for each host.
 
-The wrapper says where a host keeps its main text: its ``article`` or ``main`` element, else the innermost
-element that holds most of the text that varies. Menus, headers, footers, asides, forms, adverts, notices,
-comments and scripts are left out by their element, class, id or role, and outside an article also the host's
-constants. A class or id counts by its last part, so ``content has-related`` is no mark; an ``article`` or ``main``
-element never falls for its own class or id, and a page of which nothing else is left gives its article, or the
-marked element that is its host's main region.
+The wrapper chooses the region with the main text on every page: from the page down to the innermost single
+element that holds most of the text that varies. A single ``article`` or ``main`` element is a hint and counts
+``HINT`` times its text; a repeated or optional one is no hint. A page without its host's region, or of a host
+with fewer than ``MIN_PAGES`` pages, is its own wrapper. An article below the region is a card or a reader comment:
+inside an article it always goes, elsewhere as ``without_cards`` says. Menus, headers, footers, asides, forms, adverts,
+notices, comments and scripts are left out by their element, class, id or role, and outside an article also the
+host's constants (one text in one place on three pages or more). A class or id counts by its last part, so
+``content has-related`` is no mark; an ``article`` or ``main`` element never falls for its own class or id, and a
+marked element stays if it is its host's main region.
+
+Neighbours that recur as a run of up to four labels fold into a repeated group; more than ``MAX_MEMBERS`` members
+fold their recurring labels into one group, and very wide members align by label. So merging takes time in
+proportion to a page.
+
+Scale: wrappers are folded in the scan, merged in two rounds and reduced to a path and constants. Those are
+broadcast if they measure up to ``BROADCAST_BYTES``; else both sides meet by (host, salt), so that a host with a
+third of all pages is spread.
 
 Result: blocks in page order joined by two line ends; character references decoded, white space in a block
 turned into one space. Defined results: a null or empty page, or one without main text, gives an empty text; a
@@ -25,6 +36,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -32,9 +44,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.llm.tables import written
 from rankloom.llm.url_filter import with_parts
 
-MAX_DEPTH = 40
+MAX_DEPTH, MAX_MEMBERS, MAX_CELLS = 40, 64, 40_000
+MIN_PAGES, HINT, SHARE = 3, 2, 0.7
+BROADCAST_BYTES, SALTS = 64 << 20, 32
+CONTAINERS = frozenset("html body div section article main center table tbody tr td".split())
+PLAIN = frozenset(["article", "main", "body", "html"])
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
@@ -46,7 +63,7 @@ CLOSES_P = frozenset(
     "h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
              "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
-# Elements and the words of classes, ids and roles that mark what is not main text.
+# Elements that hold no main text; no standard fixes the words of classes, ids and roles below, they are a list of this module.
 LEFT_OUT = frozenset(
     "head nav aside footer form menu dialog button select script style noscript template iframe svg object canvas "
     "textarea title audio video math".split())
@@ -103,7 +120,7 @@ class Element:
                 words += [w.lower() for w in WORD.findall(value)]
                 if name not in ("article", "main") or kind.lower() == "role":
                     ends.update(map(last_part, value.split()))
-                if kind.lower() == "class" and value:
+                if kind.lower() == "class" and value and name not in PLAIN:
                     shown = sorted(re.sub(r"\d+", "0", value.lower()).split())
         self.name = name
         self.label = ".".join([name, *shown])
@@ -232,7 +249,7 @@ def _more(kind: str, other: str, optional: bool = False, repeated: bool = False)
 
 
 def _collapsed(node: list) -> list:
-    """Equal neighbours become one repeated member."""
+    """Equal neighbours become one repeated member, recurring runs of members a repeated group."""
     if node[0] == "#text":
         return node
     members: list[list] = []
@@ -241,7 +258,56 @@ def _collapsed(node: list) -> list:
             members[-1] = merged(members[-1], member, repeated=True)
         else:
             members.append(member)
-    return [node[0], node[1], members]
+    return [node[0], node[1], _bounded(_runs(members))]
+
+
+def _group(members: list[list]) -> list:
+    return ["#(" + " ".join(m[0] for m in members) + ")", "+", members]
+
+
+def _runs(members: list[list]) -> list[list]:
+    """Runs of two to four members that stand twice or more in a row become one group."""
+    labels = [m[0] for m in members]
+    out, i = [], 0
+    while i < len(members):
+        for period in (2, 3, 4):
+            first, end = labels[i:i + period], i + period
+            while len(first) == period and labels[end:end + period] == first:
+                end += period
+            if end > i + period:
+                held = members[i:i + period]
+                for k in range(i + period, end):
+                    held[(k - i) % period] = merged(held[(k - i) % period], members[k])
+                out.append(_group(held))
+                i = end
+                break
+        else:
+            out.append(members[i])
+            i += 1
+    return out
+
+
+def _bounded(members: list[list]) -> list[list]:
+    """More than MAX_MEMBERS members: the labels that recur between two others become one group of optional members."""
+    if len(members) <= MAX_MEMBERS:
+        return members
+    uses = Counter(m[0] for m in members)
+    out: list[list] = []
+    held: dict[str, list] = {}
+
+    def close() -> None:
+        if held:
+            out.append(_group([held[k] for k in sorted(held)]) if len(held) > 1 else next(iter(held.values())))
+            held.clear()
+
+    for m in members:
+        if uses[m[0]] == 1:
+            close()
+            out.append(m)
+        else:
+            held[m[0]] = merged(held[m[0]], m, repeated=True) if m[0] in held else _optional(m)
+    close()
+    return out
 
 
 def merged(a: list, b: list, repeated: bool = False) -> list:
@@ -252,7 +318,27 @@ def merged(a: list, b: list, repeated: bool = False) -> list:
     left, right = a[2], b[2]
     if [m[0] for m in left] == [m[0] for m in right]:
         return [a[0], kind, [merged(x, y) for x, y in zip(left, right, strict=True)]]
-    # Longest common run of labels; members of one side only become optional.
+    members = _aligned(left, right) if len(left) * len(right) <= MAX_CELLS else _by_label(left, right)
+    joined: list[list] = []
+    for m in members:
+        if joined and joined[-1][0] == m[0]:
+            joined[-1] = merged(joined[-1], m, repeated=True)
+        else:
+            joined.append(m)
+    return [a[0], kind, joined]
+
+
+def _by_label(left: list[list], right: list[list]) -> list[list]:
+    """Members in the order of their first appearance; what one side lacks is optional."""
+    mine, theirs = ({}, {})
+    for side, members in ((mine, left), (theirs, right)):
+        for m in members:
+            side[m[0]] = merged(side[m[0]], m, repeated=True) if m[0] in side else m
+    return [merged(mine[k], theirs[k]) if k in mine and k in theirs else _optional(mine.get(k) or theirs[k]) for k in {**mine, **theirs}]
+
+
+def _aligned(left: list[list], right: list[list]) -> list[list]:
+    """Longest common run of labels; members of one side only become optional."""
     size = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
     for i in range(len(left) - 1, -1, -1):
         for j in range(len(right) - 1, -1, -1):
@@ -268,13 +354,7 @@ def merged(a: list, b: list, repeated: bool = False) -> list:
         else:
             members.append(_optional(right[j]))
             j += 1
-    joined: list[list] = []
-    for m in members:
-        if joined and joined[-1][0] == m[0]:
-            joined[-1] = merged(joined[-1], m, repeated=True)
-        else:
-            joined.append(m)
-    return [a[0], kind, joined]
+    return members
 
 
 def _optional(node: list) -> list:
@@ -287,55 +367,111 @@ def expression(node: list) -> str:
     if node[0] == "#text":
         return ("#TEXT" if node[2] is None else repr(node[2])) + mark
     inner = " ".join(map(expression, node[2]))
+    if node[0].startswith("#("):
+        return f"({inner}){mark}"
     return f"({node[0]}: {inner}){mark}" if mark else f"{node[0]}: {inner}"
 
 
-def region_of(wrapper: list) -> tuple[tuple[str, ...], set[str]]:
-    """Path of the element with the main text, and the constants of the host."""
-    def mass(node: list) -> int:
-        if node[0] == "#text":
-            return node[3] if node[2] is None else 0
-        if node[0].split(".")[0] in LEFT_OUT or (not marked_too and label_marked(node[0])):
-            return 0
-        return sum(map(mass, node[2]))
+def region_of(wrapper: list, fixed: set[str] | None = None) -> tuple[tuple[str, ...], set[str]]:
+    """Path of the element with the main text, and the constants of the host.
 
+    ``fixed`` is for a page that is its own wrapper: its texts count as varying but for these.
+    """
     constants: set[str] = set()
 
     def gather(node: list) -> None:
         if node[0] == "#text":
-            if node[2] is not None:
+            if node[2] and node[3] >= MIN_PAGES * len(node[2]):
                 constants.add(node[2])
         else:
             for m in node[2]:
                 gather(m)
 
-    gather(wrapper)
+    if fixed is None:
+        gather(wrapper)
+    same = constants if fixed is None else fixed
+
+    def mass(node: list, marked_too: bool, constant_too: bool) -> int:
+        if node[0] == "#text":
+            return node[3] if node[2] is None or constant_too or (not marked_too and node[2] not in same) else 0
+        if node[0].split(".")[0] in LEFT_OUT or (not marked_too and label_marked(node[0])):
+            return 0
+        return (HINT if _hint(node) else 1) * sum(mass(m, marked_too, constant_too) for m in node[2])
+
+    # A marked element is the main region only where no other text varies and its own text differs between pages.
+    for how in ((False, False), (True, False), (False, True)) if fixed is None else ((False, False), (False, True)):
+        total = mass(wrapper, *how)
+        if total:
+            break
     path, node = (wrapper[0],), wrapper
-    marked_too = False
-    total = mass(wrapper)
-    if not total:
-        marked_too = True
-        total = mass(wrapper)
     while total:
-        inner = [m for m in node[2] if m[0] != "#text" and "+" not in m[1] and "*" not in m[1] and mass(m) >= 0.7 * total]
-        if not inner:
+        inner = [m for m in node[2] if holds_blocks(m[0]) and "+" not in m[1] and "*" not in m[1]]
+        # The hint of an element weighs against its siblings, not against what it holds.
+        weight = {id(m): mass(m, *how) for m in node[2]}
+        best = next((m for m in inner if weight[id(m)] and weight[id(m)] >= SHARE * sum(weight.values())), None)
+        if best is None:
             break
-        node = inner[0]
+        node = best
         path = (*path, node[0])
-    return path, constants
+        if _hint(node) and node[0] == "article":
+            break
+    return path, set() if how[1] else constants
 
 
-def main_text(blocks: list[Block], region: tuple[str, ...], constants: set[str]) -> str:
-    """Text of the page's article or else main element, else of the host's region, else of what is not left out."""
-    kept = [b for b in blocks if not b.at.out]
+def holds_blocks(label: str) -> bool:
+    """Elements that can be a region; a long paragraph is not one, for its title stands beside it."""
+    name = label.split(".")[0]
+    return name in CONTAINERS or ("-" in name and name[0] != "#")
+
+
+def _hint(node: list) -> bool:
+    return node[0] in ("article", "main") and node[1] == "1"
+
+
+def main_text(blocks: list[Block], region: tuple[str, ...] | None = None, constants: set[str] = frozenset()) -> str:
+    """Text of the region; without one, or where the page lacks it, the page is its own wrapper."""
+    found = _in_region(blocks, region, constants) if region else []
+    if not found and blocks:
+        own, _ = region_of(wrapper_of(blocks), set(constants))
+        found = _in_region(blocks, own, constants) or _in_region(blocks, own, frozenset())
+    return "\n\n".join(b.text for b in found)
+
+
+def _in_region(blocks: list[Block], region: tuple[str, ...], constants: set[str]) -> list[Block]:
+    inside = [b for b in blocks if b.at.path[:len(region)] == region]
+    kept = [b for b in inside if not b.at.out]
+    if not kept and any(map(label_marked, region)):
+        kept = [b for b in inside if not b.at.sure]
     if not kept:
-        marked = any(map(label_marked, region))
-        kept = [b for b in blocks if not b.at.sure and (b.at.inside or (marked and b.at.path[:len(region)] == region))]
-    level = max((b.at.inside for b in kept), default=0)
-    if level:
-        return "\n\n".join(b.text for b in kept if b.at.inside == level)
-    varying = [b for b in kept if b.text not in constants]
-    return "\n\n".join(b.text for b in [b for b in varying if b.at.path[:len(region)] == region] or varying)
+        # An article or main element under a class that marks it is better than nothing.
+        kept = [b for b in inside if b.at.inside and not b.at.sure]
+    if not {"article", "main"}.intersection(region):
+        kept = [b for b in kept if b.text not in constants]
+    return without_cards(kept, region)
+
+
+def without_cards(kept: list[Block], region: tuple[str, ...]) -> list[Block]:
+    """The region without its articles, if it is an article, or if they are cards next to the main text.
+
+    One article with more text than all the rest is the main text. Otherwise articles are cards, unless the
+    rest has less than a quarter of their text: then they make up the page and stay, without articles nested in them.
+    """
+    def articles(b: Block) -> list[Element]:
+        return [e for e in b.at.chain[len(region):] if e.name == "article"]
+
+    held = [(b, articles(b)) for b in kept]
+    rest = [b for b, cards in held if not cards]
+    if len(rest) == len(kept):
+        return kept
+    if "article" in region and rest:
+        return rest
+    outer = [b for b, cards in held if len(cards) == 1]
+    of_cards, of_rest = (sum(len(b.text) for b in side) for side in (outer, rest))
+    if of_cards > of_rest and len({id(cards[0]) for _, cards in held if cards}) == 1:
+        return outer or kept
+    if 4 * of_rest >= of_cards and rest:
+        return rest
+    return [b for b, cards in held if len(cards) < 2]
 
 
 def wrappers(pages: DataFrame, page: str = "html") -> DataFrame:
@@ -365,26 +501,48 @@ def wrappers(pages: DataFrame, page: str = "html") -> DataFrame:
     return some.groupBy("host").applyInArrow(merge, schema)
 
 
-def extract(pages: DataFrame, url: str = "url", page: str = "html", page_id: str = "page_id") -> DataFrame:
+def regions(pages: DataFrame, page: str = "html") -> DataFrame:
+    """(_host, region, constants) of the hosts with at least MIN_PAGES pages."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [region_of(json.loads(w)) for w in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(p) for p, _ in found], pa.list_(pa.string())),
+                                              pa.array([sorted(c) for _, c in found], pa.list_(pa.string()))], names=["_host", "region", "constants"])
+
+    learned = wrappers(pages, page).where(F.col("pages") >= MIN_PAGES).select("host", "wrapper")
+    return learned.mapInArrow(run, "_host string, region array<string>, constants array<string>")
+
+
+def extract(pages: DataFrame, url: str = "url", page: str = "html", page_id: str = "page_id",
+            broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """page_id, url, text, n_chars."""
     rows = with_parts(pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html")))
-    learned = wrappers(rows).select(F.col("host").alias("_host"), "wrapper", "pages")
-    joined = rows.join(learned, rows["host"] == learned["_host"], "left").select("page_id", "url", "html", "wrapper", "pages")
+    learned = written(regions(rows))
+    size = learned.agg(F.coalesce(F.sum(F.length("_host") + F.length(F.array_join("region", "")) + F.length(F.array_join("constants", ""))
+                                        + 16 * F.size("constants") + 64), F.lit(0))).first()[0] * 4
+    if size <= broadcast_bytes:
+        joined = rows.join(F.broadcast(learned), rows["host"] == learned["_host"], "left")
+    else:
+        salted = learned.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        own_salt = rows.withColumn("_own", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)).cast("int"))
+        joined = own_salt.join(salted, (own_salt["host"] == salted["_host"]) & (own_salt["_own"] == salted["_salt"]), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[tuple[str, ...], set[str]]] = {}
+        known: dict[str, tuple[tuple[str, ...] | None, set[str]]] = {}
         for batch in batches:
             texts = []
-            for source, wrapper, count in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-                if wrapper not in known:
-                    known.clear()
-                    region, constants = region_of(json.loads(wrapper)) if wrapper else (("#page",), set())
-                    known[wrapper] = region, constants if (count or 0) >= 3 else set()
-                texts.append(main_text(blocks_of(source), *known[wrapper]))
+            for k, (source, host) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                if host not in known:
+                    if len(known) >= 256:
+                        known.clear()
+                    path, fixed = batch.column(4)[k].as_py(), batch.column(5)[k].as_py()
+                    known[host] = tuple(path) if path else None, set(fixed or ())
+                texts.append(main_text(blocks_of(source), *known[host]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()),
                                               pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    columns = joined.select("page_id", "url", "html", "host", "region", "constants")
+    return columns.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def query(pages: DataFrame) -> DataFrame:

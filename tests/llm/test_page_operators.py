@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -49,6 +50,62 @@ def test_class_words_do_not_drop_the_main_text():
     assert html_wrappers.main_text(only, *html_wrappers.region_of(html_wrappers.wrapper_of(only))) == ""
 
 
+def by_host(pages):
+    """Texts of the pages of one host."""
+    blocks = [html_wrappers.blocks_of(p) for p in pages]
+    whole = html_wrappers.wrapper_of(blocks[0])
+    for b in blocks[1:]:
+        whole = html_wrappers.merged(whole, html_wrappers.wrapper_of(b))
+    known = html_wrappers.region_of(whole) if len(pages) >= html_wrappers.MIN_PAGES else (None, set())
+    return [html_wrappers.main_text(b, *known) for b in blocks]
+
+
+def test_wrapper_decides_between_articles_and_other_elements():
+    six, one = range(6), range(1)
+    for pages in (six, one):
+        teaser = by_host([f"<body><div class=post><p>Main text of page {k}, long enough.</p></div><article>teaser {k}</article></body>" for k in pages])
+        assert teaser == [f"Main text of page {k}, long enough." for k in pages]
+        cards = by_host([f"<body><main><p>Main text {k}</p><article>card {k}</article><article>card x{k}</article></main></body>" for k in pages])
+        assert cards == [f"Main text {k}" for k in pages]
+        comments = by_host([f"<body><article><p>Main text {k}</p><article><p>Reader {k} says very, very much about it</p></article></article></body>" for k in pages])
+        assert comments == [f"Main text {k}" for k in pages]
+    listed = by_host([f"<body><article>part {k} of the text</article><article>second part {k}</article></body>" for k in six])
+    assert listed == [f"part {k} of the text\n\nsecond part {k}" for k in six]
+    # Classes that differ between pages do not part the region; a layout of its own is read as its own wrapper.
+    mixed = by_host([f"<body class='c{'ab'[k % 2]}'><article class='post tag-{'xyz'[k % 3]}'><p>Main text {k}</p></article><p>Site</p></body>" for k in six]
+                    + ["<body><div class=other><p>Another layout with its own text</p></div></body>"])
+    assert mixed == [*(f"Main text {k}" for k in six), "Another layout with its own text"]
+
+
+def test_main_text_without_an_article_is_whole():
+    def page(k):
+        quote = "<blockquote>A quote on one page only</blockquote>" if k == 2 else ""
+        return f"<body><p>Site line</p><div class=post><h2>Title {k}</h2><p>Text {k} of this page</p>{quote}</div></body>"
+    assert by_host([page(k) for k in range(5)])[2] == "Title 2\n\nText 2 of this page\n\nA quote on one page only"
+    assert by_host([page(1)] * 4) == ["Title 1\n\nText 1 of this page"] * 4
+
+
+def test_many_siblings_fold_in_linear_time():
+    def page(n, k):
+        return "<body><article>" + "".join(f"<h2>T{i} {k}</h2><p>t{i} {k}</p>" for i in range(n // 2)) + "</article></body>"
+
+    begun = time.perf_counter()
+    pages = [page(20_000, k) for k in range(3)]
+    assert by_host(pages) == ["\n\n".join(f"T{i} {k}\n\nt{i} {k}" for i in range(10_000)) for k in range(3)]
+    draw = random.Random(1)
+    odd = ["<body>" + "".join(f"<{n}>x{i} {k}</{n}>" for i, n in enumerate(draw.choices(["h2", "p", "pre", "h3"], k=20_000))) + "</body>" for k in range(3)]
+    assert [len(t.split("\n\n")) for t in by_host(odd)] == [20_000] * 3
+    assert time.perf_counter() - begun < 30
+    whole = html_wrappers.wrapper_of(html_wrappers.blocks_of(page(8, 0)))
+    assert html_wrappers.expression(whole) == "#page: body: article: (h2: #TEXT p: #TEXT)+"
+
+
+def test_both_ways_of_joining_regions_are_equal(spark, data):
+    pages = table(spark, data, "pages")
+    near, far = (sorted(map(tuple, html_wrappers.extract(pages.withColumn("host", F.lit("clash")), broadcast_bytes=b).collect())) for b in (1 << 30, 0))
+    assert near == far
+
+
 def test_given_pages_give_their_article(spark, data):
     import html
 
