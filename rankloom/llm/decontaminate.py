@@ -8,10 +8,12 @@ tiles need not keep their order, so a passage is found after its sentences were
 contaminated by an item if the tiles cover at least ``COVERAGE`` of the item's tokens.
 
 Scale: the document side is one scan without a shuffle. Benchmark items are cut into blocks of about
-``BLOCK_TOKENS`` tokens, each of which is broadcast on its own; the blocks follow from a count of the table.
+``BLOCK_TOKENS`` tokens, each of which is broadcast on its own; the blocks follow from a count of the table. With
+more than one block the result is written after each, and the block released: neither the driver nor an executor
+holds two of them.
 
 Defined results: null and empty texts match nothing, on either side; an item with fewer than ``MIN_MATCH``
-tokens has no seed and is never matched; items with equal text are reported each, as are repeated rows; a null
+tokens has one seed of its own length, so it is matched where it stands as a whole; items with equal text are reported each, as are repeated rows; a null
 doc_id or item_id stays; extra columns pass through.
 """
 
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankloom.llm import arrays
-from rankloom.llm.tables import slices
+from rankloom.llm.tables import slices, written
 
 MIN_MATCH, COVERAGE, BLOCK_TOKENS = 5, 0.5, 1_000_000
 GAP = np.ones(256, bool)
@@ -75,6 +77,7 @@ class Items:
     """One block of benchmark items with their seeds in hash order."""
 
     def __init__(self, rows: list, least: int) -> None:
+        """``rows`` are (id, text) with at least ``least`` tokens each."""
         rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
         self.ids = [r[0] for r in rows]
         token, bounds = tokens(pa.array([r[1] for r in rows], pa.string()))
@@ -120,14 +123,24 @@ class Items:
         return out
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, text: str, least: int, block_tokens: int) -> list[Items]:
-    """The benchmark in blocks of a bounded size; item lengths decide how many there are."""
+def seeded(rows: list, least: int) -> list[Items]:
+    """Items by the length of their seeds: ``least`` tokens, or all of a shorter item."""
+    held: dict[int, list] = {}
+    for row, n in zip(rows, np.diff(tokens(pa.array([r[1] for r in rows], pa.string()))[1]).tolist() if rows else [], strict=True):
+        if n:
+            held.setdefault(min(n, least), []).append(row)
+    return [Items(held[n], n) for n in sorted(held)]
+
+
+def item_blocks(benchmark: DataFrame, item_id: str, text: str, least: int, block_tokens: int) -> Iterator[tuple[bool, list[Items]]]:
+    """(more follow, items): the benchmark in blocks of a bounded size, read one by one; item lengths decide how many there are."""
     rows = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).where("text is not null")
     # A token has at least one character and a gap, so half the characters bound the tokens.
     total = rows.agg(F.coalesce(F.sum((F.length("text") + 1) / 2), F.lit(0))).first()[0]
     count = max(1, -(-int(total) // block_tokens))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(count))
-    return [Items([tuple(r) for r in rows.where(part == k).collect()], least) for k in range(count)]
+    for k in range(count):
+        yield k < count - 1, seeded([tuple(r) for r in rows.where(part == k).collect()], least)
 
 
 def with_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
@@ -135,22 +148,30 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     """``docs`` with the column ``matches``: the items that contaminate the row."""
     out = docs.drop("matches").withColumn("matches", F.array().cast(SCHEMA))
     place = out.columns.index(text)
-    for items in item_blocks(benchmark, item_id, item_text, least, block_tokens):
-        sent = docs.sparkSession.sparkContext.broadcast(vars(items))
+    for more, block in item_blocks(benchmark, item_id, item_text, least, block_tokens):
+        sent = docs.sparkSession.sparkContext.broadcast([vars(items) for items in block])
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items = Items.__new__(Items)
-            vars(items).update(sent.value)
+            known = []
+            for values in sent.value:
+                known.append(Items.__new__(Items))
+                vars(known[-1]).update(values)
             for batch in batches:
                 name = batch.schema.names[place]
                 for part in slices(batch, name):
-                    hits = items.matches(part.column(place), coverage)
+                    hits: dict[int, list[dict]] = {}
+                    for items in known:
+                        for k, found in items.matches(part.column(place), coverage).items():
+                            hits.setdefault(k, []).extend(found)
                     had = part.column(part.num_columns - 1)
                     if hits:
                         had = pa.array([[*(x or []), *hits.get(k, [])] for k, x in enumerate(had.to_pylist())], FOUND)
                     yield pa.RecordBatch.from_arrays([*part.columns[:-1], had.cast(FOUND)], names=part.schema.names)
 
         out = out.mapInArrow(run, out.schema)
+        if more:
+            out = written(out)
+            sent.unpersist()
     return out
 
 

@@ -1,33 +1,46 @@
 """Chat formatting by quotation linking.
 
-A line that begins with ``>`` marks is quoted; the number of marks is its level. Quoted lines are normalised
-(marks off, lower case, white space to one space), hashed and joined to the own lines of earlier messages of
-the same conversation. A message answers the message that holds most of its shallowest quoted lines, the latest
-of those that hold equally many; without a match it answers the message before it. Quoted lines are taken out
-of the text.
+A line that begins with ``>`` marks is quoted; the number of marks is its level. Lines are normalised (marks
+off, lower case, white space to one space); neighbouring lines of one level without a blank line between them are
+a passage. What is hashed of a passage are its units: every line, every sentence, the whole passage, and every run
+of ``WORDS`` words, so that a quote is found after it was wrapped at another width, and a part of a line or passage
+as well. Units of the quoted passages of every level are joined to the units of own passages of earlier messages
+of the same conversation. The shallowest level with a match decides: a message answers the message that holds most
+distinct units of that level, the latest of those that hold equally many; without a match it answers the message
+before it. Of a unit that several messages hold, only the latest before the quote counts. Quoted lines are taken
+out of the text.
 
 Reply order: a message that answers another than the one before it opens a branch there; messages that follow
 without a quote stay in the branch. ``reply_path`` lists the turns to sort by: branches stand right after the
 message that they answer, in the order of their opening. Sorting a conversation by it gives the conversation in
 reply order.
 
-Scale: one row for each message throughout. Lines of quoting messages decide which lines of others are hashed
-further (a semi join); of a line that many messages hold, only the latest before each quote is linked, by a
-running maximum and not by pairs. Only (conversation, turn) keys, no texts, are sorted for each conversation.
+Scale: one row for each message throughout. Units of quoting messages decide which units of others go further (two
+semi joins, by conversation and by unit); of a unit that many messages hold, only the latest before each quote is
+linked, by a running maximum and not by pairs. Only (conversation, turn) keys, no texts, are sorted for each
+conversation. Paths of nested branches double their reach in every round.
 
 Defined results: a null text is an empty message; equal rows are one message, and messages with the same turn
-are ordered by role and text; a null conversation or turn is a key like any other, null turns first; an empty
+are ordered by role and a hash of the text; a null conversation or turn is a key like any other, null turns first; an empty
 message stays with an empty text; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankloom.llm.tables import written
 
 MARK = r"^[ \t]*>[ \t>]*"
+WORDS = 5
+QUOTED, BLANKS, SENTENCE = re.compile(MARK), re.compile(r"[\x00-\x20]+"), re.compile(r"(?<=[.!?]) ")
 
 
 def _level(line: Column) -> Column:
@@ -35,40 +48,87 @@ def _level(line: Column) -> Column:
     return F.length(F.regexp_replace(F.regexp_extract(line, MARK, 0), r"[^>]", ""))
 
 
-def _normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(line, MARK, "")), r"[\x20\x09-\x0D]+", " "))
+def passages(text: str) -> Iterator[tuple[int, list[str]]]:
+    """(level, normalised lines) of every passage of a message."""
+    level, held = 0, []
+    for raw in text.split("\n"):
+        mark = QUOTED.match(raw)
+        own = mark[0].count(">") if mark else 0
+        line = BLANKS.sub(" ", raw[mark.end():] if mark else raw).strip(" ").lower()
+        if held and (own != level or not line):
+            yield level, held
+            held = []
+        level = own
+        if line:
+            held.append(line)
+    if held:
+        yield level, held
+
+
+def units(lines: list[str]) -> set[str]:
+    """What is hashed of a passage: lines, sentences, the whole, and runs of WORDS words."""
+    whole = " ".join(lines)
+    words = whole.split(" ")
+    return {whole, *lines, *SENTENCE.split(whole), *(" ".join(words[k:k + WORDS]) for k in range(len(words) - WORDS + 1))}
+
+
+def _units(rows: DataFrame, quoted: bool) -> DataFrame:
+    """(conv_id, place, level, key): the distinct units of the quoted or of the own passages of each message."""
+    picked = rows.select("conv_id", "place", "text")
+    schema = T.StructType([picked.schema["conv_id"], picked.schema["place"], T.StructField("level", T.IntegerType()), T.StructField("key", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, levels, keys = [], [], []
+
+            def out():
+                taken = pa.array(at, pa.int64())
+                return pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), pa.array(levels, pa.int32()),
+                                                   pa.array(keys, pa.uint64()).view(pa.int64())], names=["conv_id", "place", "level", "key"])
+
+            for k, text in enumerate(batch.column(2).to_pylist()):
+                found = {(level, xxhash.xxh3_64_intdigest(u)) for level, lines in passages(text) if (level > 0) == quoted for u in units(lines)}
+                for level, key in found:
+                    at.append(k)
+                    levels.append(level)
+                    keys.append(key)
+                if len(at) > 200_000:
+                    yield out()
+                    at, levels, keys = [], [], []
+            yield out()
+
+    return picked.mapInArrow(run, schema)
 
 
 def messages(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv_id, turn, role, place (turn, tie) as a sortable struct, own text, and the lines with their level."""
+    """conv_id, turn, role, place (turn, tie) as a sortable struct, text, own text, number of quoted lines."""
     rows = conversations.select(
         F.col(conv_id).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"),
         F.coalesce(F.col(text), F.lit("")).alias("text")).distinct()
     lines = F.split("text", "\n", -1)
-    split = rows.select("*", F.transform(lines, lambda x: F.struct(_level(x).alias("level"), _normal(x).alias("line"), x.alias("raw"))).alias("lines"))
+    split = rows.select("*", F.transform(lines, lambda x: F.struct(_level(x).alias("level"), x.alias("raw"))).alias("lines"))
     own = F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["raw"]), "\n")
     return split.select(
         "conv_id", "turn", "role", F.struct("turn", "role", F.xxhash64("text").alias("tie")).alias("place"),
-        F.regexp_replace(own, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "").alias("content"), "lines")
+        "text", F.regexp_replace(own, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "").alias("content"),
+        F.size(F.filter("lines", lambda x: x["level"] > 0)).cast("long").alias("n_quoted"))
 
 
 def replies(rows: DataFrame) -> DataFrame:
     """(conv_id, place, answers): the place of the message that each quoting message answers."""
-    quoting = rows.where(F.exists("lines", lambda x: (x["level"] > 0) & (x["line"] != "")))
-    shallow = quoting.select("conv_id", "place", F.array_min(F.transform(
-        F.filter("lines", lambda x: (x["level"] > 0) & (x["line"] != "")), lambda x: x["level"])).alias("least"), "lines")
-    quoted = shallow.select("conv_id", "place", F.explode(F.array_distinct(F.transform(
-        F.filter("lines", lambda x: (x["level"] == F.col("least")) & (x["line"] != "")), lambda x: F.xxhash64(x["line"])))).alias("key"))
-    wanted = quoted.select("conv_id", "key").distinct()
-    own = rows.select("conv_id", "place", F.explode(F.array_distinct(F.transform(
-        F.filter("lines", lambda x: (x["level"] == 0) & (x["line"] != "")), lambda x: F.xxhash64(x["line"])))).alias("key"))
-    held = own.join(wanted, own["conv_id"].eqNullSafe(wanted["conv_id"]) & (own["key"] == wanted["key"]), "left_semi")
-    before = Window.partitionBy("conv_id", "key").orderBy("place", "asks").rowsBetween(Window.unboundedPreceding, -1)
-    both = held.select("conv_id", "key", "place", F.lit(1).alias("asks")).union(quoted.select("conv_id", "key", "place", F.lit(0).alias("asks")))
+    quoted = written(_units(rows.where("n_quoted > 0"), quoted=True))
+    asking = quoted.select(F.col("conv_id").alias("_c")).distinct()
+    asked = rows.join(asking, rows["conv_id"].eqNullSafe(asking["_c"]), "left_semi")
+    wanted = quoted.select(F.col("conv_id").alias("_c"), F.col("key").alias("_k")).distinct()
+    own = _units(asked, quoted=False)
+    held = own.join(wanted, own["conv_id"].eqNullSafe(wanted["_c"]) & (own["key"] == wanted["_k"]), "left_semi")
+    before = Window.partitionBy("conv_id", "key").orderBy("place", "asks").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = held.select("conv_id", "key", "place", "level", F.lit(1).alias("asks")).union(quoted.select("conv_id", "key", "place", "level", F.lit(0).alias("asks")))
     # At one place the question comes first, so a message never answers itself.
     found = both.withColumn("origin", F.max(F.when(F.col("asks") == 1, F.col("place"))).over(before)).where("asks = 0 and origin is not null")
-    votes = found.groupBy("conv_id", "place", "origin").agg(F.count(F.lit(1)).alias("n"))
-    return votes.groupBy("conv_id", "place").agg(F.max(F.struct("n", "origin")).alias("top")).select("conv_id", "place", F.col("top.origin").alias("answers"))
+    votes = found.groupBy("conv_id", "place", "level", "origin").agg(F.count(F.lit(1)).alias("n"))
+    return votes.groupBy("conv_id", "place").agg(F.max(F.struct(-F.col("level"), "n", "origin")).alias("top")).select(
+        "conv_id", "place", F.col("top.origin").alias("answers"))
 
 
 def reply_order(conversations: DataFrame, **names: str) -> DataFrame:
@@ -88,25 +148,25 @@ def reply_order(conversations: DataFrame, **names: str) -> DataFrame:
         F.concat(F.coalesce("path", F.array().cast("array<bigint>")), F.array("place.turn")).alias("reply_path"))
     return rows.join(placed, rows["conv_id"].eqNullSafe(placed["_c"]) & (rows["place"] == placed["_p"])).select(
         "conv_id", "turn", "role", "content", "reply_to",
-        F.size(F.filter("lines", lambda x: x["level"] > 0)).cast("long").alias("n_quoted"), "reply_path")
+        "n_quoted", "reply_path")
 
 
 def _branch_paths(chain: DataFrame) -> DataFrame:
-    """(conv_id, branch, path): the turns to sort a branch's messages behind. One round for each level of nesting."""
+    """(conv_id, branch, path): the turns to sort a branch's messages behind.
+
+    Each branch knows the branch above it; in every round it puts that one's path before its own and goes on to
+    where that one points, so nesting of depth n takes log2(n) rounds.
+    """
     opened = chain.where("opens").select("conv_id", "branch", "parent")
     holder = chain.select(F.col("conv_id").alias("_c"), F.col("place").alias("_p"), F.col("branch").alias("above"))
-    open_ = written(opened.join(holder, opened["conv_id"].eqNullSafe(holder["_c"]) & (opened["parent"] == holder["_p"])).select("conv_id", "branch", "parent", "above"))
-    step = F.array("parent.turn", "branch.turn")
-    done = open_.where("above is null").select("conv_id", "branch", step.alias("path"))
-    level, left = done, open_.where("above is not null")
-    while not left.isEmpty():
-        known = level.withColumnsRenamed({"conv_id": "_c", "branch": "_b", "path": "_path"})
-        hit = left.join(known, left["conv_id"].eqNullSafe(known["_c"]) & (left["above"] == known["_b"]))
-        level = written(hit.select("conv_id", "branch", F.concat("_path", step).alias("path")))
-        done = done.union(level)
-        reached = level.select(F.col("conv_id").alias("_c"), F.col("branch").alias("_b"))
-        left = written(left.join(reached, left["conv_id"].eqNullSafe(reached["_c"]) & (left["branch"] == reached["_b"]), "left_anti"))
-    return done
+    paths = written(opened.join(holder, opened["conv_id"].eqNullSafe(holder["_c"]) & (opened["parent"] == holder["_p"])).select(
+        "conv_id", "branch", "above", F.array("parent.turn", "branch.turn").alias("path")))
+    while not paths.where("above is not null").isEmpty():
+        up = paths.withColumnsRenamed({"conv_id": "_c", "branch": "_b", "above": "_above", "path": "_path"})
+        paths = written(paths.join(up, paths["conv_id"].eqNullSafe(up["_c"]) & (paths["above"] == up["_b"]), "left").select(
+            "conv_id", "branch", F.col("_above").alias("above"),
+            F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("_path", "path")).alias("path")))
+    return paths.select("conv_id", "branch", "path")
 
 
 def formatted(role: Column, content: Column) -> Column:
@@ -125,16 +185,24 @@ msgs AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS F
 lines AS (
   SELECT conv_id, k, u.i, u.l,
     length(regexp_replace(regexp_extract(u.l, '^[ \t]*>[ \t>]*'), '[^>]', '', 'g')) AS level,
-    trim(regexp_replace(lower(regexp_replace(u.l, '^[ \t]*>[ \t>]*', '')), '[\x20\x09-\x0D]+', ' ', 'g')) AS line
+    lower(trim(regexp_replace(regexp_replace(u.l, '^[ \t]*>[ \t>]*', ''), '[\x00-\x20]+', ' ', 'g'), ' ')) AS line
   FROM (SELECT conv_id, k, unnest(list_transform(string_split(text, chr(10)), lambda l, i: {'l': l, 'i': i})) AS u FROM msgs)),
-least_ AS (SELECT conv_id, k, min(level) AS level FROM lines WHERE level > 0 AND line <> '' GROUP BY conv_id, k),
-quoted AS (SELECT DISTINCT l.conv_id, l.k, l.line FROM lines l JOIN least_ q ON l.conv_id IS NOT DISTINCT FROM q.conv_id AND l.k = q.k
-           AND l.level = q.level WHERE l.line <> ''),
-own AS (SELECT DISTINCT conv_id, k, line FROM lines WHERE level = 0 AND line <> ''),
-origin AS (SELECT q.conv_id, q.k, q.line, max(o.k) AS o FROM quoted q JOIN own o
-           ON q.conv_id IS NOT DISTINCT FROM o.conv_id AND q.line = o.line AND o.k < q.k GROUP BY ALL),
-votes AS (SELECT conv_id, k, o, count(*) AS n FROM origin GROUP BY ALL),
-answers AS (SELECT conv_id, k, arg_max(o, n * 1000000 + o) AS o FROM votes GROUP BY ALL),
+breaks AS (SELECT *, coalesce(line = '' OR lag(line) OVER w = '' OR level <> lag(level) OVER w, true) AS new_
+           FROM lines WINDOW w AS (PARTITION BY conv_id, k ORDER BY i)),
+numbered AS (SELECT *, sum(new_::int) OVER (PARTITION BY conv_id, k ORDER BY i) AS passage FROM breaks),
+passages AS (SELECT conv_id, k, level, passage, string_agg(line, ' ' ORDER BY i) AS whole, list(line) AS parts
+             FROM numbered WHERE line <> '' GROUP BY ALL),
+worded AS (SELECT *, string_split(whole, ' ') AS words FROM passages),
+units AS (
+  SELECT conv_id, k, level, whole AS unit FROM worded
+  UNION SELECT conv_id, k, level, unnest(parts) FROM worded
+  UNION SELECT conv_id, k, level, unnest(string_split(regexp_replace(whole, '([.!?]) ', '\1' || chr(10), 'g'), chr(10))) FROM worded
+  UNION SELECT conv_id, k, level, array_to_string(words[j:j + 4], ' ')
+        FROM (SELECT *, unnest(range(1, len(words) - 3)) AS j FROM worded WHERE len(words) > 4)),
+origin AS (SELECT q.conv_id, q.k, q.level, q.unit, max(o.k) AS o FROM units q JOIN units o
+           ON q.conv_id IS NOT DISTINCT FROM o.conv_id AND q.unit = o.unit AND o.level = 0 AND o.k < q.k WHERE q.level > 0 GROUP BY ALL),
+votes AS (SELECT conv_id, k, level, o, count(*) AS n FROM origin GROUP BY ALL),
+answers AS (SELECT conv_id, k, o FROM votes QUALIFY row_number() OVER (PARTITION BY conv_id, k ORDER BY level, n DESC, o DESC) = 1),
 chain AS (
   SELECT m.conv_id, m.k, m.turn, coalesce(a.o, nullif(m.k - 1, 0)) AS parent, coalesce(a.o <> m.k - 1, false) AS opens
   FROM msgs m LEFT JOIN answers a ON m.conv_id IS NOT DISTINCT FROM a.conv_id AND m.k = a.k),

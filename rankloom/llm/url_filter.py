@@ -47,12 +47,13 @@ def build_trie(entries: list[Entry]) -> dict:
         node = root
         for label in reversed(e.host.lower().split(".")):
             node = node["labels"].setdefault(label, {"labels": {}, "path": None})
-        node["path"] = node["path"] or {"next": {}, "ends": {}}
+        node["path"] = node["path"] or {"next": {}, "ends": {}, "sizes": []}
         step = node["path"]
         *whole, last = e.path.split("/")
         for segment in whole:
-            step = step["next"].setdefault(segment, {"next": {}, "ends": {}})
+            step = step["next"].setdefault(segment, {"next": {}, "ends": {}, "sizes": []})
         step["ends"][last] = (e.host.lower() + e.path, e.verdict)
+        step["sizes"] = sorted({*step["sizes"], len(last)}, reverse=True)
     return root
 
 
@@ -60,8 +61,8 @@ def _longest_path(step: dict, segments: list[str]) -> tuple[str, str] | None:
     best = None
     for segment in segments:
         ends = step["ends"]
-        if ends:
-            best = next((ends[segment[:n]] for n in range(len(segment), -1, -1) if segment[:n] in ends), best)
+        # Only lengths that some entry has are tried.
+        best = next((ends[segment[:n]] for n in step["sizes"] if n <= len(segment) and segment[:n] in ends), best)
         step = step["next"].get(segment)
         if step is None:
             break

@@ -145,6 +145,35 @@ def test_reply_order(spark):
     assert quote_chat.query(df.limit(0)).count() == 0
 
 
+def test_quotes_of_parts_wrapped_and_deeper(spark):
+    long = "We could take the early train to the coast. It leaves at seven. The tickets are cheap, and the view from the bridge is fine."
+    rows = [
+        (1, 0, "a", long), (1, 1, "b", "Something else."), (1, 2, "c", "> It leaves at seven.\nToo early."),
+        (2, 0, "a", long), (2, 1, "b", "Something else."), (2, 2, "c", "> the tickets are cheap, and the\n> view from the\n> bridge is fine.\nYes."),
+        (3, 0, "a", long), (3, 1, "b", "Something else."), (3, 2, "c", "> an edited line nobody wrote\n>> We could take the early train to the coast.\nYes."),
+        (4, 0, "a", long.replace(". ", ".\n")), (4, 1, "b", "Something else."), (4, 2, "c", "> It leaves at seven. The tickets are cheap\nYes."),
+        # The shallower level wins although the deeper one matches more.
+        (5, 0, "a", long), (5, 1, "b", "Something else."), (5, 2, "c", "Third."), (5, 3, "d", "> Something else.\n>> " + long + "\nYes."),
+        (6, 0, "a", ""), (6, 1, "b", ">"), (6, 2, "c", "> \n>> \n" + "word " * 20_000), (6, 3, "d", "> " + "word " * 20_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("place", F.lit("clash")).withColumn("key", F.lit(1))
+    out = quote_chat.query(df)
+    same_rows(out, with_tables(spark, conversations=df), quote_chat.SQL)
+    answered = {(r.conv_id, r.turn): r.reply_to for r in out.collect()}
+    assert [answered[c, 2] for c in (1, 2, 3, 4)] == [0, 0, 0, 0] and answered[5, 3] == 1 and answered[6, 3] == 2
+
+
+def test_deep_nesting_takes_few_rounds(spark, monkeypatch):
+    n, rounds, write = 300, [], quote_chat.written
+    monkeypatch.setattr(quote_chat, "written", lambda df: rounds.append(1) or write(df))
+    rows = [(1, k, "a", (f"> line number {k - 2} of the talk\n" if k > 1 else "") + f"line number {k} of the talk") for k in range(n)]
+    out = {r.turn: r for r in quote_chat.query(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert all(out[k].reply_to == max(k - 2, 0) for k in range(1, n)) and len(rounds) < 16
+    paths = {0: [], 1: []} | {}
+    for k in range(2, n):
+        paths[k] = [*paths[k - 2], k - 2, k]
+    assert all([int(x) for x in out[k].reply_path.split(".")] == [*paths[k], k] for k in range(n))
+
+
 def test_urls_on_hard_rows(spark):
     urls = [None, "", "no scheme", "http://EXAMPLE.com/en/x?q#f", "http://www.example.com/en/", "http://a.net/es/1", "http://net/fr/", "http://xnet/fr/",
             "a://b://c/d", "http://com", "http://example.com/english", "http://example.com#/en/", "http://example.com?/en/"]
@@ -155,6 +184,14 @@ def test_urls_on_hard_rows(spark):
     assert {r.verdict for r in url_filter.filter_urls(df, []).collect()} == {"allow"}
 
 
+def test_very_long_segments_take_linear_time():
+    trie = url_filter.build_trie([url_filter.Entry("block", "a", "/" + "x" * n) for n in (0, 3, 500)])
+    begun = time.perf_counter()
+    assert url_filter.lookup(trie, "a", "/" + "x" * 2_000_000) == ("a/" + "x" * 500, "block")
+    assert url_filter.lookup(trie, "a", "/" + "y" * 2_000_000) == ("a/", "block")
+    assert time.perf_counter() - begun < 1
+
+
 def test_longest_match_equals_brute_force():
     draw = random.Random(3)
     names = ["a", "b", "a.b", "b.a", "c.a.b"]

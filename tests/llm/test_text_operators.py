@@ -196,6 +196,43 @@ def test_reordered_passage_is_found(spark, hard, nothing):
     assert decontaminate.clean(docs, bench.limit(0)).count() == 6
 
 
+def brute_contaminated(docs, bench):
+    """(doc_id, item_id, coverage) by comparing all places."""
+    word = re.compile(r"[a-z0-9]+")
+    out = []
+    for doc, text in docs:
+        for item, whole in bench:
+            a, b = word.findall((text or "").lower()), word.findall((whole or "").lower())
+            covered = sum(n for *_, n in brute_tiles(a, b, min(5, len(b)))) if b else 0
+            if b and covered / len(b) >= 0.5 - 1e-12:
+                out.append((doc, item, round(covered / len(b), 9)))
+    return sorted(out)
+
+
+def test_contaminated_equals_brute_force_with_short_items(spark):
+    import random
+
+    draw = random.Random(8)
+    names = [f"w{i}" for i in range(400)]
+    bench = [(i, " ".join(draw.choices(names, k=k))) for i, k in enumerate([1, 2, 3, 4, 5, 6, 9, 12, 20, 31, 40, 40])]
+    bench += [(50, "Only four tokens here"), (51, "two tokens"), (52, None), (53, "-- !")]
+    docs = [(0, "say only four tokens here. Two tokens"), (1, "only four tokens, there"), (2, None)]
+    for k in range(60):
+        words = draw.choices(names, k=60)
+        for _, whole in draw.sample(bench[:12], 3):
+            cut = whole.split()
+            cut = cut[draw.randrange(3):] if len(cut) > 5 else cut
+            at = draw.randrange(len(words))
+            half = len(cut) // 2
+            words[at:at] = draw.choice([cut, cut, cut[half:] + ["x"] + cut[:half], cut[:half]])
+        docs.append((10 + k, " ".join(words)))
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    want = brute_contaminated(docs, bench)
+    assert sorted((r.doc_id, r.item_id, round(r.coverage, 9)) for r in got) == want and {(0, 50, 1.0), (0, 51, 1.0)} <= set(want)
+    assert {r[1] for r in want} >= {0, 1, 2, 3}
+
+
 def test_tiling_equals_brute_force():
     import random
 
