@@ -1,8 +1,9 @@
 """BPE encoding and decoding through a table of distinct words.
 
 A batch of documents splits its texts into words and sends each distinct word once to the bucket of its hash.
-The bucket encodes each distinct word of the corpus once and sends the ids back; the batch joins them to its
-words by position. Decoding joins every id with its piece (a table as long as the vocabulary file).
+The bucket gives each distinct word of the corpus once to the library and sends the ids back; the batch joins them
+to its words by position. A word stands between white space and is as the text has it: the file's normaliser, its
+pattern and its alphabet never reach across white space, so they work on the words as they would on the text. Decoding joins every id with its piece (a table as long as the vocabulary file).
 
 The results are those of the tokenizers library for a file with this normaliser (NFC, one space for white
 space, lower case), pre-tokeniser (split by pattern, byte alphabet) and no decoder; other files are refused.
@@ -15,16 +16,14 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
-from tokenizers import Tokenizer, pre_tokenizers
+from tokenizers import Tokenizer
 
 from rankloom.llm import blocks
 from rankloom.llm.tables import width
@@ -35,7 +34,7 @@ SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class Words:
-    """Splits texts at white space as the file's normaliser sees it, and words by its pattern."""
+    """Splits texts at white space as the file's normaliser sees it."""
 
     def __init__(self, file: str) -> None:
         with open(file, encoding="utf-8") as f:
@@ -45,17 +44,12 @@ class Words:
         if kinds != ["NFC", "Replace", "Lowercase"] or data["decoder"] is not None or data["post_processor"] is not None or (
                 split["behavior"], split["invert"], alphabet["use_regex"]) != ("Removed", True, False):
             raise ValueError(f"{file}: not a tokenizer of the supported form")
-        self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"\s", SPACE))
-        self.run = regex.compile(f"[^{SPACE}]+")
+        self.run = re.compile(f"[^{SPACE}]+")
         self.special = re.compile("(" + "|".join(re.escape(t["content"]) for t in data["added_tokens"]) + ")")
         self.marks = [t["content"][:2] for t in data["added_tokens"]]
 
     def chunks(self, text: str) -> list[str]:
-        """Normalised pieces between white space; the pattern never reaches across it."""
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        # Capital sigma is lowered without regard to its place in the word.
-        text = text.replace("Σ", "σ").lower()
+        """Pieces between white space."""
         # str.split also parts at the separators U+001C to U+001F, which are no white space to the file.
         return self.run.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
@@ -96,17 +90,15 @@ def encode(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str = "text
                 yield b, blocks.squeeze("\n".join(part).encode())
 
     def resolve(sent: list[bytes]) -> list[bytes]:
-        tokenizer, pattern = Tokenizer.from_file(file), Words(file).pattern
-        alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        tokenizer = Tokenizer.from_file(file)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
         known: dict[str, list[int]] = {}
 
         def ids(word: str) -> list[int]:
             found = known.get(word)
             if found is None:
-                if word[0] == " ":
-                    found = [tokenizer.token_to_id(word[1:])]
-                else:
-                    found = [t.id for piece in pattern.findall(word) for part, _ in alphabet.pre_tokenize_str(piece) for t in tokenizer.model.tokenize(part)]
+                found = [tokenizer.token_to_id(word[1:])] if word[0] == " " else tokenizer.encode(word, add_special_tokens=False).ids
                 known[word] = found
             return found
 

@@ -160,6 +160,19 @@ def test_bpe_equals_the_library(spark, data, hard, nothing, tokenizer):
     assert bpe.query(nothing).count() == 0
 
 
+def test_bpe_equals_the_library_on_all_code_points(spark, tokenizer):
+    import random
+
+    draw = random.Random(2)
+    points = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(points[k:k + 50]) for k in range(0, len(points), 50)] + [" ".join(f"a{c}b {c}" for c in points[k:k + 50]) for k in range(0, len(points), 50)]
+    texts += ["".join(draw.choices(draw.choice([points, points[:0x600], "aA Σσ.'\u0301\u00a0\x1c\n3"]), k=30)) for _ in range(3000)]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256) for r in bpe.query(rows).collect()}
+    assert [k for k, ids in enumerate(want) if got[k] != (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())] == []
+
+
 def brute_tiles(doc, item, least):
     """Greedy string tiling by comparing all places."""
     doc_used, item_used, tiles = set(), set(), []
