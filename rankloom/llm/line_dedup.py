@@ -1,17 +1,18 @@
 """Line dedup by site-relative frequency.
 
-A line's frequency on a site is the share of the site's pages that hold it. Lines above the boilerplate ratio
-are dropped from all pages of that site. Lines are compared without white space at their ends; lines without a
+A line's frequency on a site is the share of the site's pages that hold it; pages with equal text count once, so
+copies of a page do not make its lines boilerplate. Lines above the boilerplate ratio are dropped from all pages
+of that site. The ratio lies in the gap between boilerplate and lines that recur by chance. Lines are compared without white space at their ends; lines without a
 word are neither counted nor dropped.
 
-Scale: each page sends its distinct lines once, as hashes, and counts are combined before the shuffle, so a
-site with a third of all pages costs no task more than its distinct lines. A site has at most
+Scale: each page sends its distinct lines once, as hashes with the hash of its text. They are made distinct by all
+three, so neither a site with a third of all pages nor a line on all of them is hot, and counted with a combiner. A site has at most
 (mean lines of a page) / ratio lines above the ratio; they travel as one small array for each site. The join
 with them leaves the text where it is while the table is under Spark's broadcast threshold; beyond it the join
 is shuffled and skewed sites are split.
 
 Defined results: a null text stays null with zero lines; an empty text stays empty; a null site is a site of
-its own; repeated rows count as pages each; a table of one page loses nothing (``min_pages``); extra columns
+its own; repeated rows and null texts count as one page each site; a table of one page loses nothing (``min_pages``); extra columns
 pass through.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.tables import written
 
-RATIO = 0.1
+RATIO = 0.05
 MIN_PAGES = 3
 
 
@@ -41,11 +42,11 @@ def _has_word(line: Column) -> Column:
 def site_boilerplate(docs: DataFrame, text: str = "text", site: str = "source", ratio: float = RATIO,
                      min_pages: int = MIN_PAGES) -> DataFrame:
     """One row for each site that has such lines: site, array of line keys ``_drop``."""
-    pages = docs.select(F.col(site).alias("_site"), F.col(text).alias("_text"))
-    total = pages.groupBy("_site").agg(F.count(F.lit(1)).alias("_pages"))
+    pages = docs.select(F.col(site).alias("_site"), F.col(text).alias("_text"), F.xxhash64(text).alias("_page"))
+    total = pages.select("_site", "_page").distinct().groupBy("_site").agg(F.count(F.lit(1)).alias("_pages"))
     keys = F.array_distinct(F.transform(F.filter(_lines(F.col("_text")), _has_word), _key))
     seen = (
-        pages.select("_site", F.explode(keys).alias("_key"))
+        pages.select("_site", "_page", F.explode(keys).alias("_key")).distinct()
         .groupBy("_site", "_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_pages)
     )
     return (
@@ -83,11 +84,11 @@ lines AS (
     regexp_matches(u.l, '[^\x20\x09-\x0D]') AS w
   FROM (SELECT row_id, source, unnest(list_transform(string_split(text, chr(10)), lambda l, i: {'l': l, 'i': i})) AS u
         FROM pages_)),
-seen AS (SELECT source, k, count(DISTINCT row_id) AS n FROM lines WHERE w GROUP BY source, k),
-total AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+seen AS (SELECT l.source, k, count(DISTINCT p.text) AS n FROM lines l JOIN pages_ p USING (row_id) WHERE w GROUP BY l.source, k),
+total AS (SELECT source, count(DISTINCT text) + coalesce(max((text IS NULL)::int), 0) AS pages FROM documents GROUP BY source),
 boilerplate AS (
   SELECT s.source, s.k FROM seen s JOIN total t ON s.source IS NOT DISTINCT FROM t.source
-  WHERE s.n >= 3 AND s.n > 0.1::DOUBLE * t.pages),
+  WHERE s.n >= 3 AND s.n > 0.05::DOUBLE * t.pages),
 marked AS (
   SELECT l.*, w AND b.k IS NOT NULL AS gone
   FROM lines l LEFT JOIN boilerplate b ON l.source IS NOT DISTINCT FROM b.source AND l.k = b.k),

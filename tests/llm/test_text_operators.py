@@ -131,11 +131,20 @@ def test_rules_take_ordered_conjunctions(spark):
 def test_line_dedup_on_hard_rows(spark, hard, nothing):
     con = with_tables(spark, documents=hard.select("doc_id", "text", "source"))
     same_rows(line_dedup.query(hard), con, line_dedup.SQL)
-    out = line_dedup.drop_boilerplate(hard, ratio=0.3)
+    out = line_dedup.drop_boilerplate(hard, ratio=0.3, min_pages=2)
     assert {r.text for r in out.where("doc_id = 11").collect()} == {"\nother"}
     assert line_dedup.drop_boilerplate(nothing).count() == 0
 
 
+def test_copies_of_a_page_are_no_boilerplate(spark):
+    rows = [(k, "copied line\nand another", "a") for k in range(30)] + [(100 + k, f"menu line \npage {k}", "a") for k in range(6)]
+    rows += [(200 + k, f"page of its own {k}", "a") for k in range(80)] + [(300 + k, None, None) for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(docs).collect()}
+    assert got == {k: text if not 100 <= k < 200 else f"page {k - 100}" for k, text, _ in rows}
+    same_rows(line_dedup.query(docs), with_tables(spark, documents=docs), line_dedup.SQL)
+
+
 def test_lm_score_on_hard_rows(spark, hard, nothing):
     same_rows(lm_score.query(hard), with_tables(spark, documents=hard.select("doc_id", "text")), lm_score.SQL)
     assert lm_score.query(nothing).count() == 0
