@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from rankloom.session import broadcast_within
+from rankloom.session import broadcast_within, shuffle_width, stored
 
 
 def word_ngrams(text: Column) -> Column:
@@ -39,25 +40,24 @@ def char_ngrams(text: Column, low: int = 2, high: int = 5) -> Column:
 BLOCKS = {"w": (word_ngrams, 30_000, 1), "c": (char_ngrams, 60_000, 2)}
 
 
-@F.udf(VectorUDT())
-def _sparse(size, pairs):
-    return Vectors.sparse(size, {p["i"]: p["x"] for p in pairs})
+def _term_counts(messages: DataFrame, *blocks: str) -> DataFrame:
+    """(id, block, term, tf): the tokens of the named blocks, default all, counted per message.
 
-
-def _term_counts(messages: DataFrame) -> DataFrame:
-    """(id, block, term, tf): both token blocks in one pass, counted per message."""
+    Messages travel by ``id`` as they are; their many more tokens are counted where they arise.
+    """
     def tagged(block):
         return F.transform(BLOCKS[block][0](F.col("text")), lambda t: F.struct(F.lit(block).alias("block"), t.alias("term")))
 
-    return messages.select("id", F.explode(F.concat(*map(tagged, BLOCKS))).alias("t")).groupBy("id", "t.block", "t.term").agg(F.count("*").alias("tf"))
+    dealt = messages.select("id", "text").repartition(shuffle_width(messages.sparkSession), "id")
+    return dealt.select("id", F.explode(F.concat(*map(tagged, blocks or BLOCKS))).alias("t")).groupBy("id", "t.block", "t.term").agg(F.count("*").alias("tf"))
 
 
-def vocabulary(counts: DataFrame, n_messages: int) -> DataFrame:
+def vocabulary(messages: DataFrame, n_messages: int) -> DataFrame:
     """(block, term, i, idf): the most used terms of each block, a bounded number, with smoothed idf."""
-    stats = counts.groupBy("block", "term").agg(F.sum("tf").alias("uses"), F.count("*").alias("df"))
     out, base = None, 0
     for block, (_, size, min_df) in BLOCKS.items():
-        kept = stats.where((F.col("block") == block) & (F.col("df") >= min_df)).orderBy(F.col("uses").desc(), "term").limit(size)
+        stats = _term_counts(messages, block).groupBy("block", "term").agg(F.sum("tf").alias("uses"), F.count("*").alias("df"))
+        kept = stats.where(F.col("df") >= min_df).orderBy(F.col("uses").desc(), "term").limit(size)
         order = Window.partitionBy("block").orderBy(F.col("uses").desc(), "term")
         part = kept.select("block", "term", (F.row_number().over(order) - 1 + base).alias("i"),
                            (F.log((1.0 + n_messages) / (1.0 + F.col("df"))) + 1).alias("idf"))
@@ -65,6 +65,18 @@ def vocabulary(counts: DataFrame, n_messages: int) -> DataFrame:
     return out
 
 
+def sparse_vectors(rows: DataFrame, size: int) -> DataFrame:
+    """``pairs``, an array of (i, x) in the order of ``i``, as the sparse vector ``features``.
+
+    The parts of a vector are written as they are and read back as one, so no row passes through Python.
+    """
+    plain = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),
+                     F.col("pairs.i").alias("indices"), F.col("pairs.x").alias("values"))
+    kept = [c for c in rows.columns if c != "pairs"]
+    schema = StructType([*[rows.schema[c] for c in kept], StructField("features", VectorUDT())])
+    return stored(rows.select(*kept, plain.alias("features")), schema)
+
+
 def tfidf_features(train: DataFrame, *frames: DataFrame) -> list[DataFrame]:
     """``(id, text, label)`` frames with ``features``: damped counts times smoothed idf, each block of unit length.
 
@@ -72,7 +84,8 @@ def tfidf_features(train: DataFrame, *frames: DataFrame) -> list[DataFrame]:
     broadcast. Counting, weighting and scaling are aggregations by message.
     """
     size = sum(limit for _, limit, _ in BLOCKS.values())
-    known = broadcast_within(vocabulary(_term_counts(train), train.count()), size).persist()
+    known = broadcast_within(stored(vocabulary(train, train.count())), size)
+    none = F.array().cast("array<struct<i:int,x:double>>")
 
     def features(frame: DataFrame) -> DataFrame:
         weighted = _term_counts(frame).join(known, ["block", "term"]).select(
@@ -82,10 +95,9 @@ def tfidf_features(train: DataFrame, *frames: DataFrame) -> list[DataFrame]:
             F.collect_list(F.struct("i", "x")).alias("pairs"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm")
         )
         scaled = F.transform("pairs", lambda p: F.struct(p["i"].alias("i"), (p["x"] / F.col("norm")).alias("x")))
-        rows = blocks.groupBy("id").agg(F.flatten(F.collect_list(scaled)).alias("pairs"))
-        return frame.select("id", "label").join(rows, "id", "left").select(
-            "id", "label", _sparse(F.lit(size), F.coalesce("pairs", F.array().cast("array<struct<i:int,x:double>>"))).alias("features")
-        )
+        rows = blocks.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list(scaled))).alias("pairs"))
+        both = frame.select("id", "label").join(rows, "id", "left")
+        return sparse_vectors(both.select("id", "label", F.coalesce("pairs", none).alias("pairs")), size)
 
     return [features(f) for f in (train, *frames)]
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.operators import dense, postings, rerank
+from rankloom.operators import dense, learned, postings, rerank
 from rankloom.plans.study import Study
 
 
@@ -76,3 +76,22 @@ def test_work_arrays_do_not_grow_with_the_questions():
         used = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert used < most, used
+
+
+def test_tokens_are_counted_where_messages_lie(spark):
+    """Before: every token of every message was shuffled, and each vector went through Python."""
+    rows = [(1, "ab ab cd", "x"), (2, "ab", "y"), (2, "ab ef", "y"), (None, "gh", "x"), (3, "", "x"), (4, None, "y")]
+    messages = spark.createDataFrame(rows, "id long, text string, label string")
+    counts = learned._term_counts(messages)
+    assert counts._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") + \
+        counts._jdf.queryExecution().executedPlan().toString().count("REPARTITION") <= 2  # both name the one exchange
+    held = {(r.id, r.term): r.tf for r in counts.where("block = 'w'").collect()}
+    assert held == {(1, "ab"): 2, (1, "cd"): 1, (1, "ab ab"): 1, (1, "ab cd"): 1, (2, "ab"): 2, (2, "ef"): 1, (2, "ab ef"): 1, (None, "gh"): 1}
+    (features,) = learned.tfidf_features(messages)
+    assert "Python" not in features._jdf.queryExecution().executedPlan().toString()
+    made = sorted(((r.id, r.features) for r in features.collect()), key=repr)
+    assert [i for i, _ in made] == [1, 2, 2, 3, 4, None]
+    for i, vector in made:
+        assert vector.size == 90_000 and list(vector.indices) == sorted(set(vector.indices.tolist()))
+        parts = [sum(x * x for k, x in zip(vector.indices, vector.values) if (k < 30_000) == word) for word in (True, False)]
+        assert parts[0] == pytest.approx(0 if i in (3, 4, None) and not len(vector.indices) else 1)
