@@ -7,8 +7,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from rankloom import session
+from rankloom.config import Config
 from rankloom.functions import vectors
-from rankloom.operators import dense, learned, lexical, metrics, postings, rerank
+from rankloom.operators import dense, hybrid, learned, lexical, metrics, postings, rerank
 from rankloom.plans.study import Study
 
 
@@ -145,3 +147,72 @@ def test_pages_that_ask_the_same_are_searched_once(spark, tmp_path, monkeypatch)
     text = F.concat_ws("\n", "heading_path", "body")
     assert got == plain(real(pages.page_chunks(), pages.page_questions, text, 30, pages.cfg).distinct())
     assert {q for q, *_ in got} == {10, 20, 30, 50}
+
+
+@pytest.mark.parametrize("values", [4_000_000, 128])
+def test_vectors_are_made_and_compared_by_one_worker(spark, values):
+    """Before: two Python operators one behind the other, so each core held two workers. 128 values leave the single copy."""
+    known = ["alpha", "beta", "gamma", "delta", "eps"]
+    docs = spark.createDataFrame([(i, " ".join(known[(i * j) % 5] for j in range(i % 7))) for i in range(40)], "chunk_id int, text string")
+    asked = spark.createDataFrame([(i, f"{known[i]} {known[i - 1]} {i}{i}") for i in range(4)] + [(9, "")], "query_id int, text string")
+    queries = vectors.hashed_vectors(asked, ["query_id"], F.col("text"))
+    rows, made = vectors.hashed_batches(docs, ["chunk_id"], F.col("text"))
+    cfg = Config(broadcast_values=values)
+    got = dense.nearest(queries, rows, 6, cfg=cfg, made=made)
+    if values > 128:
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    want = dense.nearest(queries, vectors.hashed_vectors(docs, ["chunk_id"], F.col("text")), 6)
+    assert got.schema == want.schema and sorted(got.collect()) == sorted(want.collect()) and want.count() == 30
+
+
+def test_workers_get_bounded_batches(spark):
+    """Before: up to the session's 10,000 rows at once, so what a worker held grew until such batches were full."""
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+    given = lambda: [r.n for r in session.stored(spark.range(0, 9_000, 1, 1).mapInArrow(sizes, "n long")).collect()]
+    before = spark.conf.get(session.ARROW_ROWS)
+    assert sum(given()) == 9_000 and max(given()) <= session.BATCH_ROWS
+    assert spark.conf.get(session.ARROW_ROWS) == before
+    try:
+        spark.conf.set(session.ARROW_ROWS, "100")
+        assert max(given()) == 100 and spark.conf.get(session.ARROW_ROWS) == "100"
+    finally:
+        spark.conf.set(session.ARROW_ROWS, before)
+
+
+def test_rankings_run_on_bounded_batches(spark, monkeypatch):
+    """The searches of all three first stages, whose batches were those of the session before."""
+    seen = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(session, "BATCH_ROWS", 8)
+
+    def noted(run):
+        return lambda batches: run(b for b in batches if b.num_rows <= 8 or seen.add(1) is None)
+
+    searching, hashing = postings._searching, vectors._hashing
+    monkeypatch.setattr(postings, "_searching", lambda *a: noted(searching(*a)))
+    monkeypatch.setattr(vectors, "_hashing", lambda *a: noted(hashing(*a)))
+    texts = [(i, "s", f"alpha beta w{i % 3} x{i % 5} y{i % 7}") for i in range(60)]
+    units = spark.createDataFrame(texts, "chunk_id long, title string, body string").coalesce(1)
+    asked = spark.createDataFrame([(1, "alpha w1 x2 y3"), (2, "beta y1")], "query_id long, question string")
+    lists = [hybrid.lexical_list(units, asked, 5), hybrid.dense_list(units, asked, 5), lexical.bm25_topk(units, asked, F.col("body"), 5)]
+    assert [x.count() for x in lists] == [10, 10, 10]
+    assert seen.value == 0
+
+
+def test_ties_at_the_limit_do_not_grow_with_the_units():
+    """Before: every unit that tied with a question's k-th best stayed with the task and left it."""
+    rows = pa.table({"query_id": [1, 1, 2], "term": ["a", "b", "b"], "weight": [1.0, 1.0, 1.0]})
+    search, ids, scores = postings._Best(postings._asked(rows), lambda mark, length: mark * 1, 4, waiting=50), [], []
+    for block in range(30):
+        own = np.arange(10)[::-1] * 30 + block
+        marks = (own % 3 == 0) + 1
+        one = np.array([list(search.asked.terms.to_pylist()).index("b")])
+        search.block(one, np.array([2]), np.array([9]), own, marks, np.full(10, 9), np.array([10]))
+        ids, scores = [*ids, *own], [*scores, *marks]
+    search.cut()
+    question, unit, score = search.kept[0]
+    order = np.lexsort((ids, -np.array(scores)))[:4]
+    for q in (0, 1):
+        mine = np.flatnonzero(question == q)
+        assert len(mine) <= 8
+        first = mine[np.lexsort((unit[mine], -score[mine]))[:4]]
+        assert unit[first].tolist() == np.array(ids)[order].tolist() and score[first].tolist() == np.array(scores)[order].tolist()
