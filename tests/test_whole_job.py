@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rankloom import session
 from rankloom.config import Config
 from rankloom.functions import vectors
-from rankloom.operators import dense, hybrid, learned, lexical, metrics, postings, rerank
+from rankloom.operators import dense, learned, lexical, metrics, postings, rerank
 from rankloom.plans.study import Study
 
 
@@ -179,8 +179,8 @@ def test_workers_get_bounded_batches(spark):
         spark.conf.set(session.ARROW_ROWS, before)
 
 
-def test_rankings_run_on_bounded_batches(spark, monkeypatch):
-    """The searches of all three first stages, whose batches were those of the session before."""
+def test_shortlists_search_on_bounded_batches(spark, tmp_path, monkeypatch):
+    """Before: searches and vectors ran on batches of the session's size."""
     seen = spark.sparkContext.accumulator(0)
     monkeypatch.setattr(session, "BATCH_ROWS", 8)
 
@@ -190,11 +190,12 @@ def test_rankings_run_on_bounded_batches(spark, monkeypatch):
     searching, hashing = postings._searching, vectors._hashing
     monkeypatch.setattr(postings, "_searching", lambda *a: noted(searching(*a)))
     monkeypatch.setattr(vectors, "_hashing", lambda *a: noted(hashing(*a)))
-    texts = [(i, "s", f"alpha beta w{i % 3} x{i % 5} y{i % 7}") for i in range(60)]
-    units = spark.createDataFrame(texts, "chunk_id long, title string, body string").coalesce(1)
-    asked = spark.createDataFrame([(1, "alpha w1 x2 y3"), (2, "beta y1")], "query_id long, question string")
-    lists = [hybrid.lexical_list(units, asked, 5), hybrid.dense_list(units, asked, 5), lexical.bm25_topk(units, asked, F.col("body"), 5)]
-    assert [x.count() for x in lists] == [10, 10, 10]
+    texts = [(i, f"alpha beta w{i % 3} x{i % 5} y{i % 7}", "en", "s", 30) for i in range(60)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "alpha w1 x2 y3"), (2, "beta y1")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    study = Study(spark, str(tmp_path), Config(candidate_k=5, chunk_min_chars=1))
+    made = [study.ranker_scores(), study.bm25_list(5), *(study.shortlists(s) for s in ("fts", "vector", "hybrid"))]
+    assert [x.count() for x in made] == [30, 10, 10, 10, 10]
     assert seen.value == 0
 
 
