@@ -217,3 +217,26 @@ def test_ties_at_the_limit_do_not_grow_with_the_units():
         assert len(mine) <= 8
         first = mine[np.lexsort((unit[mine], -score[mine]))[:4]]
         assert unit[first].tolist() == np.array(ids)[order].tolist() and score[first].tolist() == np.array(scores)[order].tolist()
+
+
+def test_what_waits_does_not_grow_with_the_pieces(monkeypatch):
+    """Before: each opened block and each batch left its arrays with the task, even with no row in them."""
+    rows = pa.table({"query_id": [1, 1], "term": ["a", "b"], "weight": [1.0, 1.0]})
+    search = postings._Best(postings._asked(rows), lambda mark, length: mark * 1, 2, waiting=100)
+    place = np.argsort(search.asked.terms.to_pylist())
+    both = place, np.array([5, 5]), np.array([9, 9])
+    search.block(*both, np.array([1, 2, 1, 2]), np.array([5, 4, 5, 4]), np.full(4, 9), np.array([2, 2]))
+    search.cut()
+    for i in range(1_000):  # the bound is 10, the units give 5; every tenth block holds one that ties with the second
+        search.block(*both, np.array([10 + i, 3_000 + i]), np.array([5, 5]), np.full(2, 9), np.array([1, 1]))
+        if i % 10 == 0:
+            search.block(*both, np.array([5_000 + i, 5_000 + i]), np.array([4, 4]), np.full(2, 9), np.array([1, 1]))
+        assert len(search.kept) <= 6
+    search.cut()
+    assert [x.tolist() for x in search.kept[0]] == [[0] * 3, [1, 2, 5_000], [10.0, 8.0, 8.0]]
+    monkeypatch.setattr(dense, "WAITING", 100)
+    near = dense.Best(np.array([[1.0, 0.0]]), 2, True)
+    for i in range(1_000):
+        near.add(np.array([i]), np.array([[1.0, min(i, 5)]]))
+        assert len(near.kept[0]) <= 6
+    assert next(near.pairs(np.array([7])))["chunk_id"].tolist() == [0, 1]
