@@ -149,6 +149,20 @@ def test_pages_that_ask_the_same_are_searched_once(spark, tmp_path, monkeypatch)
     assert {q for q, *_ in got} == {10, 20, 30, 50}
 
 
+def test_page_metrics_ask_every_page(spark, tmp_path):
+    """Before: only pages whose id is divisible by 10 were asked. Page 4 has no heading, page 7 stands twice."""
+    html = lambda h: f"<h1>{h}</h1><p>{h} and the text of a page</p>"
+    names = [(10, "Alpha beta"), (3, "Gamma delta"), (7, "Other words"), (7, "Other words")]
+    rows = [(i, f"http://a/{i}", html(h)) for i, h in names] + [(4, "http://a/4", "<p>alpha</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    pages = Study(spark, str(tmp_path), Config(chunk_min_chars=1))
+    scored = {(r.strategy, r.query_id): r.hit_at_1 for r in pages.page_metrics().collect()}
+    assert scored == {("doc", i): int(i != 4) for i in (3, 4, 7, 10)} | {("section", i): 1 for i in (3, 7, 10)}
+    means = {r.strategy: (r.n, r.hit_at_1) for r in metrics.aggregate_metrics(pages.page_metrics(), ["strategy"]).collect()}
+    assert means == {"doc": (4, 0.75), "section": (3, 1.0)}
+    assert {r.query_id for r in pages.page_list().collect()} == {10}
+
+
 @pytest.mark.parametrize("values", [4_000_000, 128])
 def test_vectors_are_made_and_compared_by_one_worker(spark, values):
     """Before: two Python operators one behind the other, so each core held two workers. 128 values leave the single copy."""
