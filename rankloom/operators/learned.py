@@ -38,18 +38,26 @@ def char_ngrams(text: Column, low: int = 2, high: int = 5) -> Column:
 
 
 BLOCKS = {"w": (word_ngrams, 30_000, 1), "c": (char_ngrams, 60_000, 2)}
+SLICE_CHARS = 1 << 19  # text whose tokens a task counts at once
 
 
-def _term_counts(messages: DataFrame, *blocks: str) -> DataFrame:
-    """(id, block, term, tf): the tokens of the named blocks, default all, counted per message.
+def _tokens(messages: DataFrame, *blocks: str) -> DataFrame:
+    """(id, block, term): a row for each token of the named blocks, default all.
 
-    Messages travel by ``id`` as they are; their many more tokens are counted where they arise.
+    Messages travel by ``id`` as they are; their many more tokens are counted where they arise. They go to so many tasks
+    that the counts and vectors a task holds, and the files it writes, do not grow with the table.
     """
     def tagged(block):
         return F.transform(BLOCKS[block][0](F.col("text")), lambda t: F.struct(F.lit(block).alias("block"), t.alias("term")))
 
-    dealt = messages.select("id", "text").repartition(shuffle_width(messages.sparkSession), "id")
-    return dealt.select("id", F.explode(F.concat(*map(tagged, blocks or BLOCKS))).alias("t")).groupBy("id", "t.block", "t.term").agg(F.count("*").alias("tf"))
+    chars = messages.agg(F.sum(F.length("text"))).first()[0] or 0
+    dealt = messages.select("id", "text").repartition(max(shuffle_width(messages.sparkSession), -(-chars // SLICE_CHARS)), "id")
+    return dealt.select("id", F.explode(F.concat(*map(tagged, blocks or BLOCKS))).alias("t")).select("id", "t.block", "t.term")
+
+
+def _term_counts(messages: DataFrame, *blocks: str) -> DataFrame:
+    """(id, block, term, tf): the tokens of the named blocks, default all, counted per message."""
+    return _tokens(messages, *blocks).groupBy("id", "block", "term").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(messages: DataFrame, n_messages: int) -> DataFrame:
@@ -81,16 +89,15 @@ def tfidf_features(train: DataFrame, *frames: DataFrame) -> list[DataFrame]:
     """``(id, text, label)`` frames with ``features``: damped counts times smoothed idf, each block of unit length.
 
     The vocabulary is learned on ``train``; it has at most as many rows as the blocks allow, so it is
-    broadcast. Counting, weighting and scaling are aggregations by message.
+    broadcast, and only its terms are counted. Counting, weighting and scaling are aggregations by message.
     """
     size = sum(limit for _, limit, _ in BLOCKS.values())
     known = broadcast_within(stored(vocabulary(train, train.count())), size)
     none = F.array().cast("array<struct<i:int,x:double>>")
 
     def features(frame: DataFrame) -> DataFrame:
-        weighted = _term_counts(frame).join(known, ["block", "term"]).select(
-            "id", "block", "i", ((1 + F.log("tf")) * F.col("idf")).alias("x")
-        )
+        used = _tokens(frame).join(known, ["block", "term"]).groupBy("id", "block", "i", "idf").agg(F.count("*").alias("tf"))
+        weighted = used.select("id", "block", "i", ((1 + F.log("tf")) * F.col("idf")).alias("x"))
         blocks = weighted.groupBy("id", "block").agg(
             F.collect_list(F.struct("i", "x")).alias("pairs"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm")
         )
@@ -111,7 +118,7 @@ def fit_predict(train: DataFrame, test: DataFrame, c: float, iterations: int = 1
 
     Rows are ``(id, label, features)``.
     """
-    train, test = train.persist(), test.withColumn("label", F.col("label").cast("string"))
+    test = test.withColumn("label", F.col("label").cast("string"))
     index = StringIndexer(inputCol="label", outputCol="_y", stringOrderType="alphabetAsc").fit(train)
     model = LogisticRegression(
         labelCol="_y", featuresCol="features", family="multinomial", standardization=False,

@@ -109,6 +109,17 @@ def test_tokens_are_counted_where_messages_lie(spark):
         assert parts[0] == pytest.approx(0 if i in (3, 4, None) and not len(vector.indices) else 1)
 
 
+def test_slices_of_messages_do_not_grow_with_the_table(spark, monkeypatch):
+    """Before: as many slices as shuffle partitions, however much text there was. The counts are the same."""
+    messages = spark.createDataFrame([(i % 37, f"word{i % 5} other{i % 3} text", "a") for i in range(200)] + [(None, None, "a")], "id long, text string, label string")
+    counted = lambda: learned._term_counts(messages)
+    want, width = sorted(counted().collect(), key=repr), session.shuffle_width(spark)
+    slices = lambda: counted().select("id", F.spark_partition_id().alias("p")).distinct().groupBy("p").count().count()
+    assert 1 < slices() <= width
+    monkeypatch.setattr(learned, "SLICE_CHARS", 100)
+    assert slices() > 2 * width and sorted(counted().collect(), key=repr) == want
+
+
 def test_hashing_does_not_grow_with_the_batch(spark):
     """Before: the 10,000 windows of one batch were hashed at once, which took over 100 MB; the vectors are the same."""
     rnd = np.random.default_rng(7)
